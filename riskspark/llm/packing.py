@@ -7,6 +7,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -20,13 +21,15 @@ WINDOW = 4096
 END_ID = 2
 #: Documents of a group that is packed together, on average.
 GROUP_DOCUMENTS = 2048
+#: Marks that may follow a word; the tokenizer's pattern takes them as one match.
+MARKS = ".,;:!?*&$%#\")]}"
 #: Chunks whose ids a worker keeps; beyond it the store is emptied.
-STORED_CHUNKS = 600_000
+STORED_CHUNKS = 1_500_000
 #: Longer chunks are not stored.
 STORED_LENGTH = 64
 
 
-class ChunkIds(dict):
+class ChunkIds:
     """Packed ids of chunks between spaces. The tokenizer drops white space and no
     match of its pattern holds any, so a text's ids are those of its chunks in turn."""
 
@@ -36,25 +39,45 @@ class ChunkIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.stored: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         for text in texts:
             chunks = text.replace("\n", " ").split(" ")
-            missing = list({c for c in chunks if c not in self})
-            long: dict[str, bytes] = {}
-            if missing:
-                if len(self) + len(missing) > STORED_CHUNKS:
-                    self.clear()
-                    missing = list(set(chunks))
-                for at in range(0, len(missing), 4096):
-                    part = missing[at : at + 4096]
-                    for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                        (self if len(c) <= STORED_LENGTH else long)[c] = np.array(e.ids, "<u4").tobytes()
-            if long:
-                yield b"".join(long[c] if c in long else self[c] for c in chunks)
+            distinct = set(chunks)
+            missing = distinct.difference(self.stored)
+            if len(self.stored) + len(missing) > STORED_CHUNKS:
+                self.stored, self.parts, missing = {}, {}, distinct
+            found = self.stored
+            found.update(self._made(missing))
+            yield b"".join(map(found.__getitem__, chunks))
+            for c in missing:
+                if len(c) > STORED_LENGTH:
+                    del found[c]
+
+    def _made(self, chunks: set[str]) -> Iterator[tuple[str, bytes]]:
+        """Letters and the marks after them are encoded apart, as the tokenizer's
+        pattern parts them; other chunks are encoded whole."""
+        cut = {}
+        for c in chunks:
+            body = c.rstrip(MARKS)
+            if body.isalpha():
+                cut[c] = (body.lower() if body.isascii() else body, c[len(body) :])
             else:
-                yield b"".join(map(self.__getitem__, chunks))
+                cut[c] = (c, "")
+        parts = self.parts
+        new = list({x for pair in cut.values() for x in pair}.difference(parts))
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            parts.update((x, pack(f"<{len(e.ids)}I", *e.ids)) for x, e in zip(some, encoded, strict=True))
+        for c, (body, marks) in cut.items():
+            yield c, parts[body] + parts[marks]
+        for x in new:
+            if len(x) > STORED_LENGTH:
+                del parts[x]
 
 
 @lru_cache(maxsize=1)
@@ -162,7 +185,7 @@ def pack_documents(
     p = p.withColumn("_group", F.pmod(F.xxhash64("_row", "start"), F.lit(groups)))
     kind = p.schema["id"].dataType.simpleString()
 
-    def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def packed_group(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["_row", "start"], kind="stable", ignore_index=True)
         where, offset = best_fit_decreasing(group["length"].to_numpy(), window)
         out = group[["id", "start", "length", "ids_crc32", "doc_tokens"]].copy()
@@ -170,7 +193,7 @@ def pack_documents(
         return out
 
     packed = p.groupBy("_group").applyInPandas(
-        pack,
+        packed_group,
         f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
     )
     return packed.withColumnRenamed("id", id_col)
