@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import bytebpe, langid, media, packing, urls
+from riskspark.llm import bytebpe, fingerprints, langid, media, packing, urls
 from riskspark.llm.common import table
 
 #: Rules of the URL query: host, path, verdict.
@@ -21,6 +21,10 @@ URL_RULES = [
 ]
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -52,7 +56,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_url_filters, op5_language_id, op7_packing, op9_media_columns, op10_byte_bpe)
+    f.__name__: f for f in (op1_fingerprints, op2_url_filters, op5_language_id, op7_packing, op9_media_columns, op10_byte_bpe)
 }
 
 OP2_SQL = r"""
