@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import bytebpe, fingerprints, langid, media, packing, urls
+from riskspark.llm import bytebpe, fingerprints, langid, media, packing, pii, substrings, urls
 from riskspark.llm.common import table
 
+#: Key of the pseudonyms; whoever runs the job puts their own.
+PII_KEY = "example key"
 #: Rules of the URL query: host, path, verdict.
 URL_RULES = [
     ("org", "/", "allow"),
@@ -30,6 +32,11 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs)
@@ -37,6 +44,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", (langid.fold("doc_id") == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymize(docs, PII_KEY)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -56,7 +68,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fingerprints, op2_url_filters, op5_language_id, op7_packing, op9_media_columns, op10_byte_bpe)
+    f.__name__: f
+    for f in (
+        op1_fingerprints,
+        op2_url_filters,
+        op3_substring_dedup,
+        op5_language_id,
+        op6_pii,
+        op7_packing,
+        op9_media_columns,
+        op10_byte_bpe,
+    )
 }
 
 OP2_SQL = r"""
