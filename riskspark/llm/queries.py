@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import bytebpe, fingerprints, langid, media, packing, pii, substrings, urls
+from riskspark.llm import bytebpe, fingerprints, langid, media, minhash, packing, pii, substrings, urls
 from riskspark.llm.common import table
 
 #: Key of the pseudonyms; whoever runs the job puts their own.
@@ -54,6 +54,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     pictures = media.stored_pictures(table(spark, sf_dir, "documents"))
     return media.picture_digests(pictures, "doc_id", "n_bytes", "picture")
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_language_id,
         op6_pii,
         op7_packing,
+        op8_near_duplicates,
         op9_media_columns,
         op10_byte_bpe,
     )
