@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import bytebpe, fingerprints, langid, media, minhash, packing, pii, substrings, urls
+from riskspark.llm import bytebpe, fingerprints, langid, lines, media, minhash, packing, pii, substrings, urls
 from riskspark.llm.common import table
 
 #: Key of the pseudonyms; whoever runs the job puts their own.
@@ -37,6 +37,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = lines.dedup_lines(docs)
+    return kept.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs)
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_fingerprints,
         op2_url_filters,
         op3_substring_dedup,
+        op4_line_dedup,
         op5_language_id,
         op6_pii,
         op7_packing,
