@@ -7,10 +7,14 @@ from collections.abc import Callable, Sequence
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskspark.llm import langid, packing
+from riskspark.llm import langid, lines, minhash, packing, pii
 from riskspark.llm.common import table
 
+#: Key of the pseudonyms; whoever runs the job puts their own.
+PII_KEY = "example key"
+
 Stage = tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]
 
 
@@ -20,6 +24,33 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return judged.where(~judged["rejected"]).select(docs.columns)
 
 
+def _with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of documents, with the length of the changed text."""
+    if "n_chars" in columns:
+        docs = docs.withColumn("n_chars", F.length("text").cast("long"))
+    return docs.select(columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier line repeats. A document of which no
+    line is left goes: all of it is in others."""
+    kept = lines.dedup_lines(docs)
+    nothing_left = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"\S")
+    return _with_length(kept.where(~nothing_left), docs.columns)
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each near-duplicate class, unchanged."""
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
+    # Of rows with one id and class the operator keeps one; so does this.
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def hide_private_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, private values replaced by pseudonyms."""
+    return _with_length(pii.pseudonymize(docs, PII_KEY), docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents that are left."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -27,6 +58,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[Stage] = [
     ("language ID", keep_known_languages),
+    ("line dedup", drop_repeated_lines),
+    ("MinHash near-dedup", keep_one_of_near_duplicates),
+    ("PII", hide_private_values),
     ("packing", pack),
 ]
 
