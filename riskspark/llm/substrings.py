@@ -30,6 +30,9 @@ GROUP_SUFFIXES = 4_000_000
 SLOT_DOCUMENTS, LEAST_SLOTS, MOST_SLOTS = 256, 1 << 8, 1 << 20
 #: Documents of a block whose repeats are gathered together, on average.
 BLOCK_DOCUMENTS = 2048
+#: Bytes of a window's hash that travel with a leaf. With the group they make the path;
+#: two unlike windows of a group of a million are taken for one with odds of 1 in 70,000.
+PATH_BYTES = 7
 #: Bytes of text that are hashed at once.
 PIECE = 1 << 21
 
@@ -138,7 +141,7 @@ def blocks_of_texts(texts: list[str], keys: list) -> Iterator[tuple[list[str], n
         held.append(text)
         ids.append(int(key))
         size += len(text)
-        if size > 8 * PIECE:
+        if size > 2 * PIECE:
             yield held, np.array(ids, "i8")
             held, ids, size = [], [], 0
     if held:
@@ -151,7 +154,9 @@ def packed(doc: np.ndarray, place: np.ndarray, path: np.ndarray | None = None) -
     at = np.where(step == 0, np.diff(place, prepend=0), place).astype("u4")
     wide = zstandard.compress(step.astype("i8").tobytes() + at.tobytes(), 1)
     head = np.array([len(doc), len(wide)], "<u4").tobytes()
-    return head + wide + (b"" if path is None else path.tobytes())
+    if path is None:
+        return head + wide
+    return head + wide + path.astype("<u8").view("u1").reshape(-1, 8)[:, 8 - PATH_BYTES :].tobytes()
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,7 +167,10 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = np.flatnonzero(np.append(True, step[1:] != 0)) if n else np.zeros(0, int)
     total = np.cumsum(at)
     base = np.repeat((total - at)[first], np.diff(np.append(first, n)))
-    return np.cumsum(step), total - base, np.frombuffer(data, "u8", offset=8 + m)
+    path = np.zeros((n, 8), "u1")
+    if len(data) > 8 + m:
+        path[:, 8 - PATH_BYTES :] = np.frombuffer(data, "u1", offset=8 + m).reshape(n, PATH_BYTES)
+    return np.cumsum(step), total - base, path.view("<u8").ravel()
 
 
 class Prefixes:
@@ -270,7 +278,7 @@ def _by_block(doc: np.ndarray, place: np.ndarray, blocks: int) -> pd.DataFrame:
     by = np.lexsort((place, doc, block))
     doc, place, block = doc[by], place[by], block[by]
     cuts = np.flatnonzero(np.diff(block, prepend=-1))
-    ends = np.append(cuts[1:], len(block))
+    ends = np.append(cuts[1:], len(block))[: len(cuts)]
     data = [packed(doc[a:b], place[a:b]) for a, b in zip(cuts, ends, strict=True)]
     return pd.DataFrame({"block": block[cuts], "repeats": data})
 
