@@ -20,7 +20,7 @@ from riskspark.llm.common import plain_text
 
 #: Samples of a fingerprint: rows of ``LANES`` samples that are drawn together.
 #: (So few that the code generated for a row stays in the size that the JVM compiles.)
-SAMPLE_ROWS, LANES = 12, 4
+SAMPLE_ROWS, LANES = 16, 4
 SAMPLES = SAMPLE_ROWS * LANES
 #: Hex digits of a sample in the fingerprint.
 DIGITS = 4
