@@ -41,9 +41,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each near-duplicate class, unchanged."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    # Of rows with one id and class the operator keeps one; so does this.
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return minhash.distinct_documents(docs)
 
 
 def hide_private_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
