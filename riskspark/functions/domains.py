@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskspark.functions.text import fuzzy_percent
 
@@ -54,7 +55,7 @@ def is_visual_spoof(c: Column) -> Column:
     return folded(c) != c
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_suspicious_punycode(domains: pd.Series) -> pd.Series:
     """Whether a label in punycode is broken or unfolds to look-alikes."""
     fold = str.maketrans(FOLD_FROM, FOLD_TO)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskspark.functions.text import keyword_hits, utf16_length
+from riskspark.schemas import struct
 
 # The words that are counted.
 FINANCIAL = "银行 转账 密码 账户 资金 贷款 信用卡 借记卡 余额 提现 充值 支付 理财 投资 收益 分红".split()
@@ -21,7 +22,7 @@ IP = rf"\b(?:{OCTET}\.){{3}}{OCTET}\b"
 CHINESE = r"[\x{4E00}-\x{9FFF}]"
 SENDERS, LANGUAGES = ("PHONE_NUMBER", "SHORT_CODE", "ALPHABETIC", "UNKNOWN"), ("CHINESE", "ENGLISH")
 
-SCHEMA = T.StructType.fromDDL(
+SCHEMA = struct(
     "textLength int, urlCount int, hasPhoneNumber boolean, hasFinancialKeywords boolean, hasUrgencyKeywords boolean, "
     "hasThreatKeywords boolean, senderType string, language string, specialCharRatio float, digitRatio float, "
     "avgWordLength float, exclamationCount int, questionCount int, uppercaseRatio float, repeatedCharCount int, "

@@ -153,8 +153,11 @@ def sanitised(c: Column) -> Column:
     no_codes = F.regexp_replace(no_control, r"%(?:[01][0-9A-Fa-f]|7[Ff])", "")
     no_escapes = F.regexp_replace(no_codes, r"\\u00(?:[01][0-9A-Fa-f]|7[Ff])", "")
     short_runs = F.regexp_replace(no_escapes, r"(.)\1{" + str(RUN) + ",}", "$1" * RUN)
-    # A repeated pattern is cut to its first characters: keep so many and drop the rest of the run.
-    cut = F.regexp_replace(short_runs, r"(?=(.{2,5})\1{5,})((?:.){" + str(PATTERN_RUN) + r"}|\1{6})(?:\1)*", "$2")
+    # A pattern of two to five characters that fills more than PATTERN_RUN is cut to so many.
+    cut = F.regexp_replace(short_runs, r"(.{5})\1{5,}", "$1" * 4)
+    cut = F.regexp_replace(cut, r"(.{4})\1{5,}", "$1" * 5)
+    cut = F.regexp_replace(cut, r"((..).)\1{6,}", "$1" * 6 + "$2")
+    cut = F.regexp_replace(cut, r"(..)\1{10,}", "$1" * 10)
     return F.struct(
         F.substring(cut, 1, SANITISED).alias("text"),
         (F.length(cut) > SANITISED).alias("was_truncated"),

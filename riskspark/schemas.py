@@ -4,19 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-DOMAINS = T.StructType.fromDDL("domain string, category string, source string, addedAt bigint, confidence float")
-ALERTS = T.StructType.fromDDL(
+KINDS = {
+    "string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "float": T.FloatType(), "boolean": T.BooleanType(),
+    "array<string>": T.ArrayType(T.StringType()),
+}
+
+
+def struct(fields: str) -> T.StructType:
+    """A schema of ``name kind`` pairs, which needs no session."""
+    return T.StructType([T.StructField(n, KINDS[k]) for n, k in map(str.split, fields.split(","))])
+
+
+DOMAINS = struct("domain string, category string, source string, addedAt bigint, confidence float")
+ALERTS = struct(
     "id bigint, timestamp bigint, type string, domain string, url string, riskLevel string, userAction string"
 )
-USER_FEEDBACK = T.StructType.fromDDL(
+USER_FEEDBACK = struct(
     "id bigint, timestamp bigint, textHash string, tokens string, modelScore float, label string, source string, features string"
 )
-RULES_VERSION = T.StructType.fromDDL("version string")
-RULES_DIFF = T.StructType.fromDDL("adds array<string>, removes array<string>, signature string")
-PHISH_FEED = T.StructType.fromDDL("url string, domain string, verified boolean")
-RULE_FILE = T.StructType.fromDDL("domain string, reason string, source string")
-CORPUS = T.StructType.fromDDL("text string, label int, source string")
-URL_CORPUS = T.StructType.fromDDL("text string, label int, URL string, Domain string, Title string")
+RULES_VERSION = struct("version string")
+RULES_DIFF = struct("adds array<string>, removes array<string>, signature string")
+PHISH_FEED = struct("url string, domain string, verified boolean")
+RULE_FILE = struct("domain string, reason string, source string")
+CORPUS = struct("text string, label int, source string")
+URL_CORPUS = struct("text string, label int, URL string, Domain string, Title string")
 
 #: Values of the enumerated columns, in rank order.
 CATEGORIES = ("WHITELIST", "BLACKLIST", "SUSPICIOUS", "UNKNOWN")
