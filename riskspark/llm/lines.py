@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.llm.common import checkpointed
@@ -28,6 +28,8 @@ MOST_EDITS = max(EDITS.values())
 PIECE = 1 << 20
 #: Line ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
+#: Rows and places of removed lines that are broadcast at most (a few bytes each).
+BROADCAST_MARKS = 2_000_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -53,6 +55,7 @@ class Substrings:
         self.start = np.cumsum(self.length) - self.length
         points = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype("u8")
         value = mixed((points + np.uint64(1)) * np.uint64(_BASE))
+        self.bins = (value >> np.uint64(60)).astype("i8")
         self.total = np.zeros(len(points) + 1, "u8")
         np.cumsum(value * _powers(_BASE, len(points))[:-1], out=self.total[1:])
         self.inverse = _powers(_INVERSE, len(points))
@@ -69,14 +72,13 @@ def segment(length: np.ndarray, parts: int, number: int) -> tuple[np.ndarray, np
     return number * base + longer, base + (number >= parts - more)
 
 
-def segment_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Line number, key and whether it is a probe, of the lines' segments and probes."""
-    s = Substrings(lines)
+def segment_keys(s: Substrings, probe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Line number and key of the lines' segments, or of their probes."""
     n, out = s.length, []
 
-    def add(line: np.ndarray, at: np.ndarray, size: np.ndarray, indexed: np.ndarray, number: int, probe: bool) -> None:
+    def add(line: np.ndarray, at: np.ndarray, size: np.ndarray, indexed: np.ndarray, number: int) -> None:
         tag = (indexed * 8 + number).astype("u8")
-        out.append((line, mixed(s.hashes(line, at, size) ^ mixed(tag * np.uint64(_BASE))), np.full(len(line), probe)))
+        out.append((line, mixed(s.hashes(line, at, size) ^ mixed(tag * np.uint64(_BASE)))))
 
     for shorter in range(MOST_EDITS + 1):
         allowed = edits_allowed(n - shorter)
@@ -87,20 +89,39 @@ def segment_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             size = n[line] - shorter
             for k in range(t + 1):
                 place, part = segment(size, t + 1, k)
-                if not shorter:
-                    add(line, place, part, size, k, False)
+                if not probe:
+                    if not shorter:
+                        add(line, place, part, size, k)
+                    continue
                 # Edits before the segment shift it, as do those after it seen from the end.
                 low = np.maximum(np.maximum(place - k, place + shorter - (t - k)), 0)
                 high = np.minimum(np.minimum(place + k, place + shorter + (t - k)), n[line] - part)
                 for step in range(2 * t + 1):
                     ok = low + step <= high
                     if ok.any():
-                        add(line[ok], low[ok] + step, part[ok], size[ok], k, True)
+                        add(line[ok], low[ok] + step, part[ok], size[ok], k)
     if not out:
-        return np.zeros(0, "i8"), np.zeros(0, "u8"), np.zeros(0, bool)
+        return np.zeros(0, "i8"), np.zeros(0, "u8")
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def letter_counts(s: Substrings) -> np.ndarray:
+    """Counts of each line's characters in 16 hashed bins, modulo 16, in one integer."""
+    n = len(s.length)
+    bins = np.repeat(np.arange(n) * 16, s.length) + s.bins
+    counts = np.bincount(bins, minlength=16 * n).reshape(-1, 16).astype("u8") & np.uint64(15)
+    return np.bitwise_or.reduce(counts << (np.arange(16, dtype="u8") * np.uint64(4)), axis=1).view("i8")
+
+
+def counts_apart(a: Column, b: Column) -> Column:
+    """How far two lines' letter counts are apart, at least; an edit moves them by two at most."""
+    total = F.lit(0)
+    for k in range(16):
+        d = F.pmod(F.shiftrightunsigned(a, 4 * k).bitwiseAND(15) - F.shiftrightunsigned(b, 4 * k).bitwiseAND(15), F.lit(16))
+        total = total + F.least(d, 16 - d)
+    return total
+
+
 def within_edits(a: str, b: str, most: int) -> bool:
     """Whether the edit distance is at most ``most`` (31 or less): Hyyrö's bit-parallel
     column, of which only the ``2 * most + 1`` bits around the diagonal are kept."""
@@ -163,25 +184,29 @@ def near_lines(texts: DataFrame) -> DataFrame:
     """``a, b``: ids of distinct lines of the column ``text`` that are within the allowed
     edits of each other; every such pair once."""
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            lines, size, seen = [], 0, set()
-            for text in batch["text"]:
-                for line in text.split("\n"):
-                    if len(line) >= min(EDITS) and line not in seen:
-                        seen.add(line)
-                        lines.append(line)
-                        size += len(line)
-                        if size > PIECE:
-                            yield _key_frame(lines)
-                            lines, size = [], 0
-            if lines:
-                yield _key_frame(lines)
-
-    k = texts.select("text").mapInPandas(keys, "key long, line long, probe boolean")
-    index = k.where(~F.col("probe")).select("key", F.col("line").alias("a"))
-    probe = k.where("probe").select("key", F.col("line").alias("b"))
-    met = index.join(probe, "key").where("a != b")
+    def keys(probe: bool) -> DataFrame:
+        def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                lines, size, seen = [], 0, set()
+                for text in batch["text"]:
+                    for line in text.split("\n"):
+                        if len(line) >= min(EDITS) and line not in seen:
+                            seen.add(line)
+                            lines.append(line)
+                            size += len(line)
+                            if size > PIECE:
+                                yield _key_frame(lines, probe)
+                                lines, size = [], 0
+                if lines:
+                    yield _key_frame(lines, probe)
+
+        return texts.select("text").mapInPandas(of, "key long, line long, letters long")
+
+    index = keys(False).select("key", F.col("line").alias("a"), F.col("letters").alias("la"))
+    probe = keys(True).select("key", F.col("line").alias("b"), F.col("letters").alias("lb"))
+    # Lines whose letters differ by more than the edits can explain do not meet.
+    near = (F.col("a") != F.col("b")) & (counts_apart(F.col("la"), F.col("lb")) <= 2 * MOST_EDITS)
+    met = index.alias("i").join(probe.alias("p"), (F.col("i.key") == F.col("p.key")) & near)
     met = checkpointed(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ids = met.select(F.explode(F.array("a", "b")).alias("line")).distinct()
     if met.limit(BROADCAST_IDS // 2 + 1).count() <= BROADCAST_IDS // 2:
@@ -200,10 +225,11 @@ def near_lines(texts: DataFrame) -> DataFrame:
     return checkpointed(met.where(alike("ta", "tb")).select("a", "b"))
 
 
-def _key_frame(lines: list[str]) -> pd.DataFrame:
-    number, key, probe = segment_keys(lines)
+def _key_frame(lines: list[str], probe: bool) -> pd.DataFrame:
+    s = Substrings(lines)
+    number, key = segment_keys(s, probe)
     ids = np.fromiter(map(line_id, lines), "i8", len(lines))
-    return pd.DataFrame({"key": key.view("i8"), "line": ids[number], "probe": probe})
+    return pd.DataFrame({"key": key.view("i8"), "line": ids[number], "letters": letter_counts(s)[number]})
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,11 +248,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     names = [c for c in docs.columns if c not in mine]
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("_all"),
-        F.col(f"`{id_col}`").alias("id"),
-        F.col(f"`{text_col}`").alias("text"),
         F.monotonically_increasing_id().alias("row"),
     )
-    texts = rows.where(F.col("text").isNotNull())
+    texts = rows.select(F.col(f"_all.`{id_col}`").alias("id"), F.col(f"_all.`{text_col}`").alias("text"), "row")
+    texts = texts.where(F.col("text").isNotNull())
     links = near_lines(texts)
     every = texts.select("id", "row", F.posexplode(F.split("text", "\n")).alias("place", "content"))
     every = every.where(F.col("content").rlike(r"\S")).select("id", "row", "place", F.xxhash64("content").alias("line"))
@@ -247,14 +272,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         marks = marks.withColumn("near", F.lit(None).cast("boolean"))
     gone = F.collect_list(F.when(F.col("head").isNull(), F.col("place"))).alias("gone")
     marks = marks.groupBy("row").agg(gone, F.count("near").alias("near"))
-    marks = marks.where((F.size("gone") > 0) | (F.col("near") > 0))
+    marks = checkpointed(marks.where((F.size("gone") > 0) | (F.col("near") > 0)))
+    size = marks.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
+    if size <= BROADCAST_MARKS:
+        marks = F.broadcast(marks)
     joined = rows.join(marks, "row", "left")
-    lines = F.split("text", "\n")
+    whole = F.col(f"_all.`{text_col}`")
+    lines = F.split(whole, "\n")
     left = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull())
-    text = F.when(F.size("gone") > 0, F.array_join(left, "\n")).otherwise(F.col("text"))
+    text = F.when(F.size("gone") > 0, F.array_join(left, "\n")).otherwise(whole)
     return joined.select(
         *[text.alias(c) if c == text_col else F.col(f"_all.`{c}`").alias(c) for c in names],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(whole.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("near", F.lit(0)).cast("long").alias("n_near"),
     )
