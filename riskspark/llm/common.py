@@ -19,10 +19,13 @@ def plain_text(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder, which is set only where
-    the session names none (as in tests)."""
+def checkpointed(df: DataFrame, few_files: bool = True) -> DataFrame:
+    """Cut the lineage in the shared checkpoint folder, which is set only where the
+    session names none (as in tests). With ``few_files`` there are at most two files for
+    each core, however many partitions a small intermediate table has."""
     spark = df.sparkSession
+    if few_files:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(named or "/tmp/riskspark-checkpoints")

@@ -24,7 +24,7 @@ GROUP_DOCUMENTS = 2048
 #: Marks that may follow a word; the tokenizer's pattern takes them as one match.
 MARKS = ".,;:!?*&$%#\")]}"
 #: Chunks whose ids a worker keeps; beyond it the store is emptied.
-STORED_CHUNKS = 1_500_000
+STORED_CHUNKS = 700_000
 #: Longer chunks are not stored.
 STORED_LENGTH = 64
 
