@@ -268,3 +268,34 @@ def mislabelled(c: Column) -> Column:
         .when((keyword_hits(c, GAMBLING) > 0) & (contact | F.contains(c, F.lit("群"))), "gambling")
         .when((keyword_hits(c, FAKE_PAPERS) > 0) & (contact | F.contains(c, F.lit("电话"))), "fake_doc")
     )
+
+
+def log_fields(c: Column) -> Column:
+    """``epoch, epochs, percent, acc, loss, val_acc, val_loss`` of a training log line;
+    what a line does not tell is null."""
+
+    def number(pattern: str, kind: str = "double") -> Column:
+        return F.regexp_extract(c, pattern, 1).try_cast(kind)
+
+    value = r"([0-9]*\.?[0-9]+)"
+    return F.struct(
+        number(r"(?i)epoch\s+(\d+)", "int").alias("epoch"),
+        number(r"(?i)epoch\s+\d+\s*/\s*(\d+)", "int").alias("epochs"),
+        number(value + "%").alias("percent"),
+        number(r"(?i)(?<![_a-z])acc(?:uracy)?\s*[=:]\s*" + value).alias("acc"),
+        number(r"(?i)(?<![_a-z])loss\s*[=:]\s*" + value).alias("loss"),
+        number(r"(?i)val_acc(?:uracy)?\s*[=:]\s*" + value).alias("val_acc"),
+        number(r"(?i)val_loss\s*[=:]\s*" + value).alias("val_loss"),
+    )
+
+
+def sms_key(sender: Column, body: Column) -> Column:
+    """Cooldown key of a message: equal sender and body share one."""
+    return F.concat_ws("_", F.lit("sms"), sender, F.md5(body))
+
+
+def sms_model_score(sms: Column, url: Column, body: Column) -> Column:
+    """The message score, or half the URL score if its URL is a bare domain and that is more."""
+    bare = F.coalesce(is_bare_domain(first_url(body)), F.lit(False))
+    half = F.when(bare, (url.cast("float") * F.lit(0.5).cast("float")).cast("float"))
+    return F.greatest(sms.cast("float"), half)

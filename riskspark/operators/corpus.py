@@ -241,3 +241,32 @@ def scored(df: DataFrame, scorer, text: str = "text", key: str = "text") -> Data
             yield pd.DataFrame({"text": batch["text"], "score": pd.array(values, "Float64")})
 
     return df.select(F.col(text).alias("text")).distinct().mapInPandas(score, "text string, score double")
+
+
+def paired(original: DataFrame, changed: DataFrame, row_id: str) -> DataFrame:
+    """Rows of both frames met by an explicit row id (``text`` and ``changed``)."""
+    return original.select(row_id, "text").join(changed.select(row_id, F.col("text").alias("changed")), row_id)
+
+
+def held_out_source(df: DataFrame, source: str, held: Sequence[str]) -> DataFrame:
+    """Rows with ``held_out``: all of the named sources (such as the newest year)."""
+    return df.withColumn("held_out", F.col(source).isin(list(held)))
+
+
+def cropped(c: Column, least: int = 30, most: int = 60, seed: str = "") -> Column:
+    """A piece of ``least`` to ``most`` characters, by the text and the seed alone."""
+    def pick(salt: str, n: Column) -> Column:
+        h = F.conv(F.substring(deal(c, seed + salt), 1, 8), 16, 10).cast("bigint")
+        return (h % n).cast("int")
+
+    size = F.least(F.lit(least) + pick("size", F.lit(most - least + 1)), F.length(c))
+    return F.substring(c, F.lit(1) + pick("start", F.length(c) - size + 1), size)
+
+
+def variations(c: Column, rules: Sequence[tuple[str, Sequence[str]]], seed: str = "") -> Column:
+    """Each pattern replaced by one of its alternatives, by the text and the seed alone."""
+    out = c
+    for k, (pattern, choices) in enumerate(rules):
+        h = F.conv(F.substring(deal(c, f"{seed}{k}"), 1, 8), 16, 10).cast("bigint") % len(choices)
+        out = F.regexp_replace(out, F.lit(pattern), F.get(F.array(*map(F.lit, choices)), h.cast("int")))
+    return out

@@ -123,3 +123,16 @@ def ranked(df: DataFrame, by: str, order: Sequence[Column], k: int) -> DataFrame
 
 def masked(df: DataFrame, domain: str) -> DataFrame:
     return df.withColumn(domain, X.mask_domain(F.col(domain)))
+
+
+def bloom_members(left: DataFrame, members: DataFrame, key: str, rate: float = 0.001, items: int = 100_000) -> DataFrame:
+    """Distinct keys with ``maybe``: whether a Bloom filter of the members may hold them
+    (never false for a member). The filter's set bits are rows, met by a join."""
+    from riskspark.functions.packets import bloom_bits, bloom_size
+
+    bits, hashes = bloom_size(items, rate)
+    places = bloom_bits(bits, hashes)
+    held = members.select(F.explode(places(F.col(key))).alias("bit")).distinct().withColumn("set", F.lit(1))
+    asked = left.select(key).dropna().distinct().select(key, F.explode(F.array_distinct(places(F.col(key)))).alias("bit"))
+    found = asked.join(small(held, 10_000_000), "bit", "left")
+    return found.groupBy(key).agg((F.count("set") == F.count(F.lit(1))).alias("maybe"))

@@ -125,3 +125,17 @@ def x29_templates(spark, sf):
 def x32_url_variants(spark, sf):
     p = table(spark, sf, "pages").select("url", (F.col("page_id") % 2).cast("int").alias("label"))
     return corpus.with_url_variants(p, "url", "label", spark.createDataFrame([("https://example.org",)], "url string"))
+
+
+@query("SELECT doc_id, source IN ('src1', 'src2') AS held_out FROM documents")
+def u10_held_out_source(spark, sf):
+    return corpus.held_out_source(table(spark, sf, "documents").select("doc_id", "source"), "source", ["src1", "src2"]).drop("source")
+
+
+@query("""WITH n AS (SELECT p_partkey, p_name, replace(p_name, 'e', 'ee') AS changed FROM part)
+SELECT p_partkey, round(levenshtein(p_name, changed) / greatest(length(p_name), length(changed)), 6) AS distance FROM n WHERE levenshtein(p_name, changed) / greatest(length(p_name), length(changed)) BETWEEN 0.1 AND 0.7""")
+def d12_kept_augmentations(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("text"))
+    pairs = corpus.paired(p, p.withColumn("text", F.replace("text", F.lit("e"), F.lit("ee"))), "p_partkey")
+    k = corpus.kept_augmentations(pairs, "text", "changed")
+    return k.select("p_partkey", F.round("distance", 6).alias("distance"))

@@ -190,3 +190,10 @@ def k11_masked_log(spark, sf):
 def w4_top_of_each(spark, sf):
     e = table(spark, sf, "events")
     return O.ranked(e, "user_id", [F.col("value").desc(), F.col("event_id")], 10).select("user_id", F.col("rank").cast("bigint").alias("rank"), "event_id")
+
+
+@query("SELECT c_name, true AS maybe FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def b9_bloom_members(spark, sf):
+    c = table(spark, sf, "customer")
+    held = c.join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    return O.bloom_members(held, held, "c_name")

@@ -186,3 +186,17 @@ def x24_qr_codes(spark, sf):
 def x27_versions(spark, sf):
     v = F.concat(F.lit("1."), F.col("n_nationkey").cast("string"), F.lit(".x"))
     return table(spark, sf, "nation").select("n_name", X.version_order(v, F.lit("1.12")).alias("version_order"))
+
+
+@query(r"""SELECT event_id, event_id::INT % 30 AS epoch, 30 AS epochs, (event_id % 100)::DOUBLE AS percent, round((event_id % 97) / 100.0, 2)::DOUBLE AS acc, 0.5::DOUBLE AS val_loss FROM events""")
+def x34_log_fields(spark, sf):
+    n = F.col("event_id")
+    line = F.format_string("Epoch %d/30 [%d%%] acc=%.2f val_loss: 0.50", n % 30, n % 100, n % 97 / 100.0)
+    f = table(spark, sf, "events").select("event_id", X.log_fields(line).alias("f"))
+    return f.select("event_id", "f.epoch", "f.epochs", "f.percent", "f.acc", "f.val_loss")
+
+
+@query(r"""SELECT page_id, round(CASE WHEN page_id % 2 = 0 THEN greatest(0.3::FLOAT, 0.4::FLOAT) ELSE 0.3::FLOAT END, 4)::DOUBLE AS score FROM pages""")
+def v15_sms_score(spark, sf):
+    body = F.when(F.col("page_id") % 2 == 0, F.lit("see https://www.example.com")).otherwise(F.concat(F.lit("see "), "url"))
+    return table(spark, sf, "pages").select("page_id", F.round(X.sms_model_score(F.lit(0.3), F.lit(0.8), body).cast("double"), 4).alias("score"))

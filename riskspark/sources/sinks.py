@@ -80,3 +80,10 @@ def masked_log(alerts: DataFrame, n: int = 1000) -> DataFrame:
 def migrated(old: DataFrame, added: dict[str, Column]) -> DataFrame:
     """The old rows in a wider schema: columns that are missing get their default."""
     return old.select("*", *[c.alias(name) for name, c in added.items() if name not in old.columns])
+
+
+def write_vocabulary(vocabulary: dict[str, int], df_session, path: str) -> None:
+    """A vocabulary as one JSON object, by whatever file system Spark knows."""
+    import json
+
+    df_session.createDataFrame([(json.dumps(vocabulary, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
