@@ -188,3 +188,16 @@ def test_murmur_and_bloom():
     held = {b for w in map(str, range(1000)) for b in P.bloom_places(w, bits, hashes)}
     assert all(set(P.bloom_places(str(k), bits, hashes)) <= held for k in range(1000))
     assert sum(set(P.bloom_places(f"x{k}", bits, hashes)) <= held for k in range(2000)) < 20
+
+
+def test_log_fields(one):
+    r = one("Epoch 3/30 [45%] loss: 0.12 acc=0.9 val_acc: 0.8 val_loss=0.5", X.log_fields)
+    assert tuple(r) == (3, 30, 45.0, 0.9, 0.12, 0.8, 0.5)
+    assert tuple(one("nothing", X.log_fields)) == (None,) * 7
+
+
+def test_sms_score(one):
+    f = lambda c: X.sms_model_score(F.lit(0.1), F.lit(0.9), c)
+    assert one("go https://a.com", f) == pytest.approx(0.45)
+    assert one("go https://a.com/path", f) == pytest.approx(0.1)
+    assert one("none", f) == pytest.approx(0.1)

@@ -198,3 +198,18 @@ def test_consumed_once(spark):
 def test_pandas_is_not_needed_for_empty_tables(spark):
     e = spark.createDataFrame(pd.DataFrame({"user": pd.Series([], dtype="int64"), "k": pd.Series([], dtype=str), "ms": pd.Series([], dtype="int64"), "tie": pd.Series([], dtype="int64"), "c": pd.Series([], dtype="float64")}), "user long, k string, ms long, tie long, c double")
     assert folds.replay_cooldown(e, "user", "k", "ms", "tie", "c").count() == 0
+
+
+def test_bloom_has_no_false_negatives(spark):
+    held = spark.range(300).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("k"))
+    asked = held.unionByName(spark.range(300).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("k")))
+    got = {r.k: r.maybe for r in tables.bloom_members(asked, held, "k", 0.001, 1000).collect()}
+    assert all(got[k] for k in got if k[0] == "d") and sum(got[k] for k in got if k[0] == "x") < 10
+
+
+def test_crops_and_variations_are_stable(spark):
+    df = spark.createDataFrame([("abcdefghij" * 10,), ("short",), ("",)], "t string")
+    cut = [r[0] for r in df.select(corpus.cropped(F.col("t"))).collect()]
+    assert 30 <= len(cut[0]) <= 60 and cut[0] in "abcdefghij" * 10 and cut[1:] == ["short", ""]
+    got = df.select(corpus.variations(F.col("t"), [("abc", ["X", "Y"])])).first()[0]
+    assert got[0] in "XY" and "abc" not in got
