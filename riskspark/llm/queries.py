@@ -110,4 +110,32 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM parts LEFT JOIN best USING (r)
 """
 
-ORACLES: dict[str, str] = {"op2_url_filters": OP2_SQL}
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+m AS (SELECT k, min(doc_id) AS least FROM p GROUP BY k),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM p JOIN m USING (k) WHERE least < doc_id),
+x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM d),
+g AS (SELECT x.doc_id, count(c.j) AS n_removed, string_agg(word, ' ' ORDER BY x.j) FILTER (c.j IS NULL) AS kept
+      FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.j = c.j GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, k, count(*) AS n FROM (
+        SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0))
+      GROUP BY ALL),
+z AS (SELECT doc_id, sum(n) AS total FROM s GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS common FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE common >= 0.8 * (x.total + y.total - common)
+      UNION ALL SELECT x.doc_id, y.doc_id FROM d x JOIN d y ON x.doc_id < y.doc_id WHERE len(x.w) = 0 AND len(y.w) = 0),
+pairs AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, pairs.b FROM r JOIN pairs ON r.b = pairs.a),
+c AS (SELECT a AS doc_id, min(b) AS class_id, count(*) AS class_size FROM r GROUP BY 1)
+SELECT doc_id, class_id, class_size, doc_id = class_id AS kept FROM c
+"""
+
+ORACLES: dict[str, str] = {"op2_url_filters": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op8_near_duplicates": OP8_SQL}
