@@ -25,7 +25,7 @@ def checkpointed(df: DataFrame, few_files: bool = True) -> DataFrame:
     each core, however many partitions a small intermediate table has."""
     spark = df.sparkSession
     if few_files:
-        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
+        df = df.repartition(2 * spark.sparkContext.defaultParallelism)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(named or "/tmp/riskspark-checkpoints")
