@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import plain_text
+from riskspark.llm.common import own_worker, plain_text
 
 #: Pieces whose ids a worker keeps; beyond it the store is emptied.
 STORED_PIECES = 600_000
@@ -177,6 +177,7 @@ def encode_documents(
 
     @F.pandas_udf("n_tokens long, ids binary, decoded binary")
     def encoded(texts: pd.Series) -> pd.DataFrame:
+        own_worker("bytebpe", encoder.cache_clear)
         e = encoder(vocabulary, pattern)
         ids = [e.encode_bytes(t) for t in texts]
         back = [e.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
@@ -193,6 +194,7 @@ def encoding_digests(
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(texts: pd.Series) -> pd.DataFrame:
+        own_worker("bytebpe", encoder.cache_clear)
         e = encoder(vocabulary, pattern)
         rows = []
         for t in texts:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,3 +42,16 @@ def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(name, before)
+
+
+_stores: dict[str, Callable[[], None]] = {}
+
+
+def own_worker(owner: str, forget: Callable[[], None] | None = None) -> None:
+    """Called where an operator's task begins in a Python worker: what other operators
+    keep there is forgotten, so that stages that follow each other do not add up. An
+    operator that keeps something says how it is forgotten."""
+    for other in [o for o in _stores if o != owner]:
+        _stores.pop(other)()
+    if forget is not None:
+        _stores[owner] = forget

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import plain_text
+from riskspark.llm.common import own_worker, plain_text
 
 #: Hash buckets (a power of two) and numbers of an embedding.
 BUCKETS, DIMENSIONS = 1 << 16, 16
@@ -197,6 +197,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def judged(texts: pd.Series) -> pd.DataFrame:
+        own_worker("langid")
         m = sent.value
         p, some = m.probabilities(texts.tolist())
         best = p.argmax(1) if len(p) else np.zeros(0, int)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import checkpointed
+from riskspark.llm.common import checkpointed, own_worker
 from riskspark.llm.graph import components
 from riskspark.llm.substrings import mixed
 
@@ -186,6 +186,7 @@ def near_lines(texts: DataFrame) -> DataFrame:
 
     def keys(probe: bool) -> DataFrame:
         def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own_worker("lines")
             for batch in batches:
                 lines, size, seen = [], 0, set()
                 for text in batch["text"]:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import plain_text
+from riskspark.llm.common import own_worker, plain_text
 
 WINDOW = 4096
 #: Id after each document.
@@ -146,6 +146,7 @@ def tokenized_pieces(
     end = np.array([END_ID], "<u4").tobytes()
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own_worker("packing", chunk_ids.cache_clear)
         store = chunk_ids(vocabulary)
         for batch in batches:
             made = []
