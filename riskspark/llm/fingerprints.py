@@ -10,9 +10,6 @@ functions are used.
 
 from __future__ import annotations
 
-import math
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,27 +19,20 @@ from riskspark.llm.common import plain_text
 #: (So few that the code generated for a row stays in the size that the JVM compiles.)
 SAMPLE_ROWS, LANES = 16, 4
 SAMPLES = SAMPLE_ROWS * LANES
+#: Draws of so many times the expected least draw of a text are not looked at: that the
+#: least one is among them has odds of exp(-40), less than that two hashes are equal.
+LONGEST = 40.0
 #: Hex digits of a sample in the fingerprint.
 DIGITS = 4
-#: Steps of the Gamma quantile tables (powers of two): scales, and log draws.
-SCALE_STEPS, DRAW_STEPS = 512, 2048
 #: Documents of a block of neighbouring ids, and blocks at most.
 BLOCK_DOCUMENTS, MAX_BLOCKS = 1024, 16384
 #: Ids from which the block borders are chosen, about. Borders only share out work.
 BORDER_IDS = 65_536
 
 
-@lru_cache(maxsize=4)
-def gamma_quantiles(steps: int, log: bool) -> str:
-    """SQL of an array of Gamma(2, 1) quantiles, or of their logarithms."""
-    out = []
-    for k in range(steps):
-        left, low, high = 1 - (k + 0.5) / steps, 0.0, 60.0
-        for _ in range(60):
-            x = (low + high) / 2
-            low, high = (x, high) if (1 + x) * math.exp(-x) > left else (low, x)
-        out.append(f"{math.log(x) if log else x:.9g}")
-    return f"cast(split('{','.join(out)}', ',') as array<double>)"
+def _uniform(bits: str, n: int) -> str:
+    """SQL of a uniform number, never 0 or 1, from ``n`` bits of a hash."""
+    return f"(({bits} & {(1 << n) - 1}L) + 0.5D) * {2.0 ** -n!r}D"
 
 
 def word_hashes(text: Column) -> Column:
@@ -75,19 +65,29 @@ def weighted(sorted_terms: Column) -> Column:
 
 
 def _draws(lane: int) -> dict[str, Column]:
-    """Columns of one lane, each step from those before it: hash, scale, level, value."""
+    """Columns of one lane, each step from those before it: hash, more bits, the products
+    ``q`` and ``p`` of two uniform numbers each, the shift ``s``, scale, level, value.
+
+    The Gamma(2, 1) variates are ``-ln(q)`` and ``-ln(p)``, so no tail is cut: the least
+    draw of a text of very many terms lies far in the tails. A draw that is surely over
+    the text's ``_reach`` has no logarithm taken, and a null value: for the weight 1 it is
+    ``-ln(p) * q ** s``, of which ``(1 - p) * q / (q + s * (1 - q))`` is a lower bound.
+    """
     h = F.xxhash64("_term", "_row_of_samples", F.lit(lane))
-    scale = F.expr(f"{gamma_quantiles(SCALE_STEPS, False)}[cast(_h{lane} & {SCALE_STEPS - 1} as int)]")
-    bits = SCALE_STEPS.bit_length() - 1
-    draw = f"{gamma_quantiles(DRAW_STEPS, True)}[cast(shiftrightunsigned(_h{lane}, {bits}) & {DRAW_STEPS - 1} as int)]"
-    shift = f"(shiftrightunsigned(_h{lane}, 32) / 4294967296.0D)"
-    level = F.expr(f"floor(_weight / _r{lane} + {shift})")
-    # The order of log draws in the high 40 bits, the sampled (term, level) in the low 23.
+    more = F.xxhash64(f"_h{lane}")
+    q = F.expr(f"{_uniform(f'_h{lane}', 32)} * ({_uniform(f'shiftrightunsigned(_h{lane}, 32)', 32)})")
+    p = F.expr(f"{_uniform(f'_g{lane}', 21)} * ({_uniform(f'shiftrightunsigned(_g{lane}, 21)', 21)})")
+    shift = F.expr(f"1 - shiftrightunsigned(_g{lane}, 42) / 4194304.0D")
+    in_reach = f"_weight > 0 or (1 - _p{lane}) * _q{lane} <= _reach * (_q{lane} + _s{lane} * (1 - _q{lane}))"
+    scale = F.expr(f"case when {in_reach} then -ln(_q{lane}) end")
+    level = F.expr(f"floor(_weight / _r{lane} + 1 - _s{lane})")
+    # The order of log draws in the high 41 bits, the sampled (term, level) in the low 23.
     value = F.expr(
-        f"shiftleft(cast((64 + {draw} - _r{lane} * (_t{lane} - {shift} + 1)) * 8589934592.0D as bigint), 23)"
-        f" | (shiftrightunsigned(_h{lane}, 41) ^ (_t{lane} * 40503)) & 8388607"
+        f"case when _r{lane} is not null then"
+        f" shiftleft(cast((64 + ln(-ln(_p{lane})) - _r{lane} * (_t{lane} + _s{lane})) * 8589934592.0D as bigint), 23)"
+        f" | (_h{lane} ^ (_t{lane} * 40503)) & 8388607 end"
     )
-    return {"h": h, "r": scale, "t": level, "v": value}
+    return {"h": h, "g": more, "q": q, "p": p, "s": shift, "r": scale, "t": level, "v": value}
 
 
 def fingerprints(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
@@ -100,21 +100,23 @@ def fingerprints(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """
     e = rows.select(*keys, word_hashes(plain_text(text_col)).alias("_words"))
     e = e.select(*keys, F.sort_array(pair_hashes(F.col("_words"))).alias("_terms"))
-    e = e.select(*keys, F.explode(weighted(F.col("_terms"))).alias("_w"))
+    # The least draw of a text of n terms has the rate n: it is over LONGEST / n with odds of exp(-LONGEST).
+    reach = F.lit(LONGEST) / F.greatest(F.size("_terms"), F.lit(1))
+    e = e.select(*keys, reach.alias("_reach"), F.explode(weighted(F.col("_terms"))).alias("_w"))
     e = e.select(
         *keys,
+        "_reach",
         F.col("_w.term").alias("_term"),
         F.col("_w.weight").alias("_weight"),
         F.explode(F.sequence(F.lit(0), F.lit(SAMPLE_ROWS - 1))).alias("_row_of_samples"),
     )
     lanes = [_draws(k) for k in range(LANES)]
-    for step in ("h", "r", "t", "v"):
-        kept = [*keys, "_row_of_samples", "_term", "_weight"]
-        before = {"h": [], "r": ["h"], "t": ["h", "r"], "v": []}[step]
+    for new, before in (("h", ""), ("g", "h"), ("qps", "hg"), ("r", "hqps"), ("t", "hpsr"), ("v", "hpsrt")):
+        kept = [*keys, "_row_of_samples", "_reach", "_term", "_weight"]
         e = e.select(
-            *(kept if step != "v" else kept[:-2]),
-            *[f"_{b}{k}" for b in before for k in range(LANES)],
-            *[lanes[k][step].alias(f"_{step}{k}") for k in range(LANES)],
+            *(kept if new != "v" else kept[:-3]),
+            *[f"_{b}{k}" for b in (before if new != "v" else "") for k in range(LANES)],
+            *[lanes[k][n].alias(f"_{n}{k}") for n in new for k in range(LANES)],
         )
     least = e.groupBy(*keys, "_row_of_samples").agg(*[F.min(f"_v{k}").alias(f"_v{k}") for k in range(LANES)])
     sample = [
