@@ -125,14 +125,23 @@ def masked(df: DataFrame, domain: str) -> DataFrame:
     return df.withColumn(domain, X.mask_domain(F.col(domain)))
 
 
-def bloom_members(left: DataFrame, members: DataFrame, key: str, rate: float = 0.001, items: int = 100_000) -> DataFrame:
+def bloom_members(left: DataFrame, members: DataFrame, key: str, rate: float = 0.001, items: int | None = None) -> DataFrame:
     """Distinct keys with ``maybe``: whether a Bloom filter of the members may hold them
-    (never false for a member). The filter's set bits are rows, met by a join."""
+    (never false for a member). The filter is sized for ``items`` members, or for as many
+    as there are. Its set bits are rows, met by a join."""
     from riskspark.functions.packets import bloom_bits, bloom_size
 
-    bits, hashes = bloom_size(items, rate)
+    names = members.select(key).dropna().distinct()
+    bits, hashes = bloom_size(names.count(), rate, 1 << 32) if items is None else bloom_size(items, rate)
     places = bloom_bits(bits, hashes)
-    held = members.select(F.explode(places(F.col(key))).alias("bit")).distinct().withColumn("set", F.lit(1))
+    held = names.select(F.explode(places(F.col(key))).alias("bit")).distinct().withColumn("set", F.lit(1))
     asked = left.select(key).dropna().distinct().select(key, F.explode(F.array_distinct(places(F.col(key)))).alias("bit"))
     found = asked.join(small(held, 10_000_000), "bit", "left")
     return found.groupBy(key).agg((F.count("set") == F.count(F.lit(1))).alias("maybe"))
+
+
+def confirmed_members(left: DataFrame, members: DataFrame, key: str, rate: float = 0.001) -> DataFrame:
+    """The distinct keys that are members: those that the Bloom filter refuses are not
+    looked up, and those that it lets through are confirmed by a semi-join (exact)."""
+    maybe = bloom_members(left, members, key, rate).where("maybe")
+    return maybe.join(members.select(key), key, "left_semi")

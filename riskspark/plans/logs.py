@@ -196,4 +196,4 @@ def w4_top_of_each(spark, sf):
 def b9_bloom_members(spark, sf):
     c = table(spark, sf, "customer")
     held = c.join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
-    return O.bloom_members(held, held, "c_name")
+    return O.confirmed_members(c, held, "c_name")

@@ -207,6 +207,30 @@ def test_bloom_has_no_false_negatives(spark):
     assert all(got[k] for k in got if k[0] == "d") and sum(got[k] for k in got if k[0] == "x") < 10
 
 
+def test_bloom_is_sized_from_the_members(spark):
+    held = spark.range(300_000).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("k"))
+    asked = spark.range(2000).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("k"))
+    assert tables.bloom_members(asked, held, "k").where("maybe").count() < 20
+
+
+def test_bloom_query_asks_all_customers(spark, monkeypatch):
+    from riskspark.plans import logs
+
+    asked, ask = [], tables.bloom_members
+
+    def spied(left, *rest, **more):
+        asked.append(left.count())
+        return ask(left, *rest, **more)
+
+    monkeypatch.setattr(tables, "bloom_members", spied)
+    logs.b9_bloom_members(spark, "/root/testdata/sf0.001").count()
+    assert asked == [spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()]
+    # With a filter that lets much through, the semi-join leaves the members alone.
+    left, held = spark.range(1000).selectExpr("cast(id as string) k"), spark.range(500).selectExpr("cast(id as string) k")
+    got = {r.k for r in tables.confirmed_members(left, held, "k", 0.5).collect()}
+    assert got == {str(k) for k in range(500)}
+
+
 def test_crops_and_variations_are_stable(spark):
     df = spark.createDataFrame([("abcdefghij" * 10,), ("short",), ("",)], "t string")
     cut = [r[0] for r in df.select(corpus.cropped(F.col("t"))).collect()]
