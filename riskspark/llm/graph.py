@@ -1,11 +1,13 @@
-"""Connected components of links between keys, by alternating stars."""
+"""Links inside buckets, and connected components of links."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import checkpointed
+from riskspark.llm.common import checkpointed, dropped, stored
 
 
 def components(links: DataFrame, left: str, right: str) -> DataFrame:
@@ -14,7 +16,7 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     ones, to its least neighbour, so a hub's links become links of others. The number
     of steps grows with the logarithm of the longest path. Null ends are left out."""
     pairs = links.select(F.col(left).alias("u"), F.col(right).alias("v")).dropna().where("u != v")
-    pairs = checkpointed(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    pairs = stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,10 +29,67 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             small_least.select("u", F.col("m").alias("v"))
         )
-        pairs = checkpointed(small.where("u != v").distinct())
+        last, pairs = pairs, stored(small.where("u != v").distinct())
+        dropped(last)
         now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
     nodes = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    nodes = nodes.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    nodes = checkpointed(nodes)
+    dropped(pairs)
+    return nodes
+
+
+def bucket_links(
+    members: DataFrame,
+    marks: DataFrame,
+    may_link: Callable[[Column, Column], Column],
+    verified: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """Links that connect all nodes that any links inside the buckets connect.
+
+    ``members`` has distinct ``bucket, node, lead``; a pair counts if one of its ends is
+    a ``lead`` there. ``marks`` has each ``node`` and its ``mark``; ``may_link`` of two
+    marks is false only for pairs that certainly are no link. ``verified`` keeps of
+    distinct pairs ``a, b`` (``a < b``) those that are links, and may add columns.
+
+    In each bucket all nodes meet the bucket's pivot first: the lead that is with the
+    most others in its buckets. Then every node that is not in its pivot's component
+    meets those nodes of the bucket that are in other components than its own and that
+    may link. So a pair of a bucket is left unverified only where it cannot link, or
+    where both ends are connected already, and a large group of links is not paired out.
+    """
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    with_sizes = members.join(sizes, "bucket")
+    # Whole numbers: their sum does not depend on the order of the rows.
+    weight = F.round(F.log2("size") * 256).cast("long")
+    central = with_sizes.groupBy("node").agg(F.sum(weight).alias("central"))
+    leads = members.where("lead").join(central, "node")
+    pivots = leads.groupBy("bucket").agg(F.max(F.struct("central", "node")).alias("top"))
+    pivots = stored(pivots.select("bucket", F.col("top.node").alias("pivot")))
+    pairs = members.join(pivots, "bucket").where("node != pivot")
+    pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    mark_a, mark_b = (marks.select(F.col("node").alias(c), F.col("mark").alias(f"mark_{c}")) for c in "ab")
+    pairs = pairs.join(mark_a, "a").join(mark_b, "b").where(may_link(F.col("mark_a"), F.col("mark_b")))
+    first = checkpointed(verified(pairs.select("a", "b")))
+    if first.isEmpty():
+        state = members.join(pivots, "bucket").withColumns({"component": F.col("node"), "settled": F.col("node") == F.col("pivot")})
+    else:
+        found = components(first, "a", "b")
+        of_pivot = pivots.join(found.select(F.col("node").alias("pivot"), F.col("component").alias("c")), "pivot", "left")
+        of_pivot = of_pivot.select("bucket", F.coalesce("c", "pivot").alias("c"))
+        state = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        state = state.join(of_pivot, "bucket").withColumn("settled", F.col("component") == F.col("c"))
+    state = stored(state.select("bucket", "node", "lead", "component", "settled"))
+    open_buckets = state.where("not settled").select("bucket").distinct()
+    rest = stored(state.join(open_buckets, "bucket", "left_semi").join(marks, "node"), False)
+    u, r = rest.where("not settled").alias("u"), rest.alias("r")
+    apart = (F.col("u.component") != F.col("r.component")) & (F.col("r.settled") | (F.col("u.node") < F.col("r.node")))
+    apart = apart & (F.col("u.lead") | F.col("r.lead")) & may_link(F.col("u.mark"), F.col("r.mark"))
+    pairs = u.join(r, (F.col("u.bucket") == F.col("r.bucket")) & apart)
+    pairs = pairs.select(F.least("u.node", "r.node").alias("a"), F.greatest("u.node", "r.node").alias("b")).distinct()
+    second = checkpointed(verified(pairs))
+    dropped(pivots, state, rest)
+    return first.unionByName(second)

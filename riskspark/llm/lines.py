@@ -1,15 +1,16 @@
 """Line deduplication by a segment-partition edit join.
 
+Short lines are compared by characters, lines of ``LONG_WORDS`` words or more by words.
 A line within ``t`` edits of another holds one of that line's ``t + 1`` segments
-unchanged, at nearly the same place. Segments are indexed by line length, number and
-content; each line probes the indexes of its own and slightly smaller lengths with the
+unchanged, at nearly the same place. Segments are indexed by length class, number and
+content; each line probes the indexes of the classes that near lines may have with the
 few substrings that can match. What meets is verified by a banded bit-parallel edit
 distance.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,28 +18,28 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import checkpointed, own_worker
-from riskspark.llm.graph import components
+from riskspark.llm.common import checkpointed, dropped, numbered, own_worker, stored
+from riskspark.llm.graph import bucket_links, components
 from riskspark.llm.substrings import mixed
 
-#: Edits that lines from these lengths on may differ by (of two, the shorter one counts).
-EDITS = {20: 1, 40: 2}
-MOST_EDITS = max(EDITS.values())
+#: Lines of so many words are compared by words, if both are.
+LONG_WORDS = 24
+#: Length classes and the edits allowed in them (of two lines, the shorter one's count):
+#: characters of lines of fewer words, and words.
+CHARACTER_EDITS = {20: 1, 40: 2} | {40 << k: 2 for k in range(1, 24)}
+WORD_EDITS = {24: 1, 48: 2, 72: 3, 96: 4, 144: 6, 192: 8} | {192 << k: 8 for k in range(1, 20)}
 #: Code points that are hashed at once.
 PIECE = 1 << 20
-#: Line ids that are broadcast at most; more are joined by a shuffle.
+#: Line ids that are broadcast at most (8 or 16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 200_000
-#: Rows and places of removed lines that are broadcast at most (a few bytes each).
-BROADCAST_MARKS = 2_000_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_WHITE = np.array([c for c in range(0x3001) if chr(c).isspace()], "u4")
 
 
-def edits_allowed(length: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(length), "i8")
-    for least, t in sorted(EDITS.items()):
-        out[length >= least] = t
-    return out
+def edits_allowed(length: int, by_words: bool) -> int:
+    classes = WORD_EDITS if by_words else CHARACTER_EDITS
+    return max((t for least, t in classes.items() if least <= length), default=0)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -47,82 +48,101 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-class Substrings:
-    """Hashes of substrings of lines that lie one after the other."""
-
-    def __init__(self, lines: list[str]):
-        self.length = np.fromiter(map(len, lines), "i8", len(lines))
-        self.start = np.cumsum(self.length) - self.length
-        points = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype("u8")
-        value = mixed((points + np.uint64(1)) * np.uint64(_BASE))
-        self.bins = (value >> np.uint64(60)).astype("i8")
-        self.total = np.zeros(len(points) + 1, "u8")
-        np.cumsum(value * _powers(_BASE, len(points))[:-1], out=self.total[1:])
-        self.inverse = _powers(_INVERSE, len(points))
-
-    def hashes(self, line: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
-        a = self.start[line] + at
-        return mixed((self.total[a + length] - self.total[a]) * self.inverse[a])
-
-
-def segment(length: np.ndarray, parts: int, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """Place and length of segment ``number`` (from 0) of lines cut in ``parts`` even parts; the last ones are longer."""
-    base, more = length // parts, length % parts
-    longer = np.maximum(number - (parts - more), 0)
-    return number * base + longer, base + (number >= parts - more)
-
-
-def segment_keys(s: Substrings, probe: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Line number and key of the lines' segments, or of their probes."""
-    n, out = s.length, []
-
-    def add(line: np.ndarray, at: np.ndarray, size: np.ndarray, indexed: np.ndarray, number: int) -> None:
-        tag = (indexed * 8 + number).astype("u8")
-        out.append((line, mixed(s.hashes(line, at, size) ^ mixed(tag * np.uint64(_BASE)))))
-
-    for shorter in range(MOST_EDITS + 1):
-        allowed = edits_allowed(n - shorter)
-        for t in sorted(set(EDITS.values())):
-            if shorter > t:
-                continue
-            line = np.flatnonzero(allowed == t)
-            size = n[line] - shorter
-            for k in range(t + 1):
-                place, part = segment(size, t + 1, k)
-                if not probe:
-                    if not shorter:
-                        add(line, place, part, size, k)
+class Units:
+    """Hashes of runs of units (characters, or words) of lines that lie one after the other."""
+
+    def __init__(self, value: np.ndarray, length: np.ndarray):
+        self.value, self.length = value, length
+        self.start = np.cumsum(length) - length
+        self.total = np.zeros(len(value) + 1, "u8")
+        np.cumsum(value * _powers(_BASE, len(value))[:-1], out=self.total[1:])
+        self.inverse = _powers(_INVERSE, len(value))
+
+    def hashes(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return mixed((self.total[start + length] - self.total[start]) * self.inverse[start])
+
+    def parities(self) -> np.ndarray:
+        """For each line, whether an odd number of its units falls in each of 128 bins."""
+        n = len(self.length)
+        at = np.repeat(np.arange(n) * 128, self.length) + (self.value >> np.uint64(57)).astype("i8")
+        odd = (np.bincount(at, minlength=128 * n) & 1).astype("u1")
+        return np.packbits(odd).view("<i8").reshape(-1, 2)
+
+
+def characters_and_words(lines: list[str]) -> tuple[Units, Units]:
+    length = np.fromiter(map(len, lines), "i8", len(lines))
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
+    white = points == 32
+    some = np.flatnonzero(points > 126)  # most text is plain
+    white[some] = np.isin(points[some], _WHITE)
+    white |= (points < 32) & np.isin(points, _WHITE)
+    characters = Units(mixed((points.astype("u8") + np.uint64(1)) * np.uint64(_BASE)), length)
+    line = np.repeat(np.arange(len(lines)), length)
+    first = np.append(True, line[1:] != line[:-1]) if len(line) else np.zeros(0, bool)
+    start = np.flatnonzero(~white & (first | np.append(True, white[:-1]))) if len(white) else np.zeros(0, "i8")
+    last = np.append(first[1:], True) | np.append(white[1:], True) if len(white) else np.zeros(0, bool)
+    end = np.flatnonzero(~white & last) + 1
+    words = Units(characters.hashes(start, end - start), np.bincount(line[start], minlength=len(lines)))
+    return characters, words
+
+
+def segment_keys(units: Units, classes: dict[int, int], indexed: np.ndarray, probing: np.ndarray, kind: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Line number, key, and whether the key is of an indexed segment, for the lines
+    marked as ``indexed`` and the probes of those marked as ``probing``.
+
+    In a class of lines that have ``least`` units or more, ``t + 1`` segments of equal
+    length begin at the line's start. Of a pair within ``t`` edits, the shorter line has
+    a segment ``k`` that is unchanged and has ``k`` edits before it and ``t - k`` at most
+    after it: that bounds how far it is shifted in the longer one, whose length is at
+    most ``t`` more. Unshifted segments of a line's own class are among its probes.
+    """
+    borders = sorted(classes)
+    for c, least in enumerate(borders):
+        t = classes[least]
+        below = borders[c + 1] if c + 1 < len(borders) else np.inf
+        size = least // (t + 1)
+        own = (units.length >= least) & (units.length < below)
+        probes = np.flatnonzero(probing & (units.length >= least) & (units.length - t < below))
+        for k in range(t + 1):
+            tag = mixed(np.full(1, ((kind << 8) + c << 8) + k + 1, "u8") * np.uint64(_BASE))
+            for shift in range(-min(k, t - k), k + 1):
+                if shift < 0 and k + shift < 0:
                     continue
-                # Edits before the segment shift it, as do those after it seen from the end.
-                low = np.maximum(np.maximum(place - k, place + shorter - (t - k)), 0)
-                high = np.minimum(np.minimum(place + k, place + shorter + (t - k)), n[line] - part)
-                for step in range(2 * t + 1):
-                    ok = low + step <= high
-                    if ok.any():
-                        add(line[ok], low[ok] + step, part[ok], size[ok], k)
-    if not out:
-        return np.zeros(0, "i8"), np.zeros(0, "u8")
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+                at = k * size + shift
+                line = probes if shift else np.union1d(probes, np.flatnonzero(indexed & own))
+                line = line[units.length[line] >= at + size]
+                if len(line):
+                    key = mixed(units.hashes(units.start[line] + at, np.full(len(line), size)) ^ tag)
+                    yield line, key, (indexed & own)[line] & (shift == 0)
 
 
-def letter_counts(s: Substrings) -> np.ndarray:
-    """Counts of each line's characters in 16 hashed bins, modulo 16, in one integer."""
-    n = len(s.length)
-    bins = np.repeat(np.arange(n) * 16, s.length) + s.bins
-    counts = np.bincount(bins, minlength=16 * n).reshape(-1, 16).astype("u8") & np.uint64(15)
-    return np.bitwise_or.reduce(counts << (np.arange(16, dtype="u8") * np.uint64(4)), axis=1).view("i8")
+def line_id(line: str) -> int:
+    """The same as Spark's ``xxhash64`` of the line."""
+    h = xxhash.xxh64_intdigest(line.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
 
 
-def counts_apart(a: Column, b: Column) -> Column:
-    """How far two lines' letter counts are apart, at least; an edit moves them by two at most."""
-    total = F.lit(0)
-    for k in range(16):
-        d = F.pmod(F.shiftrightunsigned(a, 4 * k).bitwiseAND(15) - F.shiftrightunsigned(b, 4 * k).bitwiseAND(15), F.lit(16))
-        total = total + F.least(d, 16 - d)
-    return total
+def _key_frame(lines: list[str]) -> pd.DataFrame:
+    """Keys of distinct lines. The parities are of the units that the key is made of."""
+    characters, words = characters_and_words(lines)
+    ids, out = np.fromiter(map(line_id, lines), "i8", len(lines)), []
+    long = words.length >= LONG_WORDS
+    # A long line also meets short ones that an edit or two would make long.
+    nearly = words.length < LONG_WORDS + 2 * max(CHARACTER_EDITS.values())
+    for kind, (units, classes, indexed, probing) in enumerate(
+        ((characters, CHARACTER_EDITS, ~long, nearly), (words, WORD_EDITS, long, long))
+    ):
+        odd = units.parities()
+        most = np.array([0, *(classes[c] for c in sorted(classes))])[np.searchsorted(sorted(classes), units.length, "right")]
+        for line, key, lead in segment_keys(units, classes, indexed, probing, kind):
+            out.append((key.view("i8"), ids[line], lead, odd[line, 0], odd[line, 1], most[line], np.full(len(line), kind)))
+    columns = ["bucket", "node", "lead", "p0", "p1", "most", "kind"]
+    if not out:
+        return pd.DataFrame({c: np.zeros(0, bool if c == "lead" else "i8") for c in columns})
+    return pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
 
-def within_edits(a: str, b: str, most: int) -> bool:
+def within_edits(a: Sequence, b: Sequence, most: int) -> bool:
     """Whether the edit distance is at most ``most`` (31 or less): Hyyrö's bit-parallel
     column, of which only the ``2 * most + 1`` bits around the diagonal are kept."""
     if a == b:
@@ -143,7 +163,7 @@ def within_edits(a: str, b: str, most: int) -> bool:
     if len(a) <= most:
         return _plain(a, b) <= most
     full, top = (1 << 64) - 1, 1 << 63
-    places: dict[str, int] = {}
+    places: dict = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
     up, down, distance, across = full << (63 - most) & full, 0, most, 1 << 62
@@ -165,7 +185,7 @@ def within_edits(a: str, b: str, most: int) -> bool:
     return distance <= most
 
 
-def _plain(a: str, b: str) -> int:
+def _plain(a: Sequence, b: Sequence) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
@@ -174,63 +194,72 @@ def _plain(a: str, b: str) -> int:
     return row[-1]
 
 
-def line_id(line: str) -> int:
-    """The same as Spark's ``xxhash64`` of the line."""
-    h = xxhash.xxh64_intdigest(line.encode(), 42)
-    return h - (1 << 64) if h >> 63 else h
+def near(a: str, b: str) -> bool:
+    """Whether two lines are within the allowed edits of each other."""
+    x, y = a.split(), b.split()
+    if min(len(x), len(y)) >= LONG_WORDS:
+        return within_edits(x, y, edits_allowed(min(len(x), len(y)), True))
+    most = edits_allowed(min(len(a), len(b)), False)
+    return a == b or most > 0 and within_edits(a, b, most)
 
 
 def near_lines(texts: DataFrame) -> DataFrame:
-    """``a, b``: ids of distinct lines of the column ``text`` that are within the allowed
-    edits of each other; every such pair once."""
-
-    def keys(probe: bool) -> DataFrame:
-        def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            own_worker("lines")
-            for batch in batches:
-                lines, size, seen = [], 0, set()
-                for text in batch["text"]:
-                    for line in text.split("\n"):
-                        if len(line) >= min(EDITS) and line not in seen:
-                            seen.add(line)
-                            lines.append(line)
-                            size += len(line)
-                            if size > PIECE:
-                                yield _key_frame(lines, probe)
-                                lines, size = [], 0
-                if lines:
-                    yield _key_frame(lines, probe)
-
-        return texts.select("text").mapInPandas(of, "key long, line long, letters long")
-
-    index = keys(False).select("key", F.col("line").alias("a"), F.col("letters").alias("la"))
-    probe = keys(True).select("key", F.col("line").alias("b"), F.col("letters").alias("lb"))
-    # Lines whose letters differ by more than the edits can explain do not meet.
-    near = (F.col("a") != F.col("b")) & (counts_apart(F.col("la"), F.col("lb")) <= 2 * MOST_EDITS)
-    met = index.alias("i").join(probe.alias("p"), (F.col("i.key") == F.col("p.key")) & near)
-    met = checkpointed(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ids = met.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    if met.limit(BROADCAST_IDS // 2 + 1).count() <= BROADCAST_IDS // 2:
-        ids = F.broadcast(ids)
-    lines = texts.select(F.explode(F.split("text", "\n")).alias("content")).withColumn("line", F.xxhash64("content"))
-    lines = lines.join(ids, "line", "left_semi").groupBy("line").agg(F.first("content").alias("content"))
-    lines = checkpointed(lines)
+    """``line_a, line_b``: digests of distinct lines of the column ``text`` that are near
+    each other; enough pairs to connect whatever all near pairs connect."""
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own_worker("lines")
+        for batch in batches:
+            lines, size, seen = [], 0, set()
+            for text in batch["text"]:
+                for line in text.split("\n"):
+                    if len(line) >= min(CHARACTER_EDITS) and line not in seen:
+                        seen.add(line)
+                        lines.append(line)
+                        size += len(line)
+                        if size > PIECE:
+                            yield _key_frame(lines)
+                            lines, size = [], 0
+            if lines:
+                yield _key_frame(lines)
+
+    rows = texts.select("text").mapInPandas(keys, "bucket long, node long, lead boolean, p0 long, p1 long, most long, kind long")
+    # Dealt by key once, for the buckets and for their members alike.
+    rows = rows.repartition("bucket")
+    live = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("lead").alias("any"))
+    rows = rows.join(live.where("low < high and any").select("bucket"), "bucket", "left_semi")
+    rows = stored(rows.groupBy("bucket", "node").agg(F.max("lead").alias("lead"), *[F.first(c).alias(c) for c in ("p0", "p1", "most", "kind")]))
+    # A line may have parities of its characters and of its words.
+    both = {f"{c}_{k}": F.max(F.when(F.col("kind") == k, F.col(c))) for k in (0, 1) for c in ("p0", "p1", "most")}
+    marks = rows.groupBy("node").agg(*[c.alias(name) for name, c in both.items()]).select("node", F.struct(*both).alias("mark"))
+
+    def may_be_near(a: Column, b: Column) -> Column:
+        """An edit changes two parities at most, of characters or of words."""
+
+        def of(kind: int) -> Column:
+            odd = [F.bit_count(a[f"{p}_{kind}"].bitwiseXOR(b[f"{p}_{kind}"])) for p in ("p0", "p1")]
+            most = F.least(a[f"most_{kind}"], b[f"most_{kind}"])
+            return F.coalesce(odd[0] + odd[1] <= 2 * most, F.lit(False))
+
+        return of(0) | of(1)
+
+    ids = rows.select("node").distinct()
+    ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    content = texts.select(F.explode(F.split("text", "\n")).alias("content")).withColumn("node", F.xxhash64("content"))
+    content = content.join(ids, "node", "left_semi").withColumn("line", F.unhex(F.md5("content")))
+    content = stored(content.groupBy("node", "line").agg(F.first("content").alias("content")))
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        short = np.minimum(a.str.len(), b.str.len()).to_numpy("i8")
-        return pd.Series([within_edits(x, y, t) for x, y, t in zip(a, b, edits_allowed(short).tolist(), strict=True)], dtype=bool)
+        return pd.Series([near(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    met = met.join(lines.select(F.col("line").alias("a"), F.col("content").alias("ta")), "a")
-    met = met.join(lines.select(F.col("line").alias("b"), F.col("content").alias("tb")), "b")
-    return checkpointed(met.where(alike("ta", "tb")).select("a", "b"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        a, b = (content.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}"), F.col("content").alias(f"text_{c}")) for c in "ab")
+        return pairs.join(a, "a").join(b, "b").where(alike("text_a", "text_b")).select("a", "b", "line_a", "line_b")
 
-
-def _key_frame(lines: list[str], probe: bool) -> pd.DataFrame:
-    s = Substrings(lines)
-    number, key = segment_keys(s, probe)
-    ids = np.fromiter(map(line_id, lines), "i8", len(lines))
-    return pd.DataFrame({"key": key.view("i8"), "line": ids[number], "letters": letter_counts(s)[number]})
+    links = bucket_links(rows.select("bucket", "node", "lead"), marks, may_be_near, verified)
+    dropped(rows, content)
+    return links.select("line_a", "line_b")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,53 +267,59 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ``n_removed`` and ``n_near`` (these replace columns of the same names).
 
     Lines are what lies between line feeds. Lines that are equal, or linked by a chain
-    of lines within the allowed edits (``EDITS``), form a class; the first line of the
-    class stays (least id, null ids last, then the first place) and the others go.
+    of near lines (``CHARACTER_EDITS``, ``WORD_EDITS``), form a class; the first line of
+    the class stays (least id, null ids last, then the first place) and the others go.
     Lines of white space alone stay and are not counted as removed. ``n_near`` counts a
-    row's lines that are like a different line. A null text stays null, with no lines;
+    row's lines that are near a different line. A null text stays null, with no lines;
     an empty one has one. Of rows with equal ids one comes first. An empty table gives
-    no rows.
+    no rows. Lines are told apart by 128-bit digests.
     """
     mine = ("n_lines", "n_removed", "n_near")
     names = [c for c in docs.columns if c not in mine]
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("_all"),
-        F.monotonically_increasing_id().alias("row"),
-    )
+    rows = numbered(docs)
     texts = rows.select(F.col(f"_all.`{id_col}`").alias("id"), F.col(f"_all.`{text_col}`").alias("text"), "row")
     texts = texts.where(F.col("text").isNotNull())
     links = near_lines(texts)
+    classes = None if links.isEmpty() else components(links, "line_a", "line_b").withColumnRenamed("node", "line")
     every = texts.select("id", "row", F.posexplode(F.split("text", "\n")).alias("place", "content"))
-    every = every.where(F.col("content").rlike(r"\S")).select("id", "row", "place", F.xxhash64("content").alias("line"))
-    first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row", "place")).alias("first")
-    classes = components(links, "a", "b").withColumnRenamed("node", "line") if not links.isEmpty() else None
-    heads = every.groupBy("line").agg(first)
-    if classes is not None:
-        heads = heads.join(classes, "line", "left").withColumn("line", F.coalesce("component", "line"))
-        heads = heads.groupBy("line").agg(F.min("first").alias("first"))
-    heads = heads.select("first.row", "first.place", F.lit(True).alias("head"))
-    # Heads are met by place, not by line, so that a common line's places spread.
-    marks = every.join(heads, ["row", "place"], "left")
+    every = every.where(F.col("content").rlike(r"\S")).select("id", "row", "place", F.unhex(F.md5("content")).alias("line"))
+    heads = every.groupBy("line").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row", "place")).alias("first"))
     if classes is not None:
-        near = classes.select("line", F.lit(True).alias("near"))
-        near = F.broadcast(near) if near.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else near
-        marks = marks.join(near, "line", "left")
+        heads = heads.join(classes, "line", "left")
+        alone = heads.where("component is null").select("first")
+        heads = alone.unionByName(heads.where("component is not null").groupBy("component").agg(F.min("first").alias("first")).select("first"))
+    # A text's lines that stay, by their places: one row for each text.
+    heads = heads.groupBy(F.col("first.row").alias("row")).agg(F.collect_list("first.place").alias("stay"))
+    joined = rows.join(heads, "row", "left")
+    if classes is None:
+        joined = joined.withColumn("near", F.lit(0).cast("long"))
     else:
-        marks = marks.withColumn("near", F.lit(None).cast("boolean"))
-    gone = F.collect_list(F.when(F.col("head").isNull(), F.col("place"))).alias("gone")
-    marks = marks.groupBy("row").agg(gone, F.count("near").alias("near"))
-    marks = checkpointed(marks.where((F.size("gone") > 0) | (F.col("near") > 0)))
-    size = marks.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
-    if size <= BROADCAST_MARKS:
-        marks = F.broadcast(marks)
-    joined = rows.join(marks, "row", "left")
-    whole = F.col(f"_all.`{text_col}`")
-    lines = F.split(whole, "\n")
-    left = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull())
-    text = F.when(F.size("gone") > 0, F.array_join(left, "\n")).otherwise(whole)
-    return joined.select(
-        *[text.alias(c) if c == text_col else F.col(f"_all.`{c}`").alias(c) for c in names],
-        F.when(whole.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        ids = classes.select("line")
+        ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+        counted = every.join(ids, "line", "left_semi").groupBy("row").agg(F.count(F.lit(1)).alias("near"))
+        joined = joined.join(counted, "row", "left")
+
+    @F.pandas_udf("text string, n_lines long, n_removed long")
+    def rebuilt(texts: pd.Series, stays: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, stay in zip(texts, stays, strict=True):
+            if text is None:
+                out.append((None, 0, 0))
+                continue
+            lines, kept = text.split("\n"), set() if stay is None else set(stay.tolist())
+            left = [x for k, x in enumerate(lines) if k in kept or _blank(x)]
+            out.append(("\n".join(left), len(lines), len(lines) - len(left)))
+        return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
+
+    made = joined.withColumn("made", rebuilt(F.col(f"_all.`{text_col}`"), "stay"))
+    return made.select(
+        *[(F.col("made.text") if c == text_col else F.col(f"_all.`{c}`")).alias(c) for c in names],
+        "made.n_lines",
+        "made.n_removed",
         F.coalesce("near", F.lit(0)).cast("long").alias("n_near"),
     )
+
+
+def _blank(line: str) -> bool:
+    """Nothing but the white space of the pattern ``\\s``, as in SQL."""
+    return not line.strip(" \t\n\x0b\x0c\r")

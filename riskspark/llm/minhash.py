@@ -11,16 +11,16 @@ share a band are verified by their multiset overlap.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import arrow_rows, checkpointed, own_worker, plain_text
-from riskspark.llm.graph import components
+from riskspark.llm.common import arrow_rows, checkpointed, dropped, numbered, own_worker, plain_text, stored
+from riskspark.llm.graph import bucket_links, components
 from riskspark.llm.substrings import hashed_documents, mixed
 
 WORDS, SIMILAR = 5, 0.8
@@ -29,11 +29,8 @@ REGISTERS, BANDS, ROWS = 128, 64, 9
 BAND_REGISTERS = np.stack([np.random.default_rng(k).permutation(REGISTERS)[:ROWS] for k in range(BANDS)])
 #: Time limit of the first try, in mean times until a register fills (besides ln REGISTERS).
 SLACK = 4.0
-#: Bytes of a shingle's hash in a packed multiset: unlike shingles of two texts of a
-#: thousand words meet with odds of one in a million.
-UNIT_BYTES = 5
-#: Pivots of a bucket at first, and how many times as many there are in each next round.
-PIVOTS, MORE_PIVOTS = 1, 6
+#: 64-bit words of the parities by which multisets that are too unlike are told apart.
+PARITY_WORDS = 8
 #: Rows whose numbers are broadcast at most.
 BROADCAST_ROWS = 500_000
 #: Texts (and their characters) whose points are drawn together, and pairs of multisets that a batch holds.
@@ -137,19 +134,34 @@ def multiset_units(of: np.ndarray, shingle: np.ndarray, count: np.ndarray, texts
 
 
 def packed_units(units: np.ndarray) -> bytes:
-    """The high bytes of sorted units."""
-    return np.sort(units).view("u1").reshape(-1, 8)[:, 8 - UNIT_BYTES :].tobytes()
+    return np.sort(units).astype("<u8").tobytes()
 
 
-def overlap_similarity(a: bytes, b: bytes) -> float:
-    """Weighted Jaccard similarity of two packed multisets; two empty ones are equal."""
+def parities(units: list[np.ndarray]) -> np.ndarray:
+    """For each multiset, whether an odd number of its units falls in each of the
+    ``64 * PARITY_WORDS`` bins. Multisets that differ by ``n`` units differ in ``n`` bins at most."""
+    bins = 64 * PARITY_WORDS
+    of = np.repeat(np.arange(len(units)) * bins, [len(u) for u in units])
+    at = (np.concatenate([*units, np.zeros(0, "u8")]) % np.uint64(bins)).astype("i8")
+    odd = (np.bincount(of + at, minlength=len(units) * bins) & 1).astype("u1")
+    return np.packbits(odd).view("<i8").reshape(-1, PARITY_WORDS)
+
+
+def may_be_similar(similar: float) -> Callable[[Column, Column], Column]:
+    """Whether two multisets' sizes and parities leave the asked similarity possible:
+    with ``n`` units in one of them alone, they have at most ``(x + y - n) / (x + y + n)``."""
+
+    def of(a: Column, b: Column) -> Column:
+        apart = F.abs(a["n"] - b["n"])
+        odd = sum((F.bit_count(a[f"p{k}"].bitwiseXOR(b[f"p{k}"])) for k in range(PARITY_WORDS)), F.lit(0))
+        return F.greatest(apart, odd.cast("long")) * (1 + similar) <= (a["n"] + b["n"]) * (1 - similar) + 1e-6
+
+    return of
 
-    def units(data: bytes) -> np.ndarray:
-        out = np.zeros((len(data) // UNIT_BYTES, 8), "u1")
-        out[:, 8 - UNIT_BYTES :] = np.frombuffer(data, "u1").reshape(-1, UNIT_BYTES)
-        return out.view("<u8").ravel()
 
-    x, y = units(a), units(b)
+def overlap_similarity(a: bytes, b: bytes) -> float:
+    """Weighted Jaccard similarity of two packed multisets; two empty ones are equal."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
     if not len(x) or not len(y):
         return float(len(x) == len(y))
     common = int((y[np.searchsorted(y, x).clip(max=len(y) - 1)] == x).sum())
@@ -166,30 +178,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (null texts too). Null ids are classed like others; a class of null ids alone has a
     null ``class_id``. Repeated rows stay repeated; other columns are not read.
 
-    In each bucket of a band all texts meet the bucket's pivot, which is the text that
-    shares most bands. Texts whose class so far is a pivot's are settled in that bucket;
-    the others meet six times as many pivots of their own, until none is left that has
-    not been a pivot or joined one.
+    Texts that share a band are compared unless they are already in one class
+    (:func:`riskspark.llm.graph.bucket_links`). Shingles are compared by 64-bit hashes.
     """
-    rows = _rows(docs, id_col, text_col)
-    return _classes(rows, similar).select(F.col("id").alias(id_col), "class_id", "class_size", "kept")
+    return _classes(numbered(docs), id_col, text_col, similar).select(F.col("id").alias(id_col), "class_id", "class_size", "kept")
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """The rows of ``docs``, all columns, that :func:`near_duplicates` keeps."""
-    kept = _classes(_rows(docs, id_col, text_col), similar).where("kept").select("row")
-    every = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), F.monotonically_increasing_id().alias("row"))
-    return every.join(kept, "row", "left_semi").select(*[F.col(f"_all.`{c}`").alias(c) for c in docs.columns])
-
+    rows = numbered(docs)
+    kept = _classes(rows, id_col, text_col, similar).where("kept").select("row")
+    return rows.join(kept, "row", "left_semi").select(*[F.col(f"_all.`{c}`").alias(c) for c in docs.columns])
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row's number tells it apart; it is its place in the input, which a rerun does not change."""
-    rows = docs.select(F.col(id_col).alias("id"), plain_text(text_col).alias("text"))
-    return rows.withColumn("row", F.monotonically_increasing_id())
 
-
-def _classes(rows: DataFrame, similar: float) -> DataFrame:
+def _classes(rows: DataFrame, id_col: str, text_col: str, similar: float) -> DataFrame:
     """``row, id, class_id, class_size, kept`` of numbered rows."""
+    rows = rows.select(F.col(f"_all.`{id_col}`").alias("id"), plain_text(f"_all.`{text_col}`").alias("text"), "row")
     kind = rows.schema["id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,51 +212,39 @@ def _classes(rows: DataFrame, similar: float) -> DataFrame:
     # Of equal multisets one row is compared, from here on by its number.
     unique = sketched.groupBy("key").agg(F.min("row").alias("node"), F.first("bands").alias("bands"))
     bucket = unique.select("node", F.explode("bands").alias("bucket"))
-    sizes = bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = bucket.join(sizes, "bucket")
-    central = shared.groupBy("node").agg(F.sum(F.log("size")).cast("float").alias("central"))
-    active = checkpointed(shared.select("bucket", "node").join(central, "node"))
-    nodes = active.select(F.col("node").alias("row")).distinct()
+    shared = bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
+    members = stored(bucket.join(shared, "bucket", "left_semi").select("bucket", "node", F.lit(True).alias("lead")))
+    nodes = members.select(F.col("node").alias("row")).distinct()
     if nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         nodes = F.broadcast(nodes)
 
+    mark = [f"p{k}" for k in range(PARITY_WORDS)]
+
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in text_blocks(batch):
                 texts = part["text"].tolist()
-                packed = [packed_units(u) for u in multiset_units(*shingle_sets(texts), len(texts))]
-                yield pd.DataFrame({"node": part["row"], "packed": packed})
+                units = multiset_units(*shingle_sets(texts), len(texts))
+                out = pd.DataFrame(parities(units), columns=mark)
+                yield out.assign(node=part["row"].to_numpy(), n=[len(u) for u in units], packed=[packed_units(u) for u in units])
 
-    sets = rows.select("row", "text").join(nodes, "row", "left_semi").mapInPandas(sets_of, "node long, packed binary")
-    sets = checkpointed(sets, False)
+    kinds = "node long, n long, packed binary, " + ", ".join(f"{p} long" for p in mark)
+    sets = rows.select("row", "text").join(nodes, "row", "left_semi").mapInPandas(sets_of, kinds)
+    sets = stored(sets.select("node", "packed", F.struct("n", *mark).alias("mark")), False)
+    may_link = may_be_similar(similar)
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([overlap_similarity(x, y) >= similar for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    met, found, pivots = None, None, PIVOTS
-    while not active.isEmpty():
-        order = Window.partitionBy("bucket").orderBy(F.col("central").desc(), "node")
-        ranked = active.select("bucket", "node", F.row_number().over(order).alias("rank")).where(F.col("rank") <= pivots)
-        chosen = ranked.select("bucket", F.col("node").alias("pivot"))
-        pairs = active.select("bucket", "node").join(chosen, "bucket").where("node != pivot")
-        new = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        if met is not None:
-            new = new.join(met.select("a", "b"), ["a", "b"], "left_anti")
-        new = new.join(sets.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a")
-        new = new.join(sets.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b")
-        with arrow_rows(rows.sparkSession, BATCH_PAIRS):
-            new = checkpointed(new.select("a", "b", alike("pa", "pb").alias("alike")))
-        met = new if met is None else met.unionByName(new)
-        if found is None or not new.where("alike").isEmpty():
-            found = components(met.where("alike"), "a", "b")
-        member = active.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        settled = member.join(chosen.withColumnRenamed("pivot", "node"), ["bucket", "node"], "left_semi")
-        settled = settled.select("bucket", "component").distinct()
-        rest = member.join(settled, ["bucket", "component"], "left_anti").drop("component")
-        alone = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
-        active = checkpointed(rest.join(alone, "bucket").select("bucket", "node", "central"))
-        pivots *= MORE_PIVOTS
+    def verified(pairs: DataFrame) -> DataFrame:
+        x, y = (sets.select(F.col("node").alias(c), F.col("packed").alias(f"packed_{c}")) for c in "ab")
+        return pairs.join(x, "a").join(y, "b").where(alike("packed_a", "packed_b")).select("a", "b")
+
+    with arrow_rows(rows.sparkSession, BATCH_PAIRS):
+        links = bucket_links(members, sets.select("node", "mark"), may_link, verified)
+    found = None if links.isEmpty() else components(links, "a", "b")
+    dropped(members, sets)
     classes = sketched.select("id", "row", "key").join(unique.select("key", "node"), "key")
     if found is None:
         classes = classes.withColumn("component", F.col("node"))

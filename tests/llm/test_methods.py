@@ -201,13 +201,38 @@ def test_line_dedup_equals_brute_force(spark, texts, tmp_path):
     some = [x for t in texts.values() for x in t.split("\n")][:60]
 
     def changed(line):
-        c = list(line)
-        for _ in range(r.choice([0, 0, 1, 2, 3])):
+        by_words = r.random() < 0.5
+        c = line.split(" ") if by_words else list(line)
+        for _ in range(r.choice([0, 0, 1, 2, 3, 5])):
             k = r.randrange(len(c) + 1)
-            c[k : k + r.randrange(2)] = r.choice(["x", "", "é"])
-        return "".join(c)
+            c[k : k + r.randrange(2)] = r.choice([["x"], [], ["é"]])
+        return (" " if by_words else "").join(c)
 
     rows = [(k, "\n".join(changed(r.choice(some)) for _ in range(r.randrange(1, 6)))) for k in range(60)]
+    check_lines(spark, rows, tmp_path)
+
+
+def test_lines_that_share_a_segment(spark, tmp_path):
+    """Hundreds of lines with one beginning, of which few are near each other."""
+    r = random.Random(8)
+    start = " ".join(f"w{k}" for k in range(40))
+    rows, tails = [], [[r.choice("abcdefghijkl") + str(r.randrange(40)) for _ in range(20)] for _ in range(25)]
+    for k in range(300):
+        tail = list(r.choice(tails))
+        for _ in range(r.randrange(6)):
+            tail[r.randrange(20)] = str(r.randrange(1000))
+        rows.append((k, start + " " + " ".join(tail) + "\nuser 1234567 has logged in at " + str(r.randrange(10**5))))
+    check_lines(spark, rows, tmp_path)
+
+
+def test_a_text_of_very_many_lines(spark):
+    rows = [(1, "a line\n" * 300_000 + "another"), (2, "a line")]
+    got = {x.doc_id: x for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].text, got[1].n_lines, got[1].n_removed) == ("a line\nanother", 300_001, 299_999)
+    assert (got[2].text, got[2].n_removed) == ("", 1)
+
+
+def check_lines(spark, rows, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "t"))
     got = {x.doc_id: x for x in lines.dedup_lines(spark.read.parquet(str(tmp_path / "t"))).collect()}
     every = sorted({x for _, t in rows for x in t.split("\n") if x.strip()})
@@ -220,8 +245,9 @@ def test_line_dedup_equals_brute_force(spark, texts, tmp_path):
 
     for i, a in enumerate(every):
         for b in every[:i]:
-            t = int(lines.edits_allowed(np.array([min(len(a), len(b))]))[0])
-            if abs(len(a) - len(b)) <= t and lines.within_edits(a, b, t):
+            x, y = (a.split(), b.split()) if min(len(a.split()), len(b.split())) >= lines.LONG_WORDS else (a, b)
+            t = lines.edits_allowed(min(len(x), len(y)), x is not a)
+            if t and abs(len(x) - len(y)) <= t and len(set(x) ^ set(y)) <= 2 * t and lines._plain(x, y) <= t:
                 parent[root(a)] = root(b)
     seen = set()
     for doc, text in rows:
@@ -268,6 +294,22 @@ def test_near_duplicates_equal_brute_force(spark, tmp_path):
         for _ in range(r.choice([0, 0, 1, 1, 2, 5])):
             w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
         rows.append((k, " ".join(w)))
+    check_classes(spark, rows, tmp_path)
+
+
+def test_many_near_copies_keep_their_links(spark, tmp_path):
+    """One group of near copies that are 0.6 to 1 like each other, some linked by others alone."""
+    r = random.Random(7)
+    base, rows = [f"w{k}" for k in range(100)], []
+    for k in range(500):
+        w = list(base)
+        for _ in range(r.randrange(1, 5)):
+            w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    check_classes(spark, rows, tmp_path)
+
+
+def check_classes(spark, rows, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(3).write.parquet(str(tmp_path / "t"))
     got = {x.doc_id: x for x in minhash.near_duplicates(spark.read.parquet(str(tmp_path / "t"))).collect()}
 
