@@ -36,28 +36,23 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or f"{tempfile.gettempdir()}/riskspark").rstrip("/")
 
 
-def _few_files(df: DataFrame) -> DataFrame:
-    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
-
-
-def checkpointed(df: DataFrame, few_files: bool = True) -> DataFrame:
-    """Cut the lineage in the shared folder, for what a result goes on reading. With
-    ``few_files`` there are at most two for each core, however many partitions there are."""
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder, for what a result goes on reading."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return (_few_files(df) if few_files else df).checkpoint(eager=True)
+    return df.checkpoint(eager=True)
 
 
 _written: dict[str, SparkSession] = {}
 
 
-def stored(df: DataFrame, few_files: bool = True) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """The table, written as Parquet in the shared folder, for what :func:`dropped`
     deletes when it is no longer read (at the program's end at the latest)."""
     spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/riskspark-{uuid.uuid4().hex}"
     _written[path] = spark
-    (_few_files(df) if few_files else df).write.parquet(path)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -99,7 +94,7 @@ def numbered(df: DataFrame) -> DataFrame:
 
     rows = df.select(whole_row(df))
     if not scan(df._jdf.queryExecution().optimizedPlan()):
-        rows = checkpointed(rows, False)
+        rows = checkpointed(rows)
     return rows.withColumn("row", F.monotonically_increasing_id())
 
 

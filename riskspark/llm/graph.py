@@ -53,7 +53,8 @@ def bucket_links(
     ``members`` has distinct ``bucket, node, lead``; a pair counts if one of its ends is
     a ``lead`` there. ``marks`` has each ``node`` and its ``mark``; ``may_link`` of two
     marks is false only for pairs that certainly are no link. ``verified`` keeps of
-    distinct pairs ``a, b`` (``a < b``) those that are links, and may add columns.
+    distinct pairs ``a, b`` (``a < b``) and their other columns those that are links,
+    and may add columns.
 
     In each bucket all nodes meet the bucket's pivot first: the lead that is with the
     most others in its buckets. Then every node that is not in its pivot's component
@@ -84,12 +85,18 @@ def bucket_links(
         state = state.join(of_pivot, "bucket").withColumn("settled", F.col("component") == F.col("c"))
     state = stored(state.select("bucket", "node", "lead", "component", "settled"))
     open_buckets = state.where("not settled").select("bucket").distinct()
-    rest = stored(state.join(open_buckets, "bucket", "left_semi").join(marks, "node"), False)
+    rest = stored(state.join(open_buckets, "bucket", "left_semi").join(marks, "node"))
     u, r = rest.where("not settled").alias("u"), rest.alias("r")
     apart = (F.col("u.component") != F.col("r.component")) & (F.col("r.settled") | (F.col("u.node") < F.col("r.node")))
     apart = apart & (F.col("u.lead") | F.col("r.lead")) & may_link(F.col("u.mark"), F.col("r.mark"))
     pairs = u.join(r, (F.col("u.bucket") == F.col("r.bucket")) & apart)
-    pairs = pairs.select(F.least("u.node", "r.node").alias("a"), F.greatest("u.node", "r.node").alias("b")).distinct()
-    second = checkpointed(verified(pairs))
+    swap = F.col("u.node") > F.col("r.node")
+    ends = {"a": "node", "b": "node", "in_a": "component", "in_b": "component"}
+    ends = [F.when(swap == F.lit("a" in k), F.col(f"r.{c}")).otherwise(F.col(f"u.{c}")).alias(k) for k, c in ends.items()]
+    second = verified(pairs.select(*ends).distinct())
+    # One link between two components is enough.
+    link = F.min(F.struct(*first.columns)).alias("link")
+    second = second.groupBy(F.least("in_a", "in_b").alias("in_a"), F.greatest("in_a", "in_b").alias("in_b")).agg(link)
+    second = checkpointed(second.select("link.*"))
     dropped(pivots, state, rest)
     return first.unionByName(second)

@@ -28,15 +28,12 @@ LONG_WORDS = 24
 #: characters of lines of fewer words, and words.
 CHARACTER_EDITS = {20: 1, 40: 2} | {40 << k: 2 for k in range(1, 24)}
 WORD_EDITS = {24: 1, 48: 2, 72: 3, 96: 4, 144: 6, 192: 8} | {192 << k: 8 for k in range(1, 20)}
-#: Code points that are hashed at once.
-PIECE = 1 << 20
+#: Code points that are hashed at once, about.
+PIECE = 1 << 19
 #: Line ids that are broadcast at most (8 or 16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_WHITE = np.array([c for c in range(0x3001) if chr(c).isspace()], "u4")
-
-
 def edits_allowed(length: int, by_words: bool) -> int:
     classes = WORD_EDITS if by_words else CHARACTER_EDITS
     return max((t for least, t in classes.items() if least <= length), default=0)
@@ -48,42 +45,52 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+_POWER, _INVERSE_POWER = _powers(_BASE, 2 * PIECE), _powers(_INVERSE, 2 * PIECE)
+_VALUE = mixed(np.arange(1, 1 << 16, dtype="u8") * np.uint64(_BASE))
+_WHITE = np.array([chr(c).isspace() for c in range((1 << 16) - 1)])
+
+
 class Units:
     """Hashes of runs of units (characters, or words) of lines that lie one after the other."""
 
     def __init__(self, value: np.ndarray, length: np.ndarray):
         self.value, self.length = value, length
-        self.start = np.cumsum(length) - length
-        self.total = np.zeros(len(value) + 1, "u8")
-        np.cumsum(value * _powers(_BASE, len(value))[:-1], out=self.total[1:])
-        self.inverse = _powers(_INVERSE, len(value))
+        self.start, n = np.cumsum(length) - length, len(value)
+        more = n > 2 * PIECE
+        self.inverse = _powers(_INVERSE, n) if more else _INVERSE_POWER
+        self.total = np.zeros(n + 1, "u8")
+        np.cumsum(value * (_powers(_BASE, n) if more else _POWER)[:n], out=self.total[1:])
 
     def hashes(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         return mixed((self.total[start + length] - self.total[start]) * self.inverse[start])
 
-    def parities(self) -> np.ndarray:
-        """For each line, whether an odd number of its units falls in each of 128 bins."""
-        n = len(self.length)
-        at = np.repeat(np.arange(n) * 128, self.length) + (self.value >> np.uint64(57)).astype("i8")
-        odd = (np.bincount(at, minlength=128 * n) & 1).astype("u1")
-        return np.packbits(odd).view("<i8").reshape(-1, 2)
+    def parities(self, lines: np.ndarray) -> np.ndarray:
+        """For each line, whether an odd number of its units falls in each of 128 bins;
+        nothing for lines that are not among the marked ones."""
+        out, length = np.zeros((len(lines), 2), "i8"), self.length[lines]
+        value = self.value[np.repeat(lines, self.length)]
+        at = np.repeat(np.arange(len(length)) * 128, length) + (value >> np.uint64(57)).astype("i8")
+        odd = (np.bincount(at, minlength=128 * len(length)) & 1).astype("u1")
+        out[lines] = np.packbits(odd).view("<i8").reshape(-1, 2)
+        return out
 
 
 def characters_and_words(lines: list[str]) -> tuple[Units, Units]:
     length = np.fromiter(map(len, lines), "i8", len(lines))
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
-    white = points == 32
-    some = np.flatnonzero(points > 126)  # most text is plain
-    white[some] = np.isin(points[some], _WHITE)
-    white |= (points < 32) & np.isin(points, _WHITE)
-    characters = Units(mixed((points.astype("u8") + np.uint64(1)) * np.uint64(_BASE)), length)
-    line = np.repeat(np.arange(len(lines)), length)
-    first = np.append(True, line[1:] != line[:-1]) if len(line) else np.zeros(0, bool)
-    start = np.flatnonzero(~white & (first | np.append(True, white[:-1]))) if len(white) else np.zeros(0, "i8")
-    last = np.append(first[1:], True) | np.append(white[1:], True) if len(white) else np.zeros(0, bool)
-    end = np.flatnonzero(~white & last) + 1
-    words = Units(characters.hashes(start, end - start), np.bincount(line[start], minlength=len(lines)))
-    return characters, words
+    low = np.minimum(points, (1 << 16) - 2)
+    value, white = _VALUE[low], _WHITE[low]
+    high = np.flatnonzero(points != low)
+    value[high] = mixed((points[high].astype("u8") + np.uint64(1)) * np.uint64(_BASE))
+    characters = Units(value, length)
+    # A word begins and ends at white space or at its line's ends.
+    edge = np.zeros(len(points) + 1, bool)
+    edge[characters.start] = edge[-1] = True
+    word = ~white
+    start = np.flatnonzero(word & (edge[:-1] | np.append(True, white[:-1])))
+    end = np.flatnonzero(word & (edge[1:] | np.append(white[1:], True))) + 1
+    n = np.searchsorted(start, characters.start + length) - np.searchsorted(start, characters.start)
+    return characters, Units(characters.hashes(start, end - start), n)
 
 
 def segment_keys(units: Units, classes: dict[int, int], indexed: np.ndarray, probing: np.ndarray, kind: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -101,19 +108,22 @@ def segment_keys(units: Units, classes: dict[int, int], indexed: np.ndarray, pro
         t = classes[least]
         below = borders[c + 1] if c + 1 < len(borders) else np.inf
         size = least // (t + 1)
-        own = (units.length >= least) & (units.length < below)
-        probes = np.flatnonzero(probing & (units.length >= least) & (units.length - t < below))
+        leads = indexed & (units.length >= least) & (units.length < below)
+        probes = probing & (units.length >= least) & (units.length - t < below)
+        probes, both = np.flatnonzero(probes), np.flatnonzero(probes | leads)
+        if not len(both):
+            continue
         for k in range(t + 1):
             tag = mixed(np.full(1, ((kind << 8) + c << 8) + k + 1, "u8") * np.uint64(_BASE))
             for shift in range(-min(k, t - k), k + 1):
                 if shift < 0 and k + shift < 0:
                     continue
                 at = k * size + shift
-                line = probes if shift else np.union1d(probes, np.flatnonzero(indexed & own))
+                line = probes if shift else both
                 line = line[units.length[line] >= at + size]
                 if len(line):
-                    key = mixed(units.hashes(units.start[line] + at, np.full(len(line), size)) ^ tag)
-                    yield line, key, (indexed & own)[line] & (shift == 0)
+                    key = mixed(units.hashes(units.start[line] + at, size) ^ tag)
+                    yield line, key, leads[line] & (shift == 0)
 
 
 def line_id(line: str) -> int:
@@ -132,7 +142,7 @@ def _key_frame(lines: list[str]) -> pd.DataFrame:
     for kind, (units, classes, indexed, probing) in enumerate(
         ((characters, CHARACTER_EDITS, ~long, nearly), (words, WORD_EDITS, long, long))
     ):
-        odd = units.parities()
+        odd = units.parities(indexed | probing)
         most = np.array([0, *(classes[c] for c in sorted(classes))])[np.searchsorted(sorted(classes), units.length, "right")]
         for line, key, lead in segment_keys(units, classes, indexed, probing, kind):
             out.append((key.view("i8"), ids[line], lead, odd[line, 0], odd[line, 1], most[line], np.full(len(line), kind)))
@@ -224,10 +234,12 @@ def near_lines(texts: DataFrame) -> DataFrame:
                 yield _key_frame(lines)
 
     rows = texts.select("text").mapInPandas(keys, "bucket long, node long, lead boolean, p0 long, p1 long, most long, kind long")
-    # Dealt by key once, for the buckets and for their members alike.
+    # Dealt by key once: what is counted in buckets reads the same columns as what joins
+    # them, so that Spark uses one exchange for both.
     rows = rows.repartition("bucket")
-    live = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("lead").alias("any"))
-    rows = rows.join(live.where("low < high and any").select("bucket"), "bucket", "left_semi")
+    size = F.count(F.col("p0").bitwiseXOR(F.col("p1")).bitwiseXOR(F.col("most")).bitwiseXOR(F.col("kind"))).alias("size")
+    live = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("lead").alias("any"), size)
+    rows = rows.join(live.where("low < high and any and size > 1").select("bucket"), "bucket", "left_semi")
     rows = stored(rows.groupBy("bucket", "node").agg(F.max("lead").alias("lead"), *[F.first(c).alias(c) for c in ("p0", "p1", "most", "kind")]))
     # A line may have parities of its characters and of its words.
     both = {f"{c}_{k}": F.max(F.when(F.col("kind") == k, F.col(c))) for k in (0, 1) for c in ("p0", "p1", "most")}
@@ -255,7 +267,7 @@ def near_lines(texts: DataFrame) -> DataFrame:
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = (content.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}"), F.col("content").alias(f"text_{c}")) for c in "ab")
-        return pairs.join(a, "a").join(b, "b").where(alike("text_a", "text_b")).select("a", "b", "line_a", "line_b")
+        return pairs.join(a, "a").join(b, "b").where(alike("text_a", "text_b")).drop("text_a", "text_b")
 
     links = bucket_links(rows.select("bucket", "node", "lead"), marks, may_be_near, verified)
     dropped(rows, content)

@@ -208,7 +208,7 @@ def _classes(rows: DataFrame, id_col: str, text_col: str, similar: float) -> Dat
                 rows_bands = [list(x) if n else [] for x, n in zip(hashes, some, strict=True)]
                 yield pd.DataFrame({"id": part["id"], "row": part["row"], "key": keys, "bands": rows_bands})
 
-    sketched = checkpointed(rows.mapInPandas(sketch, f"id {kind}, row long, key string, bands array<long>"), False)
+    sketched = checkpointed(rows.mapInPandas(sketch, f"id {kind}, row long, key string, bands array<long>"))
     # Of equal multisets one row is compared, from here on by its number.
     unique = sketched.groupBy("key").agg(F.min("row").alias("node"), F.first("bands").alias("bands"))
     bucket = unique.select("node", F.explode("bands").alias("bucket"))
@@ -230,7 +230,7 @@ def _classes(rows: DataFrame, id_col: str, text_col: str, similar: float) -> Dat
 
     kinds = "node long, n long, packed binary, " + ", ".join(f"{p} long" for p in mark)
     sets = rows.select("row", "text").join(nodes, "row", "left_semi").mapInPandas(sets_of, kinds)
-    sets = stored(sets.select("node", "packed", F.struct("n", *mark).alias("mark")), False)
+    sets = stored(sets.select("node", "packed", F.struct("n", *mark).alias("mark")))
     may_link = may_be_similar(similar)
 
     @F.pandas_udf("boolean")
@@ -239,7 +239,7 @@ def _classes(rows: DataFrame, id_col: str, text_col: str, similar: float) -> Dat
 
     def verified(pairs: DataFrame) -> DataFrame:
         x, y = (sets.select(F.col("node").alias(c), F.col("packed").alias(f"packed_{c}")) for c in "ab")
-        return pairs.join(x, "a").join(y, "b").where(alike("packed_a", "packed_b")).select("a", "b")
+        return pairs.join(x, "a").join(y, "b").where(alike("packed_a", "packed_b")).drop("packed_a", "packed_b")
 
     with arrow_rows(rows.sparkSession, BATCH_PAIRS):
         links = bucket_links(members, sets.select("node", "mark"), may_link, verified)
