@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from riskspark.llm.common import checkpointed, dropped, stored
 
+#: Rounds of pivots at most, pivots of a bucket in all rounds but the first and last, and
+#: how many partners the members of buckets have, on average, where no more rounds are needed.
+ROUNDS, PIVOTS, FEW = 3, 8, 16
+
 
 def components(links: DataFrame, left: str, right: str) -> DataFrame:
     """``node, component`` of every key that has a link; a component is named by its
@@ -57,10 +61,13 @@ def bucket_links(
     and may add columns.
 
     In each bucket all nodes meet the bucket's pivot first: the lead that is with the
-    most others in its buckets. Then every node that is not in its pivot's component
-    meets those nodes of the bucket that are in other components than its own and that
-    may link. So a pair of a bucket is left unverified only where it cannot link, or
-    where both ends are connected already, and a large group of links is not paired out.
+    most others in its buckets. A node in its pivot's component is settled there. While
+    the others have too many partners left (``FEW``), about ``PIVOTS`` of them, chosen by
+    a hash, meet all nodes of the bucket that are in other components. At last every
+    unsettled node meets those nodes of the bucket that are in other components than its
+    own and that may link. So a pair of a bucket is left unverified only where it cannot
+    link, or where both ends are connected already, and a large group of links is not
+    paired out.
     """
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
     with_sizes = members.join(sizes, "bucket")
@@ -74,29 +81,50 @@ def bucket_links(
     pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     mark_a, mark_b = (marks.select(F.col("node").alias(c), F.col("mark").alias(f"mark_{c}")) for c in "ab")
     pairs = pairs.join(mark_a, "a").join(mark_b, "b").where(may_link(F.col("mark_a"), F.col("mark_b")))
-    first = checkpointed(verified(pairs.select("a", "b")))
-    if first.isEmpty():
-        state = members.join(pivots, "bucket").withColumns({"component": F.col("node"), "settled": F.col("node") == F.col("pivot")})
+    links = checkpointed(verified(pairs.select("a", "b")))
+    for number in range(1, ROUNDS + 1):
+        rest = stored(_unsettled_buckets(members, pivots, links).join(marks, "node"))
+        left = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("settled")).alias("k"))
+        work, rows = left.agg(F.sum(F.col("n").cast("double") * F.col("k")), F.sum("n")).first()
+        if not rows:
+            dropped(rest)
+            break
+        u, last = rest.where("not settled"), number == ROUNDS or work <= FEW * rows
+        if not last:
+            chance = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(1 << 20)) * F.col("k") < PIVOTS << 20
+            u = u.join(left.select("bucket", "k"), "bucket").where(chance)
+        once = (F.col("r.settled") | (F.col("u.node") < F.col("r.node"))) if last else F.lit(True)
+        links = links.unionByName(_links_between(u.alias("u"), rest.alias("r"), once, may_link, verified, links.columns))
+        dropped(rest)
+        if last:
+            break
+    dropped(pivots)
+    return links
+
+
+def _unsettled_buckets(members: DataFrame, pivots: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of the buckets that are not all in their pivot's component, with each
+    node's ``component`` and whether that is the pivot's (``settled``)."""
+    if links.isEmpty():
+        state = members.join(pivots, "bucket").withColumns({"component": F.col("node"), "c": F.col("pivot")})
     else:
-        found = components(first, "a", "b")
+        found = components(links, "a", "b")
         of_pivot = pivots.join(found.select(F.col("node").alias("pivot"), F.col("component").alias("c")), "pivot", "left")
-        of_pivot = of_pivot.select("bucket", F.coalesce("c", "pivot").alias("c"))
         state = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        state = state.join(of_pivot, "bucket").withColumn("settled", F.col("component") == F.col("c"))
-    state = stored(state.select("bucket", "node", "lead", "component", "settled"))
-    open_buckets = state.where("not settled").select("bucket").distinct()
-    rest = stored(state.join(open_buckets, "bucket", "left_semi").join(marks, "node"))
-    u, r = rest.where("not settled").alias("u"), rest.alias("r")
-    apart = (F.col("u.component") != F.col("r.component")) & (F.col("r.settled") | (F.col("u.node") < F.col("r.node")))
-    apart = apart & (F.col("u.lead") | F.col("r.lead")) & may_link(F.col("u.mark"), F.col("r.mark"))
-    pairs = u.join(r, (F.col("u.bucket") == F.col("r.bucket")) & apart)
+        state = state.join(of_pivot.select("bucket", F.coalesce("c", "pivot").alias("c")), "bucket")
+    state = state.select("bucket", "node", "lead", "component", (F.col("component") == F.col("c")).alias("settled"))
+    unsettled = state.where("not settled").select("bucket").distinct()
+    return state.join(unsettled, "bucket", "left_semi")
+
+
+def _links_between(u: DataFrame, r: DataFrame, once: Column, may_link: Callable, verified: Callable, columns: list[str]) -> DataFrame:
+    """One link of each two components that a row of ``u`` and one of ``r`` link in a bucket."""
+    apart = (F.col("u.component") != F.col("r.component")) & (F.col("u.lead") | F.col("r.lead")) & once
+    pairs = u.join(r, (F.col("u.bucket") == F.col("r.bucket")) & apart & may_link(F.col("u.mark"), F.col("r.mark")))
     swap = F.col("u.node") > F.col("r.node")
     ends = {"a": "node", "b": "node", "in_a": "component", "in_b": "component"}
     ends = [F.when(swap == F.lit("a" in k), F.col(f"r.{c}")).otherwise(F.col(f"u.{c}")).alias(k) for k, c in ends.items()]
-    second = verified(pairs.select(*ends).distinct())
-    # One link between two components is enough.
-    link = F.min(F.struct(*first.columns)).alias("link")
-    second = second.groupBy(F.least("in_a", "in_b").alias("in_a"), F.greatest("in_a", "in_b").alias("in_b")).agg(link)
-    second = checkpointed(second.select("link.*"))
-    dropped(pivots, state, rest)
-    return first.unionByName(second)
+    found = verified(pairs.select(*ends).distinct())
+    link = F.min(F.struct(*columns)).alias("link")
+    found = found.groupBy(F.least("in_a", "in_b").alias("in_a"), F.greatest("in_a", "in_b").alias("in_b")).agg(link)
+    return checkpointed(found.select("link.*"))

@@ -239,7 +239,7 @@ def near_lines(texts: DataFrame) -> DataFrame:
     rows = rows.repartition("bucket")
     size = F.count(F.col("p0").bitwiseXOR(F.col("p1")).bitwiseXOR(F.col("most")).bitwiseXOR(F.col("kind"))).alias("size")
     live = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("lead").alias("any"), size)
-    rows = rows.join(live.where("low < high and any and size > 1").select("bucket"), "bucket", "left_semi")
+    rows = rows.join(live.where("low < high and any and size > 1").select("bucket"), "bucket")
     rows = stored(rows.groupBy("bucket", "node").agg(F.max("lead").alias("lead"), *[F.first(c).alias(c) for c in ("p0", "p1", "most", "kind")]))
     # A line may have parities of its characters and of its words.
     both = {f"{c}_{k}": F.max(F.when(F.col("kind") == k, F.col(c))) for k in (0, 1) for c in ("p0", "p1", "most")}
