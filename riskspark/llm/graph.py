@@ -11,7 +11,7 @@ from riskspark.llm.common import checkpointed, dropped, stored
 
 #: Rounds of pivots at most, pivots of a bucket in all rounds but the first and last, and
 #: how many partners the members of buckets have, on average, where no more rounds are needed.
-ROUNDS, PIVOTS, FEW = 3, 8, 16
+ROUNDS, PIVOTS, FEW = 3, 32, 16
 
 
 def components(links: DataFrame, left: str, right: str) -> DataFrame:
@@ -21,8 +21,8 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     of steps grows with the logarithm of the longest path. Null ends are left out."""
     pairs = links.select(F.col(left).alias("u"), F.col(right).alias("v")).dropna().where("u != v")
     pairs = stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    while True:
+    done = False
+    while not done:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -35,10 +35,11 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
         )
         last, pairs = pairs, stored(small.where("u != v").distinct())
         dropped(last)
-        now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
+        # Stars are left when every node has one link, and none to a node that has one itself.
+        ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("from"), F.lit(0).alias("to"))
+        ends = ends.unionByName(pairs.select(F.col("v").alias("node"), F.lit(0).alias("from"), F.lit(1).alias("to")))
+        ends = ends.groupBy("node").agg(F.sum("from").alias("from"), F.max("to").alias("to"))
+        done = ends.where("from > 1 or (from = 1 and to = 1)").isEmpty()
     nodes = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     nodes = nodes.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     nodes = checkpointed(nodes)
@@ -62,13 +63,18 @@ def bucket_links(
 
     In each bucket all nodes meet the bucket's pivot first: the lead that is with the
     most others in its buckets. A node in its pivot's component is settled there. While
-    the others have too many partners left (``FEW``), about ``PIVOTS`` of them, chosen by
-    a hash, meet all nodes of the bucket that are in other components. At last every
+    the others have too many partners left (``FEW``), they meet about ``PIVOTS`` nodes
+    of the bucket, chosen by a hash, that are in other components. At last every
     unsettled node meets those nodes of the bucket that are in other components than its
     own and that may link. So a pair of a bucket is left unverified only where it cannot
     link, or where both ends are connected already, and a large group of links is not
     paired out.
     """
+    # Of buckets with the same members one is enough.
+    digest = F.xxhash64("node", "lead")
+    same = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum(digest.cast("decimal(38,0)")).alias("total"), F.bit_xor(digest).alias("odd"))
+    sizes = same.groupBy("size", "total", "odd").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
+    members = stored(members.join(sizes.select("bucket"), "bucket"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
     with_sizes = members.join(sizes, "bucket")
     # Whole numbers: their sum does not depend on the order of the rows.
@@ -89,16 +95,16 @@ def bucket_links(
         if not rows:
             dropped(rest)
             break
-        u, last = rest.where("not settled"), number == ROUNDS or work <= FEW * rows
+        u, r, last = rest.where("not settled"), rest, number == ROUNDS or work <= FEW * rows
         if not last:
-            chance = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(1 << 20)) * F.col("k") < PIVOTS << 20
-            u = u.join(left.select("bucket", "k"), "bucket").where(chance)
+            chance = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(1 << 20)) * F.col("n") < PIVOTS << 20
+            r = rest.join(left.select("bucket", "n"), "bucket").where(chance)
         once = (F.col("r.settled") | (F.col("u.node") < F.col("r.node"))) if last else F.lit(True)
-        links = links.unionByName(_links_between(u.alias("u"), rest.alias("r"), once, may_link, verified, links.columns))
+        links = links.unionByName(_links_between(u.alias("u"), r.alias("r"), once, may_link, verified, links.columns))
         dropped(rest)
         if last:
             break
-    dropped(pivots)
+    dropped(pivots, members)
     return links
 
 

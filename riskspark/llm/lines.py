@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.llm.common import checkpointed, dropped, numbered, own_worker, stored
@@ -145,8 +145,8 @@ def _key_frame(lines: list[str]) -> pd.DataFrame:
         odd = units.parities(indexed | probing)
         most = np.array([0, *(classes[c] for c in sorted(classes))])[np.searchsorted(sorted(classes), units.length, "right")]
         for line, key, lead in segment_keys(units, classes, indexed, probing, kind):
-            out.append((key.view("i8"), ids[line], lead, odd[line, 0], odd[line, 1], most[line], np.full(len(line), kind)))
-    columns = ["bucket", "node", "lead", "p0", "p1", "most", "kind"]
+            out.append((key.view("i8"), ids[line], lead, odd[line, 0], odd[line, 1], units.length[line], most[line], np.full(len(line), kind)))
+    columns = ["bucket", "node", "lead", "p0", "p1", "size", "most", "kind"]
     if not out:
         return pd.DataFrame({c: np.zeros(0, bool if c == "lead" else "i8") for c in columns})
     return pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*out, strict=True)), strict=True)))
@@ -233,25 +233,24 @@ def near_lines(texts: DataFrame) -> DataFrame:
             if lines:
                 yield _key_frame(lines)
 
-    rows = texts.select("text").mapInPandas(keys, "bucket long, node long, lead boolean, p0 long, p1 long, most long, kind long")
-    # Dealt by key once: what is counted in buckets reads the same columns as what joins
-    # them, so that Spark uses one exchange for both.
-    rows = rows.repartition("bucket")
-    size = F.count(F.col("p0").bitwiseXOR(F.col("p1")).bitwiseXOR(F.col("most")).bitwiseXOR(F.col("kind"))).alias("size")
-    live = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("lead").alias("any"), size)
-    rows = rows.join(live.where("low < high and any and size > 1").select("bucket"), "bucket")
-    rows = stored(rows.groupBy("bucket", "node").agg(F.max("lead").alias("lead"), *[F.first(c).alias(c) for c in ("p0", "p1", "most", "kind")]))
+    rows = texts.select("text").mapInPandas(keys, "bucket long, node long, lead boolean, p0 long, p1 long, size long, most long, kind long")
+    # Buckets of one line, or without an indexed segment, are most of them; a window needs the keys dealt once.
+    bucket = Window.partitionBy("bucket")
+    seen = {"low": F.min("node").over(bucket), "high": F.max("node").over(bucket), "any": F.max("lead").over(bucket)}
+    rows = rows.withColumns(seen).where("low < high and any")
+    rows = stored(rows.groupBy("bucket", "node").agg(F.max("lead").alias("lead"), *[F.first(c).alias(c) for c in ("p0", "p1", "size", "most", "kind")]))
     # A line may have parities of its characters and of its words.
-    both = {f"{c}_{k}": F.max(F.when(F.col("kind") == k, F.col(c))) for k in (0, 1) for c in ("p0", "p1", "most")}
+    both = {f"{c}_{k}": F.max(F.when(F.col("kind") == k, F.col(c))) for k in (0, 1) for c in ("p0", "p1", "size", "most")}
     marks = rows.groupBy("node").agg(*[c.alias(name) for name, c in both.items()]).select("node", F.struct(*both).alias("mark"))
 
     def may_be_near(a: Column, b: Column) -> Column:
-        """An edit changes two parities at most, of characters or of words."""
+        """An edit changes the length by one and two parities at most, of characters or of words."""
 
         def of(kind: int) -> Column:
             odd = [F.bit_count(a[f"{p}_{kind}"].bitwiseXOR(b[f"{p}_{kind}"])) for p in ("p0", "p1")]
             most = F.least(a[f"most_{kind}"], b[f"most_{kind}"])
-            return F.coalesce(odd[0] + odd[1] <= 2 * most, F.lit(False))
+            longer = F.abs(a[f"size_{kind}"] - b[f"size_{kind}"])
+            return F.coalesce((longer <= most) & (odd[0] + odd[1] <= 2 * most), F.lit(False))
 
         return of(0) | of(1)
 
@@ -282,7 +281,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     of near lines (``CHARACTER_EDITS``, ``WORD_EDITS``), form a class; the first line of
     the class stays (least id, null ids last, then the first place) and the others go.
     Lines of white space alone stay and are not counted as removed. ``n_near`` counts a
-    row's lines that are near a different line. A null text stays null, with no lines;
+    row's lines that stay and stand for lines that are near but not equal. A null text stays null, with no lines;
     an empty one has one. Of rows with equal ids one comes first. An empty table gives
     no rows. Lines are told apart by 128-bit digests.
     """
@@ -295,21 +294,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = None if links.isEmpty() else components(links, "line_a", "line_b").withColumnRenamed("node", "line")
     every = texts.select("id", "row", F.posexplode(F.split("text", "\n")).alias("place", "content"))
     every = every.where(F.col("content").rlike(r"\S")).select("id", "row", "place", F.unhex(F.md5("content")).alias("line"))
-    heads = every.groupBy("line").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row", "place")).alias("first"))
-    if classes is not None:
-        heads = heads.join(classes, "line", "left")
-        alone = heads.where("component is null").select("first")
-        heads = alone.unionByName(heads.where("component is not null").groupBy("component").agg(F.min("first").alias("first")).select("first"))
-    # A text's lines that stay, by their places: one row for each text.
-    heads = heads.groupBy(F.col("first.row").alias("row")).agg(F.collect_list("first.place").alias("stay"))
-    joined = rows.join(heads, "row", "left")
     if classes is None:
-        joined = joined.withColumn("near", F.lit(0).cast("long"))
+        every = every.withColumn("component", F.lit(None).cast("binary"))
     else:
-        ids = classes.select("line")
-        ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-        counted = every.join(ids, "line", "left_semi").groupBy("row").agg(F.count(F.lit(1)).alias("near"))
-        joined = joined.join(counted, "row", "left")
+        small = classes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        every = every.join(F.broadcast(classes) if small else classes, "line", "left")
+    first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row", "place")).alias("first")
+    heads = every.groupBy(F.coalesce("component", "line").alias("line")).agg(first, F.max(F.col("component").isNotNull()).alias("near"))
+    # A text's lines that stay, by their places: one row for each text.
+    heads = heads.groupBy(F.col("first.row").alias("row")).agg(F.collect_list("first.place").alias("stay"), F.count_if("near").alias("near"))
+    joined = rows.join(heads, "row", "left")
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
     def rebuilt(texts: pd.Series, stays: pd.Series) -> pd.DataFrame:
