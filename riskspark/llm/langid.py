@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import own_worker, plain_text
+from riskspark.llm.common import own_worker, plain_text, whole_row
 
 #: Hash buckets (a power of two) and numbers of an embedding.
 BUCKETS, DIMENSIONS = 1 << 16, 16
@@ -166,8 +166,8 @@ def fold(id_col: str | Column, folds: int = 4) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_fold: int = 2) -> Model:
     """Train on a sample of the labelled documents outside the held-out fold.
 
-    At most about ``SAMPLE_PER_LANGUAGE`` documents of a language and ``SAMPLE`` in
-    all, picked by a hash of the id. Nothing else of the table reaches the driver.
+    About ``SAMPLE_PER_LANGUAGE`` documents of a language, or an equal part of ``SAMPLE``
+    where there are very many, picked by a hash of the id. Nothing else of the table reaches the driver.
     """
     known = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
@@ -175,9 +175,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(SAMPLE).collect()}
     if not counts:
         return Model([UNKNOWN], np.zeros((BUCKETS, 1), "f4"), np.zeros(1))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, SAMPLE_PER_LANGUAGE / n)])
+    # Every language has the same part of the sample, however many there are.
+    each = min(SAMPLE_PER_LANGUAGE, SAMPLE / len(counts))
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, each / n)])
     dealt = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) / 1_000_000
-    rows = known.where(dealt < share[F.col("lang")]).limit(SAMPLE).collect()
+    rows = known.where(dealt < share[F.col("lang")]).collect()
     rows.sort(key=lambda r: (str(r["id"]), r["lang"], r["text"]))  # tasks end in any order
     if not rows:
         rows = known.limit(SAMPLE_PER_LANGUAGE).collect()
@@ -208,7 +210,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         )
 
     mine = ("lang_pred", "score", "rejected")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in mine]
-    return docs.select(*kept, judged(plain_text(text_col)).alias("_judged")).select(
-        *kept, *[F.col(f"_judged.{c}") for c in mine]
+    whole = docs.select(whole_row(docs, mine), plain_text(f"`{text_col}`").alias("text"))
+    return whole.select("_all", judged("text").alias("judged")).select(
+        *[F.col(f"_all.`{c}`").alias(c) for c in docs.columns if c not in mine], *[F.col(f"judged.{c}") for c in mine]
     )
