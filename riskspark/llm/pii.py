@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskspark.llm.common import whole_row
+
 #: Rounds of the Feistel network.
 ROUNDS = 8
 #: Characters that are permuted together; longer runs are cut.
@@ -230,15 +232,14 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """
     p = Permuter(key)
     pattern = quoted("|".join(f"(?:{x})" for x in PATTERNS.values()))
-    text = f"`{text_col}`"
-    found = f"regexp_extract_all({text}, {pattern}, 0)"
-    pairs = f"transform({found}, m -> named_struct('old', m, 'new', {p.value('m')}))"
-    joined = "array_join(zip_with(_between, _pairs, (b, x) -> concat(b, coalesce(x.new, ''))), '')"
-    kinds = f"transform(filter(_pairs, x -> x.old != x.new), x -> {kind_of('x.old')})"
-    private = F.col("_private")
-    d = docs.withColumn("_private", F.coalesce(F.expr(f"{text} rlike {pattern}"), F.lit(False)))
-    d = d.withColumn("_pairs", F.when(private, F.expr(pairs)))
-    d = d.withColumn("_between", F.when(private, F.expr(f"split({text}, {pattern}, -1)")))
-    new_text = F.when(private, F.expr(joined)).otherwise(F.col(text)).alias(text_col)
-    kept = [new_text if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "pii_kinds"]
+    pairs = f"transform(regexp_extract_all(text, {pattern}, 0), m -> named_struct('old', m, 'new', {p.value('m')}))"
+    joined = "array_join(zip_with(between, pairs, (b, x) -> concat(b, coalesce(x.new, ''))), '')"
+    kinds = f"transform(filter(pairs, x -> x.old != x.new), x -> {kind_of('x.old')})"
+    private = F.col("private")
+    d = docs.select(whole_row(docs, ("pii_kinds",)), F.col(f"`{text_col}`").alias("text"))
+    d = d.withColumn("private", F.coalesce(F.expr(f"text rlike {pattern}"), F.lit(False)))
+    d = d.withColumn("pairs", F.when(private, F.expr(pairs)))
+    d = d.withColumn("between", F.when(private, F.expr(f"split(text, {pattern}, -1)")))
+    new_text = F.when(private, F.expr(joined)).otherwise(F.col("text"))
+    kept = [(new_text if c == text_col else F.col(f"_all.`{c}`")).alias(c) for c in docs.columns if c != "pii_kinds"]
     return d.select(*kept, F.coalesce(F.when(private, F.expr(kinds)), F.array().cast("array<string>")).alias("pii_kinds"))

@@ -29,7 +29,7 @@ OPERATORS = {
 @pytest.fixture(scope="module")
 def edgy(spark, tmp_path_factory):
     """A stored table whose other columns have the names that operators use inside."""
-    clash = ["id", "row", "key", "block", "line", "score", "gone", "text_", "size", "_row", "_all"]
+    clash = ["id", "row", "key", "block", "line", "score", "gone", "text_", "size", "_row", "_all", "_judged", "judged", "_private", "_pairs", "_between", "private", "pairs", "between", "node", "bucket", "stay", "near", "made", "bands"]
     df = spark.createDataFrame(ROWS, "doc_id long, text string").withColumn("lang", F.lit("en")).withColumns({c: F.lit(None).cast("int") for c in clash})
     path = str(tmp_path_factory.mktemp("edgy") / "t")
     df.coalesce(1).write.parquet(path)
@@ -52,6 +52,7 @@ def test_empty_table(edgy, name):
 def test_extra_columns_stay(edgy):
     for df in (lines.dedup_lines(edgy), pii.pseudonymize(edgy, "key"), langid.identify(edgy, langid.fit(edgy))):
         assert set(edgy.columns) <= set(df.columns)
+        assert all(v is None for k, v in df.where("doc_id = 4").first().asDict().items() if k in edgy.columns and k not in ("doc_id", "text", "lang", "score"))
     assert minhash.distinct_documents(edgy).columns == edgy.columns
 
 
