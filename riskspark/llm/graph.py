@@ -11,7 +11,7 @@ from riskspark.llm.common import checkpointed, dropped, stored
 
 #: Rounds of pivots at most, pivots of a bucket in all rounds but the first and last, and
 #: how many partners the members of buckets have, on average, where no more rounds are needed.
-ROUNDS, PIVOTS, FEW = 3, 32, 16
+ROUNDS, PIVOTS, FEW = 3, 32, 100
 
 
 def components(links: DataFrame, left: str, right: str) -> DataFrame:
@@ -89,11 +89,14 @@ def bucket_links(
     pairs = pairs.join(mark_a, "a").join(mark_b, "b").where(may_link(F.col("mark_a"), F.col("mark_b")))
     links = checkpointed(verified(pairs.select("a", "b")))
     for number in range(1, ROUNDS + 1):
-        rest = stored(_unsettled_buckets(members, pivots, links).join(marks, "node"))
+        # A bucket that is settled stays so: the next round looks at the others alone.
+        before, rest = members, stored(_unsettled_buckets(members, pivots, links).join(marks, "node"))
+        members = rest.select("bucket", "node", "lead")
+        members.stored_at = rest.stored_at
+        dropped(before)
         left = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("settled")).alias("k"))
         work, rows = left.agg(F.sum(F.col("n").cast("double") * F.col("k")), F.sum("n")).first()
         if not rows:
-            dropped(rest)
             break
         u, r, last = rest.where("not settled"), rest, number == ROUNDS or work <= FEW * rows
         if not last:
@@ -101,7 +104,6 @@ def bucket_links(
             r = rest.join(left.select("bucket", "n"), "bucket").where(chance)
         once = (F.col("r.settled") | (F.col("u.node") < F.col("r.node"))) if last else F.lit(True)
         links = links.unionByName(_links_between(u.alias("u"), r.alias("r"), once, may_link, verified, links.columns))
-        dropped(rest)
         if last:
             break
     dropped(pivots, members)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import checkpointed, dropped, numbered, own_worker, stored
+from riskspark.llm.common import arrow_rows, dropped, numbered, own_worker, stored
 from riskspark.llm.graph import bucket_links, components
 from riskspark.llm.substrings import mixed
 
@@ -30,6 +30,10 @@ CHARACTER_EDITS = {20: 1, 40: 2} | {40 << k: 2 for k in range(1, 24)}
 WORD_EDITS = {24: 1, 48: 2, 72: 3, 96: 4, 144: 6, 192: 8} | {192 << k: 8 for k in range(1, 20)}
 #: Code points that are hashed at once, about.
 PIECE = 1 << 19
+#: Ids of lines that a task has met and does not send again, about.
+REMEMBERED = 100_000
+#: Rows of an Arrow batch of whole texts.
+BATCH_TEXTS = 1024
 #: Line ids that are broadcast at most (8 or 16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 _BASE = 0x9E3779B97F4A7C15
@@ -132,10 +136,10 @@ def line_id(line: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _key_frame(lines: list[str]) -> pd.DataFrame:
+def _key_frame(ids: dict[str, int]) -> pd.DataFrame:
     """Keys of distinct lines. The parities are of the units that the key is made of."""
-    characters, words = characters_and_words(lines)
-    ids, out = np.fromiter(map(line_id, lines), "i8", len(lines)), []
+    characters, words = characters_and_words(list(ids))
+    ids, out = np.fromiter(ids.values(), "i8", len(ids)), []
     long = words.length >= LONG_WORDS
     # A long line also meets short ones that an edit or two would make long.
     nearly = words.length < LONG_WORDS + 2 * max(CHARACTER_EDITS.values())
@@ -219,19 +223,22 @@ def near_lines(texts: DataFrame) -> DataFrame:
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own_worker("lines")
+        lines, size, seen = {}, 0, set()
         for batch in batches:
-            lines, size, seen = [], 0, set()
             for text in batch["text"]:
                 for line in text.split("\n"):
-                    if len(line) >= min(CHARACTER_EDITS) and line not in seen:
-                        seen.add(line)
-                        lines.append(line)
+                    if len(line) < min(CHARACTER_EDITS) or line in lines:
+                        continue
+                    key = line_id(line)
+                    if key not in seen:
+                        lines[line] = key
                         size += len(line)
                         if size > PIECE:
+                            seen = {*seen, *lines.values()} if len(seen) < REMEMBERED else set(lines.values())
                             yield _key_frame(lines)
-                            lines, size = [], 0
-            if lines:
-                yield _key_frame(lines)
+                            lines, size = {}, 0
+        if lines:
+            yield _key_frame(lines)
 
     rows = texts.select("text").mapInPandas(keys, "bucket long, node long, lead boolean, p0 long, p1 long, size long, most long, kind long")
     # Buckets of one line, or without an indexed segment, are most of them; a window needs the keys dealt once.
@@ -290,7 +297,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = numbered(docs)
     texts = rows.select(F.col(f"_all.`{id_col}`").alias("id"), F.col(f"_all.`{text_col}`").alias("text"), "row")
     texts = texts.where(F.col("text").isNotNull())
-    links = near_lines(texts)
+    with arrow_rows(docs.sparkSession, BATCH_TEXTS):
+        links = near_lines(texts)
     classes = None if links.isEmpty() else components(links, "line_a", "line_b").withColumnRenamed("node", "line")
     every = texts.select("id", "row", F.posexplode(F.split("text", "\n")).alias("place", "content"))
     every = every.where(F.col("content").rlike(r"\S")).select("id", "row", "place", F.unhex(F.md5("content")).alias("line"))
