@@ -11,7 +11,9 @@ from riskspark.llm.common import checkpointed, dropped, stored
 
 #: Rounds of pivots at most, pivots of a bucket in all rounds but the first and last, and
 #: how many partners the members of buckets have, on average, where no more rounds are needed.
-ROUNDS, PIVOTS, FEW = 3, 32, 100
+ROUNDS, PIVOTS, FEW = 2, 32, 100
+#: Links whose ends (two short keys each) are broadcast at most; more are joined by a shuffle.
+BROADCAST_LINKS = 200_000
 
 
 def components(links: DataFrame, left: str, right: str) -> DataFrame:
@@ -21,15 +23,17 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     of steps grows with the logarithm of the longest path. Null ends are left out."""
     pairs = links.select(F.col(left).alias("u"), F.col(right).alias("v")).dropna().where("u != v")
     pairs = stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    # Steps never add links.
+    sent = F.broadcast if pairs.count() <= BROADCAST_LINKS else lambda df: df
     done = False
     while not done:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(sent(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Smaller neighbours (and the node) go to the least of them.
         large = large.where("u != v").distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(small_least, "u")
+        joined = large.join(sent(small_least), "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             small_least.select("u", F.col("m").alias("v"))
         )
