@@ -11,6 +11,7 @@ distance.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -49,9 +50,12 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POWER, _INVERSE_POWER = _powers(_BASE, 2 * PIECE), _powers(_INVERSE, 2 * PIECE)
-_VALUE = mixed(np.arange(1, 1 << 16, dtype="u8") * np.uint64(_BASE))
-_WHITE = np.array([chr(c).isspace() for c in range((1 << 16) - 1)])
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, hashes of characters, and which of them are white space."""
+    value = mixed(np.arange(1, 1 << 16, dtype="u8") * np.uint64(_BASE))
+    white = np.array([chr(c).isspace() for c in range((1 << 16) - 1)])
+    return _powers(_BASE, 2 * PIECE), _powers(_INVERSE, 2 * PIECE), value, white
 
 
 class Units:
@@ -60,10 +64,9 @@ class Units:
     def __init__(self, value: np.ndarray, length: np.ndarray):
         self.value, self.length = value, length
         self.start, n = np.cumsum(length) - length, len(value)
-        more = n > 2 * PIECE
-        self.inverse = _powers(_INVERSE, n) if more else _INVERSE_POWER
+        power, self.inverse = (_powers(_BASE, n), _powers(_INVERSE, n)) if n > 2 * PIECE else _tables()[:2]
         self.total = np.zeros(n + 1, "u8")
-        np.cumsum(value * (_powers(_BASE, n) if more else _POWER)[:n], out=self.total[1:])
+        np.cumsum(value * power[:n], out=self.total[1:])
 
     def hashes(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         return mixed((self.total[start + length] - self.total[start]) * self.inverse[start])
@@ -83,7 +86,7 @@ def characters_and_words(lines: list[str]) -> tuple[Units, Units]:
     length = np.fromiter(map(len, lines), "i8", len(lines))
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
     low = np.minimum(points, (1 << 16) - 2)
-    value, white = _VALUE[low], _WHITE[low]
+    value, white = (t[low] for t in _tables()[2:])
     high = np.flatnonzero(points != low)
     value[high] = mixed((points[high].astype("u8") + np.uint64(1)) * np.uint64(_BASE))
     characters = Units(value, length)
@@ -222,7 +225,7 @@ def near_lines(texts: DataFrame) -> DataFrame:
     each other; enough pairs to connect whatever all near pairs connect."""
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own_worker("lines")
+        own_worker("lines", _tables.cache_clear)
         lines, size, seen = {}, 0, set()
         for batch in batches:
             for text in batch["text"]:

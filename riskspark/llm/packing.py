@@ -33,7 +33,8 @@ class ChunkIds:
     """Packed ids of chunks between spaces. The tokenizer drops white space and no
     match of its pattern holds any, so a text's ids are those of its chunks in turn."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = STORED_CHUNKS):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
@@ -48,7 +49,7 @@ class ChunkIds:
             chunks = text.replace("\n", " ").split(" ")
             distinct = set(chunks)
             missing = distinct.difference(self.stored)
-            if len(self.stored) + len(missing) > STORED_CHUNKS:
+            if len(self.stored) + len(missing) > self.most:
                 self.stored, self.parts, missing = {}, {}, distinct
             found = self.stored
             found.update(self._made(missing))
@@ -81,8 +82,8 @@ class ChunkIds:
 
 
 @lru_cache(maxsize=1)
-def chunk_ids(path: str) -> ChunkIds:
-    return ChunkIds(path)
+def chunk_ids(path: str, most: int) -> ChunkIds:
+    return ChunkIds(path, most)
 
 
 class TightestWindow:
@@ -136,7 +137,7 @@ def best_fit_decreasing(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.n
 
 
 def tokenized_pieces(
-    docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW
+    docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, stored_chunks: int = STORED_CHUNKS
 ) -> DataFrame:
     """``id, start, length, ids_crc32, doc_tokens, _row``: every document's ids with the
     end id, cut into full windows and a rest."""
@@ -147,7 +148,7 @@ def tokenized_pieces(
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own_worker("packing", chunk_ids.cache_clear)
-        store = chunk_ids(vocabulary)
+        store = chunk_ids(vocabulary, stored_chunks)
         for batch in batches:
             made = []
             for key, row, ids in zip(batch["id"], batch["_row"], store.of(batch["text"].tolist()), strict=True):
@@ -170,6 +171,7 @@ def pack_documents(
     text_col: str = "text",
     window: int = WINDOW,
     group_documents: int = GROUP_DOCUMENTS,
+    stored_chunks: int = STORED_CHUNKS,
 ) -> DataFrame:
     """Pack all documents into sequences of at most ``window`` ids.
 
@@ -179,10 +181,11 @@ def pack_documents(
     into groups of about ``group_documents`` documents; each group is packed by
     best-fit decreasing. A group leaves a few unfilled windows, so padding does not
     grow with the input. Equal lengths are packed in input order. An empty table
-    gives no rows; other columns are not read.
+    gives no rows; other columns are not read. A worker keeps the ids of
+    ``stored_chunks`` chunks at most, which takes memory and saves time.
     """
     groups = max(1, -(-docs.count() // group_documents))
-    p = tokenized_pieces(docs, vocabulary, id_col, text_col, window)
+    p = tokenized_pieces(docs, vocabulary, id_col, text_col, window, stored_chunks)
     p = p.withColumn("_group", F.pmod(F.xxhash64("_row", "start"), F.lit(groups)))
     kind = p.schema["id"].dataType.simpleString()
 

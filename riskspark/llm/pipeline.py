@@ -10,16 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.llm import langid, lines, minhash, packing, pii
-from riskspark.llm.common import table
+from riskspark.llm.common import delete_folder, shared_folder, table
 
 #: Key of the pseudonyms; whoever runs the job puts their own.
 PII_KEY = "example key"
+#: Rows of an Arrow batch, and chunks whose ids a worker keeps: stages that follow each other share the workers' memory.
+BATCH_TEXTS, STORED_CHUNKS = 1024, 200_000
 
 Stage = tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]
 
 
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_TEXTS)
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with confidence, unchanged."""
+    """Documents whose language is told with confidence, unchanged. Null texts and texts
+    without a letter have no language and go; repeated rows are judged alike."""
+    _small_batches(spark)
     judged = langid.identify(docs, langid.fit(docs))
     return judged.where(~judged["rejected"]).select(docs.columns)
 
@@ -33,25 +41,29 @@ def _with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier line repeats. A document of which no
-    line is left goes: all of it is in others."""
+    line is left goes: all of it is in others. Null and blank texts stay as they are."""
+    _small_batches(spark)
     kept = lines.dedup_lines(docs)
     nothing_left = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"\S")
     return _with_length(kept.where(~nothing_left), docs.columns)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each near-duplicate class, unchanged."""
+    """The document with the least id of each near-duplicate class, unchanged. Texts
+    without words (null ones too) are one class; of rows with equal ids one stays."""
+    _small_batches(spark)
     return minhash.distinct_documents(docs)
 
 
 def hide_private_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, private values replaced by pseudonyms."""
+    """All documents, private values replaced by pseudonyms. Null texts stay null."""
     return _with_length(pii.pseudonymize(docs, PII_KEY), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents that are left."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """The pieces of all documents that are left. A null text is the end id alone."""
+    _small_batches(spark)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), stored_chunks=STORED_CHUNKS)
 
 
 STAGES: list[Stage] = [
@@ -65,11 +77,13 @@ STAGES: list[Stage] = [
 
 def run_stages(spark: SparkSession, sf_dir: str, stages: Sequence[Stage]) -> DataFrame:
     """Apply the stages to ``documents``; each result is written as Parquet in the
-    shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/riskspark-checkpoints"
-    docs, run = table(spark, sf_dir, "documents"), uuid.uuid4().hex
+    shared folder and read again. A result is deleted when the next one is written; the
+    last one stays for the reader."""
+    docs, folder, before = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (_, stage) in enumerate(stages):
-        out = f"{shared.rstrip('/')}/pipeline-{run}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+        if before:
+            delete_folder(spark, before)
+        before = f"{folder}/{k}"
     return docs

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from riskspark.llm import bytebpe, fingerprints, langid, lines, media, minhash, packing, pii, substrings, urls
 from riskspark.llm.common import table
+from riskspark.llm.pipeline import PII_KEY
 
-#: Key of the pseudonyms; whoever runs the job puts their own.
-PII_KEY = "example key"
 #: Rules of the URL query: host, path, verdict.
 URL_RULES = [
     ("org", "/", "allow"),

@@ -34,7 +34,9 @@ BLOCK_DOCUMENTS = 2048
 #: two unlike windows of a group of a million are taken for one with odds of 1 in 70,000.
 PATH_BYTES = 7
 #: Bytes of text that are hashed at once.
-PIECE = 1 << 21
+PIECE = 1 << 19
+#: Characters of the texts whose suffixes are grouped together, about.
+BLOCK_CHARACTERS = 1 << 22
 
 #: White space between words.
 SPACE = np.zeros(256, bool)
@@ -141,7 +143,7 @@ def blocks_of_texts(texts: list[str], keys: list) -> Iterator[tuple[list[str], n
         held.append(text)
         ids.append(int(key))
         size += len(text)
-        if size > 2 * PIECE:
+        if size > BLOCK_CHARACTERS:
             yield held, np.array(ids, "i8")
             held, ids, size = [], [], 0
     if held:

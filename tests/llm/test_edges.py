@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from riskspark.llm import bytebpe, fingerprints, langid, lines, media, minhash, packing, pii, substrings, urls
+from riskspark.llm import bytebpe, fingerprints, langid, lines, media, minhash, packing, pii, pipeline, substrings, urls
 
 LONG = " ".join(f"word{k % 977}é" for k in range(40_000))
 ROWS = [
@@ -81,3 +81,13 @@ def test_url_edges(spark):
         assert r[5] == ("x.example.org", "/en/12", "example.org/en/1", "block") and r[None][3] == "block"
     assert urls.filter_urls(pages.limit(0), rules).count() == 0
     assert {x.verdict for x in urls.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+@pytest.mark.parametrize("stage", pipeline.STAGES[:4], ids=lambda s: s[0])
+def test_stage_edges(spark, edgy, stage):
+    """Nulls, blank texts, repeated rows and clashing names; empty tables."""
+    kept = stage[1](spark, edgy, "")
+    assert kept.columns == edgy.columns and {r["row"] for r in kept.collect()} <= {None}
+    ids = sorted((r["doc_id"] for r in kept.collect()), key=str)
+    assert {"language ID": len(ids) <= 6, "line dedup": {1, 2, 3, 4, 6, 7} <= set(ids), "MinHash near-dedup": ids.count(5) == 1 and 1 in ids and 2 not in ids, "PII": len(ids) == len(ROWS)}[stage[0]]
+    assert stage[1](spark, edgy.limit(0), "").count() == 0
