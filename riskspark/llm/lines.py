@@ -314,29 +314,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     heads = every.groupBy(F.coalesce("component", "line").alias("line")).agg(first, F.max(F.col("component").isNotNull()).alias("near"))
     # A text's lines that stay, by their places: one row for each text.
     heads = heads.groupBy(F.col("first.row").alias("row")).agg(F.collect_list("first.place").alias("stay"), F.count_if("near").alias("near"))
-    joined = rows.join(heads, "row", "left")
-
-    @F.pandas_udf("text string, n_lines long, n_removed long")
-    def rebuilt(texts: pd.Series, stays: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, stay in zip(texts, stays, strict=True):
-            if text is None:
-                out.append((None, 0, 0))
-                continue
-            lines, kept = text.split("\n"), set() if stay is None else set(stay.tolist())
-            left = [x for k, x in enumerate(lines) if k in kept or _blank(x)]
-            out.append(("\n".join(left), len(lines), len(lines) - len(left)))
-        return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
-
-    made = joined.withColumn("made", rebuilt(F.col(f"_all.`{text_col}`"), "stay"))
+    # Lines are cut before the join, so that they are at hand as an array after it.
+    cut = rows.select("_all", "row", F.split(F.col(f"_all.`{text_col}`"), "\n").alias("lines"))
+    cut = cut.withColumn("_all", F.col("_all").dropFields(text_col)) if len(docs.columns) > 1 else cut
+    blank = F.filter(F.transform("lines", lambda x, i: F.when(~x.rlike(r"\S"), i)), lambda i: i.isNotNull())
+    joined = cut.withColumn("blank", blank).join(heads, "row", "left")
+    places = F.sort_array(F.concat(F.coalesce("stay", F.array().cast("array<int>")), "blank"))
+    made = joined.withColumn("left", F.transform(places, lambda i: F.get("lines", i)))
+    count = F.coalesce(F.size("lines"), F.lit(0))
     return made.select(
-        *[(F.col("made.text") if c == text_col else F.col(f"_all.`{c}`")).alias(c) for c in names],
-        "made.n_lines",
-        "made.n_removed",
+        *[(F.array_join("left", "\n") if c == text_col else F.col(f"_all.`{c}`")).alias(c) for c in names],
+        F.when(F.col("lines").isNull(), 0).otherwise(count).cast("long").alias("n_lines"),
+        F.when(F.col("lines").isNull(), 0).otherwise(count - F.size("left")).cast("long").alias("n_removed"),
         F.coalesce("near", F.lit(0)).cast("long").alias("n_near"),
     )
-
-
-def _blank(line: str) -> bool:
-    """Nothing but the white space of the pattern ``\\s``, as in SQL."""
-    return not line.strip(" \t\n\x0b\x0c\r")
