@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,20 +39,30 @@ FULL_SCALE = {
 }
 
 
+#: Dimensions in which vectors of unlike sizes are compared.
+COMMON = 8
+
+
 def _count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
 
+def _chars(c: Column, inside: str) -> Column:
+    """Characters of the class ``[inside]``: what is left when runs of others go."""
+    return F.length(F.regexp_replace(c, rf"[^{inside}]+", ""))
+
+
 def _share(part: Column, whole: Column) -> Column:
     """A 32-bit ratio; 0 over 0 is 0."""
     return F.when(whole == 0, F.lit(0).cast("float")).otherwise((part.cast("float") / whole.cast("float")).cast("float"))
 
 
-def features(c: Column) -> Column:
-    """All features of a text as a struct of :data:`SCHEMA`."""
+def features(c: Column, names: Collection[str] | None = None) -> Column:
+    """The features of a text as a struct: all of :data:`SCHEMA`, or those named, in its
+    order (others are not computed)."""
     n = utf16_length(c)
     urls = _count(c, r"https?://\S+")
-    letters = _count(c, r"\p{L}")
+    letters = _chars(c, r"\p{L}")
     words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
     in_words = F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w))
     line = F.trim(F.get(F.split(c, r"\R"), F.lit(0)))
@@ -70,18 +82,18 @@ def features(c: Column) -> Column:
         "hasThreatKeywords": keyword_hits(c, THREAT) > 0,
         "senderType": sender,
         "language": F.when(c.rlike(CHINESE), "CHINESE").otherwise("ENGLISH"),
-        "specialCharRatio": _share(_count(c, r"[^\p{L}\p{Nd}\s]"), n),
-        "digitRatio": _share(_count(c, r"\p{Nd}"), n),
+        "specialCharRatio": _share(F.length(F.regexp_replace(c, r"[\p{L}\p{Nd}\s]+", "")), n),
+        "digitRatio": _share(_chars(c, r"\p{Nd}"), n),
         "avgWordLength": _share(in_words, F.size(words)),
-        "exclamationCount": _count(c, "[!！]"),
-        "questionCount": _count(c, "[?？]"),
-        "uppercaseRatio": _share(_count(c, r"\p{Lu}"), letters),
-        "repeatedCharCount": F.length(c) - _count(c, r"(?s)(.)\1*"),
+        "exclamationCount": _chars(c, "!！"),
+        "questionCount": _chars(c, "?？"),
+        "uppercaseRatio": _share(_chars(c, r"\p{Lu}"), letters),
+        "repeatedCharCount": F.length(c) - F.length(F.regexp_replace(c, r"(?s)(.)\1+", "$1")),
         "linkCount": urls,
         "ipAddressCount": _count(c, IP),
-        "chineseCharRatio": _share(_count(c, CHINESE), n),
-        "emojiCount": _count(c, EMOJI),
-        "moneySymbolCount": _count(c, MONEY),
+        "chineseCharRatio": _share(_chars(c, CHINESE[1:-1]), n),
+        "emojiCount": _chars(c, EMOJI[1:-1]),
+        "moneySymbolCount": _chars(c, MONEY[1:-1]),
         "urgencyWordCount": keyword_hits(c, URGENCY),
         "threatWordCount": keyword_hits(c, THREAT),
         "financialWordCount": keyword_hits(c, FINANCIAL),
@@ -89,7 +101,7 @@ def features(c: Column) -> Column:
             _share(positive, negative + positive)
         ),
     }
-    return F.struct(*[values[f.name].cast(f.dataType).alias(f.name) for f in SCHEMA])
+    return F.struct(*[values[f.name].cast(f.dataType).alias(f.name) for f in SCHEMA if names is None or f.name in names])
 
 
 def as_array(f: Column) -> Column:
@@ -132,7 +144,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norms == 0), 0.0).otherwise(dot(a, b) / norms)
 
 
-def cosine_of_common(a: Column, b: Column, most: int = 8) -> Column:
+def cosine_of_common(a: Column, b: Column, most: int = COMMON) -> Column:
     """As :func:`cosine`, but unlike sizes are compared in their first dimensions."""
     k = F.least(F.size(a), F.size(b), F.lit(most))
     same = F.size(a) == F.size(b)

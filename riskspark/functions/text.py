@@ -47,6 +47,16 @@ def ngrams(c: Column) -> Column:
     )
 
 
+def ngram_bag(c: Column) -> Column:
+    """The tokens of :func:`ngrams`, as often, but in no stated order: two passes of
+    compiled patterns, for texts whose tokens are only counted."""
+    low, letter = F.lower(c), r"[\p{L}\p{Nd}]"
+    # A letter beyond the first plane in the class makes the look-behind step over whole code points.
+    before = r"(?<![\p{L}\p{Nd}𠀀])"
+    pairs = F.regexp_extract_all(low, F.lit(rf"(?=({letter}{{2}}|{before}{letter}(?!{letter})))"), F.lit(1))
+    return F.concat(pairs, F.regexp_extract_all(low, F.lit(rf"(?=({letter}{{3}}))"), F.lit(1)))
+
+
 def entropy(c: Column, natural: bool = False) -> Column:
     """Shannon entropy of the characters, in bits or nats; 0 for the empty text."""
     chars = F.filter(F.split(c, ""), lambda x: x != "")

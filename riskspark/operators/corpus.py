@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions import text as X
+from riskspark.operators.tables import small
 
 
+#: Hex digits of a hash that tell its slices apart.
+SLICE_DIGITS = 4
 #: Priorities that sources may have.
 MOST_PRIORITIES = 64
 
@@ -66,13 +69,19 @@ def resolve_conflicts(df: DataFrame, key: str, seq: str, label: str, priority: s
 
 def balanced(df: DataFrame, label: str, key: Column, ratio: int = 1, seed: str = "") -> DataFrame:
     """At most ``ratio`` rows of each label for each row of the rarest one, picked by a
-    stable hash. Only counts and a cut-off hash for each label are gathered."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    want = counts.agg((F.min("n") * ratio).alias("want"))
-    dealt = df.withColumn("_deal", deal(key, seed))
-    w = Window.partitionBy(label).orderBy("_deal")
-    ranked = dealt.withColumn("_rank", F.row_number().over(w)).join(F.broadcast(want))  # one row
-    return ranked.where(F.col("_rank") <= F.col("want")).select(df.columns)
+    stable hash. Rows are counted by label and slice of the hash; whole slices stay up to
+    the one that holds the label's last row, and only rows of that slice are ranked."""
+    dealt = df.withColumn("_deal", deal(key, seed)).withColumn("_slice", F.substring("_deal", 1, SLICE_DIGITS))
+    n = dealt.groupBy(F.col(label).alias("_label"), "_slice").agg(F.count(F.lit(1)).alias("n"))
+    want = n.groupBy("_label").agg(F.sum("n").alias("n")).agg((F.min("n") * ratio).alias("want"))
+    n = n.withColumn("upto", F.sum("n").over(Window.partitionBy("_label").orderBy("_slice"))).join(F.broadcast(want))  # one row
+    over = F.when(F.col("upto") > F.col("want"), F.struct("_slice", (F.col("want") - F.col("upto") + F.col("n")).alias("room")))
+    cuts = n.groupBy("_label").agg(F.min(over).alias("_cut")).select("_label", F.col("_cut._slice").alias("_cut"), F.col("_cut.room").alias("_room"))
+    met = dealt.join(small(cuts), F.col(label).eqNullSafe(F.col("_label")))
+    below = met.where(F.col("_cut").isNull() | (F.col("_slice") < F.col("_cut")))
+    w = Window.partitionBy("_label").orderBy("_deal")
+    last = met.where(F.col("_slice") == F.col("_cut")).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= F.col("_room"))
+    return below.select(df.columns).unionByName(last.select(df.columns))
 
 
 def sample(df: DataFrame, key: Column, n: int, seed: str = "") -> DataFrame:
@@ -98,9 +107,9 @@ def normalised_labels(df: DataFrame, label: str, phishing: Sequence[object], leg
 
 def inverted_if_binary(df: DataFrame, label: str) -> DataFrame:
     """Labels turned round if they are exactly 0 and 1."""
-    found = df.agg(F.collect_set(F.col(label)).alias("s"))  # two values, or it stays
-    both = F.array_sort("s") == F.array(F.lit(0), F.lit(1))
-    return df.join(F.broadcast(found.select(both.alias("_b")))).withColumn(
+    c = F.col(label)
+    both = (F.min(c) == 0) & (F.max(c) == 1) & (F.count_if(~c.isin(0, 1)) == 0)
+    return df.join(F.broadcast(df.agg(both.alias("_b")))).withColumn(
         label, F.when(F.col("_b"), 1 - F.col(label)).otherwise(F.col(label))
     ).drop("_b")
 

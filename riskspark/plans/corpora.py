@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskspark.operators import corpus
 from riskspark.plans.registry import query, table
+from riskspark.plans.texts import title
 
 LABELLED_SQL = "SELECT doc_id, text, source, toxic AS label FROM documents JOIN labels USING (doc_id)"
 BUCKET_SQL = "(('0x' || md5({} || ':')[1:8])::BIGINT % 100)"
@@ -111,9 +112,9 @@ def f13_filtered(spark, sf):
     return d.select("doc_id", F.substring("text", 1, 1000).alias("text"))
 
 
-@query("SELECT page_id, url || ' [SEP] ' || 'title' AS text FROM pages")
+@query("SELECT page_id, url || ' [SEP] ' || regexp_extract(html, '<title>([^<]*)</title>', 1) AS text FROM pages")
 def x33_joined_title(spark, sf):
-    return table(spark, sf, "pages").select("page_id", corpus.joined_title(F.col("url"), F.lit("title")).alias("text"))
+    return table(spark, sf, "pages").select("page_id", corpus.joined_title(F.col("url"), title()).alias("text"))
 
 
 @query()

@@ -109,9 +109,10 @@ def j2_members(spark, sf):
     return O.among(table(spark, sf, "customer").select("c_custkey", "c_name"), orders, "c_custkey")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def j3_strangers(spark, sf):
-    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without a large order."""
+    orders = table(spark, sf, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     return O.not_among(table(spark, sf, "customer").select("c_custkey", "c_name"), orders, "c_custkey")
 
 

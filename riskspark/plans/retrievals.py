@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskspark.functions.text import ngrams
 from riskspark.operators import knn, retrieval
 from riskspark.plans.registry import query, table
 from riskspark.plans.texts import SMALL_SQL
@@ -33,15 +32,17 @@ def v13_bm25_postings(spark, sf):
 
 @query(f"WITH {SEARCH_SQL} SELECT query_id, doc_id, score, rank FROM top")
 def j7_bm25_search(spark, sf):
-    index = retrieval.postings(table(spark, sf, "documents"))
-    found = retrieval.search(table(spark, sf, "benchmark"), index, "item_id", "text")
+    asked = table(spark, sf, "benchmark")
+    index = retrieval.postings(table(spark, sf, "documents"), asked=retrieval.query_tokens(asked, "text"))
+    found = retrieval.search(asked, index, "item_id", "text")
     return found.select("query_id", "doc_id", F.col("score").cast("bigint").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"WITH {SEARCH_SQL} SELECT query_id, round(avg((quality = 1)::INT), 6) AS ratio, count(*) AS n FROM top JOIN labels USING (doc_id) GROUP BY 1")
 def a6_bm25_vote(spark, sf):
-    index = retrieval.postings(table(spark, sf, "documents"))
-    found = retrieval.search(table(spark, sf, "benchmark"), index, "item_id", "text")
+    asked = table(spark, sf, "benchmark")
+    index = retrieval.postings(table(spark, sf, "documents"), asked=retrieval.query_tokens(asked, "text"))
+    found = retrieval.search(asked, index, "item_id", "text")
     v = retrieval.votes(found, table(spark, sf, "labels").withColumnRenamed("quality", "label"))
     return v.withColumn("ratio", F.round("ratio", 6))
 
@@ -79,5 +80,4 @@ def j9_knn_vote(spark, sf):
 
 @query(f"WITH src AS (SELECT doc_id AS id, text FROM documents), {TOKENS_SQL} SELECT token, count(DISTINCT id) AS df FROM toks GROUP BY 1")
 def a7_document_frequency(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(ngrams(F.col("text")))).alias("token"))
-    return t.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return retrieval.document_frequencies(table(spark, sf, "documents"))

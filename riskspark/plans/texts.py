@@ -18,6 +18,10 @@ HOST_SQL = r"regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)
 SMALL_SQL = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}]+'), lambda r: r <> '')"
 
 
+def title():
+    return F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+
+
 @query(f"SELECT doc_id, {HITS_SQL}::INT AS hits, CASE WHEN {HITS_SQL} >= 3 THEN 'DANGEROUS' WHEN {HITS_SQL} >= 1 THEN 'SUSPICIOUS' ELSE 'SAFE' END AS level FROM documents")
 def v12_keyword_level(spark, sf):
     c = F.col("text")
@@ -47,10 +51,10 @@ def x19_url_keys(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.url_key(F.col("url")).alias("key"), X.is_bare_domain(F.col("url")).alias("bare"))
 
 
-@query(r"""WITH p AS (SELECT page_id, string_split(regexp_extract(url, '^https?://([^/?#]*)', 1), '.') AS l, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM pages)
-SELECT page_id, substring(trim((CASE WHEN len(l) > 2 THEN array_to_string(l[:len(l) - 2], ' ') ELSE l[1] END) || ' ' || translate(path, '/-_', '   ') || ' ' || 'title'), 1, 1000) AS text FROM p""")
+@query(r"""WITH p AS (SELECT page_id, string_split(regexp_extract(url, '^https?://([^/?#]*)', 1), '.') AS l, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)
+SELECT page_id, substring(trim((CASE WHEN len(l) > 2 THEN array_to_string(l[:len(l) - 2], ' ') ELSE l[1] END) || ' ' || translate(path, '/-_', '   ') || ' ' || title), 1, 1000) AS text FROM p""")
 def x15_url_words(spark, sf):
-    return table(spark, sf, "pages").select("page_id", X.url_words(F.col("url"), F.lit("title")).alias("text"))
+    return table(spark, sf, "pages").select("page_id", X.url_words(F.col("url"), title()).alias("text"))
 
 
 @query(r"""SELECT page_id, array_to_string(list_transform(string_split(regexp_extract(url, '^https?://([^/?#]*)', 1), '.'), lambda x: CASE WHEN length(x) <= 2 THEN '***' ELSE x[1:2] || '***' END), '.') AS masked FROM pages""")
@@ -68,16 +72,14 @@ def x20_one_line(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.one_line(F.col("text")).alias("line"))
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name FROM part)
-SELECT a.p_name AS a, b.p_name AS b, levenshtein(a.p_name, b.p_name)::INT AS distance, round(levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)), 6) AS normalised,
-floor(((1::FLOAT - levenshtein(a.p_name, b.p_name)::FLOAT / greatest(length(a.p_name), length(b.p_name))::FLOAT)::FLOAT * 100::FLOAT)::FLOAT)::INT AS percent
-FROM n a JOIN n b ON a.p_name[1:4] = b.p_name[1:4] AND a.p_name < b.p_name""")
+@query("""WITH n AS (SELECT p_partkey, p_name AS a, lower(p_type) AS b FROM part)
+SELECT p_partkey, a, b, levenshtein(a, b)::INT AS distance, round(levenshtein(a, b) / greatest(length(a), length(b)), 6) AS normalised,
+floor(((1::FLOAT - levenshtein(a, b)::FLOAT / greatest(length(a), length(b))::FLOAT)::FLOAT * 100::FLOAT)::FLOAT)::INT AS percent FROM n""")
 def x1_edit_distances(spark, sf):
-    n = table(spark, sf, "part").select("p_name").distinct()
-    a, b = n.select(F.col("p_name").alias("a")), n.select(F.col("p_name").alias("b"))
-    pairs = a.join(b, (F.substring("a", 1, 4) == F.substring("b", 1, 4)) & (F.col("a") < F.col("b")))
+    """The name and the type of every part."""
+    pairs = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("a"), F.lower("p_type").alias("b"))
     return pairs.select(
-        "a", "b", F.levenshtein("a", "b").alias("distance"), F.round(X.normalised_distance(F.col("a"), F.col("b")), 6).alias("normalised"),
+        "p_partkey", "a", "b", F.levenshtein("a", "b").alias("distance"), F.round(X.normalised_distance(F.col("a"), F.col("b")), 6).alias("normalised"),
         X.fuzzy_percent(F.col("a"), F.col("b")).alias("percent"),
     )
 
@@ -104,11 +106,11 @@ def j5_has_near(spark, sf):
     return editjoin.has_near(n, n.where(F.contains("p_name", F.lit("w"))), "p_name", "p_name", 2)
 
 
-@query(f"""WITH r AS (SELECT doc_id, unnest({SMALL_SQL}) AS run FROM documents WHERE lang = 'en'),
+@query(f"""WITH r AS (SELECT doc_id, unnest({SMALL_SQL}) AS run FROM documents),
 g AS (SELECT doc_id, CASE WHEN length(run) <= 2 THEN [run] ELSE list_concat(list_transform(range(1, length(run)), lambda i: run[i:i+1]), list_transform(range(1, length(run) - 1), lambda i: run[i:i+2])) END AS grams FROM r)
 SELECT doc_id, sum(len(grams))::BIGINT AS n, count(DISTINCT t)::BIGINT AS n_distinct FROM (SELECT doc_id, grams, unnest(grams) AS t FROM g) GROUP BY doc_id""".replace("sum(len(grams))::BIGINT AS n", "count(*) AS n"))
 def v1_ngram_counts(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", X.ngrams(F.col("text")).alias("t"))
+    d = table(spark, sf, "documents").select("doc_id", X.ngram_bag(F.col("text")).alias("t"))
     return d.where(F.size("t") > 0).select("doc_id", F.size("t").cast("bigint").alias("n"), F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"))
 
 
@@ -124,8 +126,9 @@ round(length(regexp_replace(text, '\P{Nd}', '', 'g'))::FLOAT / length(text)::FLO
 round(CASE WHEN length(regexp_replace(text, '\P{L}', '', 'g')) = 0 THEN 0 ELSE length(regexp_replace(text, '\P{Lu}', '', 'g'))::FLOAT / length(regexp_replace(text, '\P{L}', '', 'g'))::FLOAT END, 5)::DOUBLE AS upper,
 round(length(regexp_replace(text, '[\p{L}\p{Nd}\s]', '', 'g'))::FLOAT / length(text)::FLOAT, 5)::DOUBLE AS special FROM documents""")
 def v6_ratios(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", V.features(F.col("text")).alias("f"))
     r = {"digits": "digitRatio", "upper": "uppercaseRatio", "special": "specialCharRatio"}
+    names = ["textLength", "exclamationCount", "questionCount", *r.values()]
+    d = table(spark, sf, "documents").select("doc_id", V.features(F.col("text"), names).alias("f"))
     return d.select(
         "doc_id", F.col("f.textLength").alias("n"), F.col("f.exclamationCount").alias("exclamations"), F.col("f.questionCount").alias("questions"),
         *[F.round(F.col(f"f.{v}"), 5).cast("double").alias(k) for k, v in r.items()],

@@ -27,6 +27,12 @@ def test_ngrams(one):
     assert one("", X.ngrams) == []
 
 
+@pytest.mark.parametrize("text", ["转账汇款 Hi abc", "", "a b c dd 𝒜b x𝒜 𝒜 z", "𝒜𝒜𝒜b c", "x-y--zz 1 22 333 é", None, "😀a😀bc😀"])
+def test_bag_has_the_same_ngrams(one, text):
+    bag, grams = one(text, X.ngram_bag), one(text, X.ngrams)
+    assert (bag and sorted(bag)) == (grams and sorted(grams))
+
+
 @pytest.mark.parametrize("text", ["", "a", "aab", "hello world", "ééx"])
 def test_entropy(one, text):
     n = len(text)

@@ -64,6 +64,43 @@ def test_balance_and_split(spark):
     assert 60 < held < 150
 
 
+def test_balance_picks_the_first_by_hash_and_keeps_null_labels(spark):
+    df = spark.range(400).select("id", F.when(F.col("id") % 4 > 0, F.col("id") % 4).alias("label"))
+    df = df.where("label is null or label < 3 or id < 40")
+    all_rows = df.withColumn("h", corpus.deal(F.col("id"))).collect()
+    want = set()
+    for label in {r.label for r in all_rows}:
+        want |= {r.id for r in sorted((r for r in all_rows if r.label == label), key=lambda r: r.h)[:10]}
+    assert {r.id for r in corpus.balanced(df, "label", F.col("id")).collect()} == want
+
+
+def test_labels_are_inverted_only_if_binary(spark):
+    def turned(values):
+        df = spark.createDataFrame([(v,) for v in values], "label int")
+        return [r[0] for r in corpus.inverted_if_binary(df, "label").collect()]
+
+    assert turned([0, 1, None, 1]) == [1, 0, None, 0]
+    assert turned([0, 1, 2]) == [0, 1, 2] and turned([1, 1]) == [1, 1] and turned([]) == []
+
+
+def test_nearest_against_all_pairs(spark):
+    from riskspark.functions.features import cosine_of_common
+    from riskspark.operators import knn
+
+    rows = [(i, [float((i * 7 + d * d) % 11 - 5) for d in range(12 if i % 3 else 9)], i % 2) for i in range(40)]
+    rows += [(40, [0.0] * 12, 1), (41, None, 0), (42, [], 0)]
+    t = spark.createDataFrame(rows, "id int, vector array<double>, label int")
+    q = t.select(F.col("id").alias("query_id"), "vector")
+    found = knn.nearest(q, t, k=5, most=30)
+    got = {(r.query_id, r["rank"]): (r.id, r.similarity) for r in found.collect()}
+    stored = t.where("vector is not null").orderBy(F.col("id").desc()).limit(30).select("id", F.col("vector").alias("v"))
+    pairs = q.where("vector is not null").crossJoin(stored).select("query_id", "id", F.round(cosine_of_common(F.col("vector"), F.col("v")), 6).alias("s"))
+    want = {}
+    for r in sorted(pairs.collect(), key=lambda r: (r.query_id, -r.s, r.id)):
+        want.setdefault(r.query_id, []).append((r.id, r.s))
+    assert got == {(n, k + 1): x for n, found in want.items() for k, x in enumerate(found[:5])}
+
+
 def test_length_stats_take_the_upper_median(spark):
     df = spark.createDataFrame([("a" * n,) for n in (1, 2, 3, 10)], "t string")
     r = corpus.length_stats(df, "t").first()
