@@ -117,12 +117,19 @@ def x33_joined_title(spark, sf):
     return table(spark, sf, "pages").select("page_id", corpus.joined_title(F.col("url"), title()).alias("text"))
 
 
-@query()
+PICK_SQL = "(('0x' || md5({} || ':{}')[1:8])::BIGINT % 2)"
+PICKS_SQL = ", ".join(f"{PICK_SQL.format('i::VARCHAR', k)} AS {k}" for k in ("template", "bank", "code", "name"))
+
+
+@query(f"""WITH p AS (SELECT i::BIGINT AS id, {PICKS_SQL} FROM range(100) t(i))
+SELECT id, CASE template WHEN 0 THEN ['A', 'B'][bank + 1] || ': your code is ' || ['1', '2'][code + 1] ELSE 'Hi ' || ['X', 'Y'][name + 1] END AS text FROM p""")
 def x29_templates(spark, sf):
     return corpus.from_templates(spark, ["{bank}: your code is {code}", "Hi {name}"], {"bank": ["A", "B"], "code": ["1", "2"], "name": ["X", "Y"]}, 100)
 
 
-@query()
+@query("""WITH p AS (SELECT url, (page_id % 2)::INT AS label, ('0x' || md5(url || ':variant')[1:8])::BIGINT % 100 AS k FROM pages)
+SELECT url, label FROM p UNION ALL SELECT regexp_replace(url, '/+$', '') || '/' || md5(url || ':path')[1:6], label FROM p WHERE label = 0 AND k < 60
+UNION ALL SELECT regexp_extract(url, '^(https?://[^/?#]*)', 1), label FROM p WHERE label = 1 AND k < 30 UNION ALL SELECT 'https://example.org', 0 FROM range(3)""")
 def x32_url_variants(spark, sf):
     p = table(spark, sf, "pages").select("url", (F.col("page_id") % 2).cast("int").alias("label"))
     return corpus.with_url_variants(p, "url", "label", spark.createDataFrame([("https://example.org",)], "url string"))

@@ -158,13 +158,21 @@ def st15_idle_gaps(spark, sf):
     return g.select("user_id", ms("idle_from").alias("idle_from_ms"), "n")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT event_id, user_id, event_type, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
+f AS (SELECT event_id, user_id, event_type, i, ms AS kept, true AS launched FROM r WHERE i = 1
+UNION ALL SELECT r.event_id, r.user_id, r.event_type, r.i, CASE WHEN r.ms - f.kept >= 86400000 THEN r.ms ELSE f.kept END, r.ms - f.kept >= 86400000
+FROM f JOIN r ON r.user_id = f.user_id AND r.event_type = f.event_type AND r.i = f.i + 1)
+SELECT event_id, launched FROM f""")
 def st1_cooldown(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type", ms("ts").alias("ms"), F.lit(86_400.0).alias("cooldown"))
     return folds.replay_cooldown(e, "user_id", "event_type", "ms", "event_id", "cooldown").select("event_id", "launched")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT event_id, user_id, event_type, event_type <> 'error' AS limited, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
+f AS (SELECT event_id, user_id, i, MAP {event_type: ms} AS kept, CASE WHEN limited THEN ms END AS latest, true AS launched FROM r WHERE i = 1
+UNION ALL SELECT event_id, user_id, i, CASE WHEN ok THEN map_concat(kept, MAP {event_type: ms}) ELSE kept END, CASE WHEN ok AND limited THEN ms ELSE latest END, ok
+FROM (SELECT r.*, f.kept, f.latest, coalesce(r.ms - f.kept[r.event_type] >= 300000, true) AND coalesce(NOT r.limited OR r.ms - f.latest >= 5000, true) AS ok FROM f JOIN r ON r.user_id = f.user_id AND r.i = f.i + 1))
+SELECT event_id, launched FROM f""")
 def st2_cooldown_and_limiter(spark, sf):
     e = table(spark, sf, "events").select(
         "event_id", "user_id", "event_type", ms("ts").alias("ms"), F.lit(300.0).alias("cooldown"), (F.col("event_type") != "error").alias("limited")

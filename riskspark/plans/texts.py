@@ -135,6 +135,24 @@ def v6_ratios(spark, sf):
     )
 
 
+@query(r"""WITH d AS (SELECT doc_id, text, length(text) AS n, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS words, string_split(text, '') AS ch, trim(regexp_split_to_array(text, '\r\n|\n|\r')[1]) AS line FROM documents)
+SELECT doc_id, len(regexp_extract_all(text, 'https?://\S+'))::INT AS urls, len(regexp_extract_all(text, 'https?://\S+'))::INT AS links, regexp_matches(text, '(^|[^0-9])1[3-9][0-9]{9}($|[^0-9])') AS phone,
+CASE WHEN regexp_matches(line, '^1[3-9][0-9]{9}$') THEN 'PHONE_NUMBER' WHEN regexp_matches(line, '^[0-9]{3,6}$') THEN 'SHORT_CODE' WHEN regexp_matches(line, '^[A-Za-z]{3,11}$') THEN 'ALPHABETIC' ELSE 'UNKNOWN' END AS sender,
+CASE WHEN regexp_matches(text, '[\x{4E00}-\x{9FFF}]') THEN 'CHINESE' ELSE 'ENGLISH' END AS language,
+round(CASE WHEN len(words) = 0 THEN 0 ELSE list_sum(list_transform(words, lambda w: length(w)))::FLOAT / len(words)::FLOAT END, 4)::DOUBLE AS word_length,
+coalesce(list_sum(list_transform(range(2, len(ch) + 1), lambda i: (ch[i] = ch[i - 1])::INT)), 0)::INT AS repeated,
+len(regexp_extract_all(text, '\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b'))::INT AS ips,
+length(regexp_replace(text, '[^$€£¥₹₽₩]', '', 'g'))::INT AS money FROM d""")
+def v6_counts(spark, sf):
+    r = {
+        "urls": "urlCount", "links": "linkCount", "phone": "hasPhoneNumber", "sender": "senderType", "language": "language",
+        "word_length": "avgWordLength", "repeated": "repeatedCharCount", "ips": "ipAddressCount", "money": "moneySymbolCount",
+    }
+    d = table(spark, sf, "documents").select("doc_id", V.features(F.col("text"), set(r.values())).alias("f"))
+    d = d.select("doc_id", *[F.col(f"f.{v}").alias(k) for k, v in r.items()])
+    return d.withColumn("word_length", F.round(F.col("word_length"), 4).cast("double"))
+
+
 @query()
 def v7_feature_arrays(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", V.features(F.col("text")).alias("f"))
@@ -149,10 +167,18 @@ def v9_cosine(spark, sf):
     return pairs.select("a", "b", F.round(V.cosine(F.col("x"), F.col("y")), 5).alias("similarity"))
 
 
-@query()
+@query("""WITH h AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents),
+b AS (SELECT doc_id, n, list_transform(range(0, least(n, 511)), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT) AS b FROM h),
+k AS (SELECT doc_id, b, CASE WHEN n <= 510 THEN n WHEN b[511] NOT BETWEEN 128 AND 191 THEN 510 WHEN b[510] NOT BETWEEN 128 AND 191 THEN 509 WHEN b[509] NOT BETWEEN 128 AND 191 THEN 508 ELSE 507 END AS k FROM b)
+SELECT doc_id, array_to_string(list_concat([101], b[:k], [102], list_transform(range(0, 510 - k), lambda i: 0::BIGINT)), ' ') AS ids FROM k""")
 def v2_byte_ids(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", tokenizers.byte_encode(F.col("text")).alias("ids"))
+    return d.select("doc_id", F.array_join(tokenizers.byte_encode(F.col("text")), " ").alias("ids"))
+
+
+@query("SELECT doc_id, 'sms_' || source || '_' || md5(text) AS key FROM documents")
+def st4_message_keys(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.sms_key(F.col("source"), F.col("text")).alias("key"))
 
 
 @query()

@@ -54,6 +54,14 @@ def d6_rule_update(spark, sf):
     return C.updated_rules(old, diff, 1).select("domain", "category")
 
 
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN (CASE WHEN (doc_id % 97 / 97.0)::FLOAT < 0.3::FLOAT THEN 'SAFE' WHEN (doc_id % 97 / 97.0)::FLOAT < 0.59::FLOAT THEN 'SUSPICIOUS' ELSE 'DANGEROUS' END)
+WHEN {HITS_SQL} >= 3 THEN 'DANGEROUS' WHEN {HITS_SQL} >= 1 THEN 'SUSPICIOUS' ELSE 'SAFE' END AS level FROM documents""")
+def d5_web_levels(spark, sf):
+    """Every third document has no model score."""
+    model = F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 97 / 97.0)
+    return table(spark, sf, "documents").select("doc_id", C.web_level(F.col("text"), WORDS, model).alias("level"))
+
+
 FUSED_SQL = "((CASE WHEN m IS NULL THEN 0 ELSE (m::FLOAT * 0.5::FLOAT)::FLOAT::DOUBLE END + (b::FLOAT * 0.2::FLOAT)::FLOAT::DOUBLE) / (CASE WHEN m IS NULL THEN 0 ELSE 0.5::FLOAT::DOUBLE END + 0.2::FLOAT::DOUBLE))::FLOAT"
 
 

@@ -65,7 +65,8 @@ def replay_cooldown(events: DataFrame, device: str, key: str, time_ms: str, tie:
 
 def stream_cooldown(events: DataFrame, device: str, key: str, time_ms: str, tie: str, cooldown: str) -> DataFrame:
     """The same fold on a stream, with the global limiter for all events: ``device, key,
-    time_ms, tie, launched``. State goes when a device has been silent for ten minutes."""
+    time_ms, tie, launched``. State goes when a device has been silent for ten minutes,
+    or for its longest cooldown if that is more."""
     fields = {f.name: f.dataType.simpleString() for f in events.schema}
     out = f"{device} {fields[device]}, {key} {fields[key]}, {time_ms} long, {tie} {fields[tie]}, launched boolean"
 
@@ -73,14 +74,15 @@ def stream_cooldown(events: DataFrame, device: str, key: str, time_ms: str, tie:
         if state.hasTimedOut:
             state.remove()
             return
-        saved = json.loads(state.get[0]) if state.exists else {"last": {}, "launched": None}
+        saved = json.loads(state.get[0]) if state.exists else {"last": {}, "launched": None, "longest": FORGET_S}
         c = Cooldown(saved["last"], saved["launched"])
         rows = pd.concat(list(batches)).sort_values([time_ms, tie], kind="stable", ignore_index=True)
         rows["launched"] = [
             c.launches(str(a), int(t), float(s), True) for a, t, s in zip(rows[key], rows[time_ms], rows[cooldown], strict=True)
         ]
-        state.update((json.dumps({"last": c.last, "launched": c.launched}),))
-        state.setTimeoutDuration(FORGET_S * 1000)
+        longest = max(saved["longest"], float(rows[cooldown].max()))
+        state.update((json.dumps({"last": c.last, "launched": c.launched, "longest": longest}),))
+        state.setTimeoutDuration(int(longest * 1000))
         yield rows[[device, key, time_ms, tie, "launched"]]
 
     return events.groupBy(device).applyInPandasWithState(fold, out, "saved string", "append", "ProcessingTimeTimeout")
