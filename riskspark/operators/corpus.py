@@ -164,6 +164,14 @@ BANKS = "工商银行 建设银行 农业银行 招商银行 中国银行 交通
 NAMES = "先生 女士 用户 朋友 会员".split()
 PLACEHOLDERS = ("CELLPHONE", "HOTLINE", "WECHAT", "PLACE", "DIGIT", "PHONE", "NAME", "BANK", "URL", "QQ")
 
+#: Words that show a text was left with a placeholder or made from a template.
+LEFT_OVER = ("PHONE", "DIGIT", "CELLPHONE", "NAME", "NAMEDIGITCELLPHONE", "URL", "PLACE", "XXX", "TEMPLATE", "RANDOM")
+
+
+def uncontaminated(df: DataFrame, text: str = "text") -> DataFrame:
+    """Rows whose text has none of ``LEFT_OVER``, in any case of letters. Null texts go."""
+    return df.where(~F.col(text).rlike("(?i)" + "|".join(LEFT_OVER)))
+
 
 def _filled(kind: str, key: str) -> str:
     h = crc32(key.encode())

@@ -112,6 +112,14 @@ def f13_filtered(spark, sf):
     return d.select("doc_id", F.substring("text", 1, 1000).alias("text"))
 
 
+@query("SELECT p_partkey, p_name FROM part WHERE NOT regexp_matches(p_name || ' ' || CASE WHEN p_size % 7 = 0 THEN 'your Digits' ELSE p_type END, '(?i)PHONE|DIGIT|CELLPHONE|NAME|NAMEDIGITCELLPHONE|URL|PLACE|XXX|TEMPLATE|RANDOM')")
+def f10_uncontaminated(spark, sf):
+    """Parts, those of some sizes with a placeholder in their text."""
+    tail = F.when(F.col("p_size") % 7 == 0, "your Digits").otherwise(F.col("p_type"))
+    p = table(spark, sf, "part").withColumn("text", F.concat_ws(" ", "p_name", tail))
+    return corpus.uncontaminated(p).select("p_partkey", "p_name")
+
+
 @query("SELECT page_id, url || ' [SEP] ' || regexp_extract(html, '<title>([^<]*)</title>', 1) AS text FROM pages")
 def x33_joined_title(spark, sf):
     return table(spark, sf, "pages").select("page_id", corpus.joined_title(F.col("url"), title()).alias("text"))

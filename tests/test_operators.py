@@ -74,6 +74,11 @@ def test_balance_picks_the_first_by_hash_and_keeps_null_labels(spark):
     assert {r.id for r in corpus.balanced(df, "label", F.col("id")).collect()} == want
 
 
+def test_texts_with_placeholders_go(spark):
+    df = spark.createDataFrame([("call PHONE",), ("Your name",), ("xxXx",), ("plain text",), ("",), (None,)], "text string")
+    assert [r[0] for r in corpus.uncontaminated(df).collect()] == ["plain text", ""]
+
+
 def test_labels_are_inverted_only_if_binary(spark):
     def turned(values):
         df = spark.createDataFrame([(v,) for v in values], "label int")
