@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import bytebpe, fingerprints, langid, lines, media, minhash, packing, pii, substrings, urls
+from riskspark.llm import bytebpe, fingerprints, langid, lines, media, minhash, packing, pii, substrings, suffixes, urls
 from riskspark.llm.common import table
 from riskspark.llm.pipeline import PII_KEY
 
@@ -76,6 +76,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_near_duplicates,
         op9_media_columns,
         op10_byte_bpe,
+        op11_suffix_dedup,
     )
 }
 
