@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import bytebpe, fingerprints, langid, lines, media, minhash, packing, pii, substrings, suffixes, urls
+from riskspark.llm import alignment, bytebpe, fingerprints, langid, lines, media, minhash, packing, pii, substrings, suffixes, urls
 from riskspark.llm.common import table
 from riskspark.llm.pipeline import PII_KEY
 
@@ -81,6 +81,12 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_documents(docs, *paths, digests=True).withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_media_columns,
         op10_byte_bpe,
         op11_suffix_dedup,
+        op12_token_alignment,
     )
 }
 

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import dropped, numbered, plain_text, stored
+from riskspark.llm.common import numbered, plain_text, stored
 
 #: Bytes of the shortest repeat.
 LEAST = 50
