@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import alignment, bytebpe, fingerprints, langid, lines, media, minhash, packing, pii, substrings, suffixes, urls
+from riskspark.llm import alignment, bytebpe, fingerprints, langid, lines, media, minhash, packing, pii, substrings, suffixes, urls, vectorcodes
 from riskspark.llm.common import table
 from riskspark.llm.pipeline import PII_KEY
 
@@ -87,6 +87,11 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(docs, *paths, digests=True).withColumnRenamed("groups", "groups_sha256")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_byte_bpe,
         op11_suffix_dedup,
         op12_token_alignment,
+        op13_vector_codes,
     )
 }
 
@@ -150,4 +156,48 @@ c AS (SELECT a AS doc_id, min(b) AS class_id, count(*) AS class_size FROM r GROU
 SELECT doc_id, class_id, class_size, doc_id = class_id AS kept FROM c
 """
 
-ORACLES: dict[str, str] = {"op2_url_filters": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op8_near_duplicates": OP8_SQL}
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+q AS MATERIALIZED (SELECT doc_id, low, substr(h, 2 * low + 1, 2098) AS z FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2, 1000)) AS low FROM d)),
+p AS (SELECT doc_id, low + o AS i, substr(z, 2 * o + 1, 100) AS k FROM (SELECT doc_id, low, z, unnest(range(0, least(1000, len(z) // 2 - 49))) AS o FROM q)),
+m AS (SELECT k, min(doc_id) AS least FROM p GROUP BY k),
+c AS (SELECT doc_id, i FROM p JOIN m USING (k) WHERE least < doc_id),
+x AS (SELECT doc_id, low + o AS j, substr(z, 2 * o + 1, 2) AS byte
+      FROM (SELECT doc_id, low, z, unnest(range(0, least(1000, len(z) // 2))) AS o FROM q WHERE doc_id IN (SELECT doc_id FROM c))),
+v AS (SELECT x.doc_id, j, byte, max(c.i) OVER (PARTITION BY x.doc_id ORDER BY j) >= j - 49 AS gone FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.j = c.i),
+w AS (SELECT *, coalesce(gone, false) AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY j), false) AS starts FROM v),
+r AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans, string_agg(byte, '' ORDER BY j) FILTER (NOT coalesce(gone, false)) AS kept FROM w GROUP BY 1)
+SELECT documents.doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(CASE WHEN r.doc_id IS NULL THEN encode(coalesce(text, '')) ELSE unhex(coalesce(kept, '')) END) AS kept_sha256
+FROM documents LEFT JOIN r USING (doc_id)
+"""
+
+
+def _vector_codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Lloyd rounds, each a few common table expressions."""
+    steps = [
+        """k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS v
+        FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)""",
+        f"""p AS MATERIALIZED (SELECT r, part, v[part * len(v) // {parts} + 1:(part + 1) * len(v) // {parts}] AS v FROM k, range({parts}) AS t(part))""",
+        f"""c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, v AS e FROM p WHERE r <= {entries})""",
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (SELECT r, part, min((list_inner_product(v, v) - 2 * list_inner_product(v, e) + list_inner_product(e, e))::HUGEINT * {entries} + entry) AS best
+        FROM p JOIN c{n} USING (part) GROUP BY ALL)""")
+        if n < rounds:
+            steps.append(f"""s{n} AS (SELECT part, entry, list(z ORDER BY i) AS e FROM (SELECT part, (best % {entries})::BIGINT AS entry, i, floor(sum(c) / count(*)) AS z
+            FROM (SELECT part, best, unnest(range(len(v))) AS i, unnest(v) AS c FROM a{n} JOIN p USING (r, part)) GROUP BY ALL) GROUP BY ALL)""")
+            steps.append(f"""c{n + 1} AS MATERIALIZED (SELECT part, entry, coalesce(s{n}.e, c{n}.e) AS e FROM c{n} LEFT JOIN s{n} USING (part, entry))""")
+    return f"""WITH {", ".join(steps)},
+    b AS (SELECT sha256(string_agg(array_to_string(list_transform(e, lambda c: c::BIGINT), ','), ',' ORDER BY part, entry)) AS digest FROM c{rounds}),
+    q AS (SELECT r, string_agg(printf('%02x', (best % {entries})::BIGINT), '' ORDER BY part) AS code, sum(best // {entries})::BIGINT AS error FROM a{rounds} GROUP BY r)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, digest AS codebooks_sha256 FROM k JOIN q USING (r), b"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_url_filters": OP2_SQL,
+    "op3_substring_dedup": OP3_SQL,
+    "op8_near_duplicates": OP8_SQL,
+    "op11_suffix_dedup": OP11_SQL,
+    "op13_vector_codes": _vector_codes_sql(),
+}

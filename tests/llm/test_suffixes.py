@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -139,3 +140,11 @@ def test_query(spark):
     texts = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = sorted(tuple(r) for r in queries.op11_suffix_dedup(spark, SF).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
     assert got == [(*w[:4], hashlib.sha256(w[4]).hexdigest()) for w in brute(texts, 50)]
+
+
+def test_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    want = sorted(con.sql(queries.ORACLES["op11_suffix_dedup"]).df()[names].itertuples(index=False, name=None))
+    assert sorted(map(tuple, queries.op11_suffix_dedup(spark, SF).select(*names).collect())) == want
