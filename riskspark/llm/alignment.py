@@ -26,7 +26,7 @@ from riskspark.llm.common import own_worker, plain_text, stored
 END_A, END_B, BOTH = 1, 2, 3
 GROUP = re.compile(rb"[\x00-\x02]*\x03")
 #: Chunks whose alignment a worker keeps; beyond it the store is emptied. Longer ones are not kept.
-STORED_CHUNKS, STORED_LENGTH = 250_000, 48
+STORED_CHUNKS, STORED_LENGTH = 500_000, 48
 #: Characters of the texts whose links are gathered together, about.
 BLOCK_CHARACTERS = 1 << 22
 #: The mark that stands for a space in pieces.
@@ -90,14 +90,31 @@ class Aligner:
         raws = [b" " + t.encode() for t in texts]
         ids_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
         ids_b = self.ids_b(texts)
-        good = [b"".join(map(self.bytes_a.__getitem__, x)) == raw == b"".join(map(self.bytes_b.__getitem__, y)) for x, y, raw in zip(ids_a, ids_b, raws, strict=True)]
+        good = [self._spelled(x, y, raw) for x, y, raw in zip(ids_a, ids_b, raws, strict=True)]
         some = [k for k, g in enumerate(good) if g]
         out: list[tuple[str, bytes, int] | None] = [None] * len(texts)
-        if not some:
-            return out
-        a = np.array([i for k in some for i in ids_a[k]], "i8")
-        b = np.array([i for k in some for i in ids_b[k]], "i8")
-        ends = np.cumsum([len(raws[k]) for k in some])
+        found = self._groups([i for k in some for i in ids_a[k]], [i for k in some for i in ids_b[k]], [len(raws[k]) for k in some])
+        for k, f in zip(some, found, strict=True):
+            out[k] = f
+        return out
+
+    def aligned_chunks(self, chunks: list[str]) -> list[tuple[str, bytes, int] | None]:
+        """The same, of chunks: those that may stand one after another in a text are encoded as one."""
+        in_turn = [c and not c[-1].isspace() for c in chunks]
+        if len(chunks) > 1 and all(in_turn):
+            joined = " ".join(chunks)
+            ids_a, ids_b = self.a.encode_batch_fast([" " + joined], add_special_tokens=False)[0].ids, self.b.encode(joined)
+            if self._spelled(ids_a, ids_b, b" " + joined.encode()):
+                return self._groups(ids_a, ids_b, [len(c) + 1 if c.isascii() else len(c.encode()) + 1 for c in chunks])
+        return self.aligned(chunks)
+
+    def _spelled(self, ids_a: list[int], ids_b: list[int], raw: bytes) -> bool:
+        return b"".join(map(self.bytes_a.__getitem__, ids_a)) == raw == b"".join(map(self.bytes_b.__getitem__, ids_b))
+
+    def _groups(self, ids_a: list[int], ids_b: list[int], sizes: list[int]) -> list[tuple[str, bytes, int]]:
+        if not sizes:
+            return []
+        a, b, ends = np.array(ids_a, "i8"), np.array(ids_b, "i8"), np.cumsum(sizes)
         labels = np.zeros(ends[-1], "u1")
         labels[np.cumsum(self.size_a[a]) - 1] = END_A
         labels[np.cumsum(self.size_b[b]) - 1] += np.uint8(END_B)
@@ -105,18 +122,22 @@ class Aligner:
         kind = labels[at]
         in_a, in_b = kind & END_A, kind >> 1
         links = ((a[np.cumsum(in_a, dtype="i8") - in_a] << 32) | b[np.cumsum(in_b, dtype="i8") - in_b]).astype("<i8").tobytes()
-        cuts = [0, *(8 * np.searchsorted(at, ends)).tolist()]
-        name_a, name_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        spans, place, i, j, n = iter(GROUP.findall(labels.tobytes())), 0, 0, 0, 0
-        for k, end in zip(some, ends.tolist(), strict=True):
+        cuts = (8 * np.searchsorted(at, ends)).tolist()
+        name_a, name_b = list(map(str, ids_a)), list(map(str, ids_b))
+        out, spans, place, i, j, cut = [], iter(GROUP.findall(labels.tobytes())), 0, 0, 0, 0
+        for end, stop in zip(ends.tolist(), cuts, strict=True):
             groups, first = [], i
             while place < end:
                 span = next(spans)
-                x, y = i + span.count(END_A) + 1, j + span.count(END_B) + 1
-                groups.append(f"{','.join(name_a[i:x])}|{','.join(name_b[j:y])}")
-                place, i, j = place + len(span), x, y
-            out[k] = (";".join(groups), links[cuts[n] : cuts[n + 1]], i - first)
-            n += 1
+                place += len(span)
+                x, y = i + 1 + span.count(END_A), j + 1 + span.count(END_B)
+                if x - i == y - j == 1:
+                    groups.append(name_a[i] + "|" + name_b[j])
+                else:
+                    groups.append(",".join(name_a[i:x]) + "|" + ",".join(name_b[j:y]))
+                i, j = x, y
+            out.append((";".join(groups), links[cut:stop], i - first))
+            cut = stop
         return out
 
     def chunks(self, text: str) -> list[str]:
@@ -147,7 +168,7 @@ class Aligner:
             missing = set(chunks).difference(self.stored)
         new = list(missing)
         for k in range(0, len(new), 2048):
-            self.stored.update(zip(new[k : k + 2048], self.aligned(new[k : k + 2048]), strict=True))
+            self.stored.update(zip(new[k : k + 2048], self.aligned_chunks(new[k : k + 2048]), strict=True))
         found = list(map(self.stored.__getitem__, chunks))
         for c in new:
             if len(c) > STORED_LENGTH:
