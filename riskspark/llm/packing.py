@@ -3,7 +3,9 @@ the tightest open window; overlong documents are first cut into full windows."""
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,6 +25,9 @@ END_ID = 2
 GROUP_DOCUMENTS = 2048
 #: Marks that may follow a word; the tokenizer's pattern takes them as one match.
 MARKS = ".,;:!?*&$%#\")]}"
+#: The settings of a tokenizer whose texts may be cut at white space: its normalizers, and its pattern of matches.
+NORMALIZERS = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "})
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Chunks whose ids a worker keeps; beyond it the store is emptied.
 STORED_CHUNKS = 700_000
 #: Longer chunks are not stored.
@@ -30,8 +35,10 @@ STORED_LENGTH = 64
 
 
 class ChunkIds:
-    """Packed ids of chunks between spaces. The tokenizer drops white space and no
-    match of its pattern holds any, so a text's ids are those of its chunks in turn."""
+    """Packed ids of texts, from the ids of their chunks between spaces. That holds for a
+    tokenizer that drops white space, whose pattern has no match with any, and whose
+    normalizers don't look beyond it; texts of other tokenizers, and texts that may hold
+    one of its added tokens, are encoded whole."""
 
     def __init__(self, path: str, most: int = STORED_CHUNKS):
         self.most = most
@@ -39,13 +46,16 @@ class ChunkIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.cuttable, self.heads = settings(json.loads(self.tokenizer.to_str()))
         self.stored: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         for text in texts:
+            if not self.cuttable or any(h in text for h in self.heads):
+                yield self._encoded([text])[0]
+                continue
             chunks = text.replace("\n", " ").split(" ")
             distinct = set(chunks)
             missing = distinct.difference(self.stored)
@@ -58,22 +68,27 @@ class ChunkIds:
                 if len(c) > STORED_LENGTH:
                     del found[c]
 
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [pack(f"<{len(e.ids)}I", *e.ids) for e in encoded]
+
     def _made(self, chunks: set[str]) -> Iterator[tuple[str, bytes]]:
         """Letters and the marks after them are encoded apart, as the tokenizer's
         pattern parts them; other chunks are encoded whole."""
         cut = {}
         for c in chunks:
             body = c.rstrip(MARKS)
-            if body.isalpha():
-                cut[c] = (body.lower() if body.isascii() else body, c[len(body) :])
+            if body.isascii() and body.isalpha():
+                cut[c] = (body.lower(), c[len(body) :])
+            elif letters_alone(body):
+                cut[c] = (body, c[len(body) :])
             else:
                 cut[c] = (c, "")
         parts = self.parts
         new = list({x for pair in cut.values() for x in pair}.difference(parts))
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
-            encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            parts.update((x, pack(f"<{len(e.ids)}I", *e.ids)) for x, e in zip(some, encoded, strict=True))
+            parts.update(zip(some, self._encoded(some), strict=True))
         for c, (body, marks) in cut.items():
             yield c, parts[body] + parts[marks]
         for x in new:
@@ -81,6 +96,25 @@ class ChunkIds:
                 del parts[x]
 
 
+def letters_alone(body: str) -> bool:
+    """Whether a word is letters for the tokenizer's pattern too, when it has been composed
+    and every character put in lower case. Characters beyond the first plane, of which
+    versions of Unicode differ, are left to the tokenizer."""
+    return body.isalpha() and max(body) <= "\uffff" and all(c.lower().isalpha() for c in unicodedata.normalize("NFC", body))
+
+
+def settings(made: dict) -> tuple[bool, list[str]]:
+    """Whether texts may be cut at white space, and what a text holds that may hold an added token."""
+    normalizer, first = made.get("normalizer") or {}, made.get("pre_tokenizer") or {}
+    normalizers = normalizer.get("normalizers", [normalizer] if normalizer else [])
+    split, *rest = first.get("pretokenizers", [first])
+    known = split.get("type") == "Split" and split["pattern"] == {"Regex": PATTERN} and split["invert"] and split["behavior"] == "Removed"
+    known = known and all(p.get("type") == "ByteLevel" and not p["add_prefix_space"] and not p["use_regex"] for p in rest)
+    known = known and all(n in NORMALIZERS for n in normalizers)
+    known = known and not any(t["normalized"] or t["lstrip"] or t["rstrip"] for t in made.get("added_tokens", []))
+    return known, sorted({t["content"][:2] for t in made.get("added_tokens", [])})
+
+
 @lru_cache(maxsize=1)
 def chunk_ids(path: str, most: int) -> ChunkIds:
     return ChunkIds(path, most)

@@ -1,5 +1,6 @@
 """Methods against brute force, round trips and held-out accuracy."""
 
+import functools
 import hashlib
 import random
 import struct
@@ -78,6 +79,51 @@ def test_packing_query(spark, texts):
         assert at <= 4096
 
 
+@functools.lru_cache
+def _plain_tokenizer(path):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+ODD = ["GAZİ", "İ", ".", "!", ",", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "é", "\u0301", "\u0307", "ς", "Σ", "ŉ", "ß", "ẞ", "ǅ", "K", "Å", " ", "  ", "\n", "\t", "\x00", "\x1c", "\u00a0",
+       "\u2028", "'s", "'LL", "12", "٣", "ⅷ", "²", "한", "語", "😀", "\u200d", "\U00031350", "\U0001df25", "ʼn", "a", "Bc", "***", "%%%", "_", "\u0345", "ﬁ", "ᾳ", "\u1e9b\u0323"]
+
+
+def test_packing_ids_of_odd_texts():
+    """Capitals with dots, combining marks, added tokens, control characters: 100,000 texts."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids, plain, r = packing.ChunkIds(path, 5_000), Tokenizer.from_file(path), random.Random(7)
+    assert ids.cuttable and ids.heads == ["<|"]
+    for _ in range(10):
+        texts = ["".join(r.choices(ODD, k=r.randint(1, 7))) for _ in range(10_000)]
+        want = [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+        assert list(ids.of(texts)) == want
+    ids.cuttable = False  # as for a tokenizer with other settings
+    assert list(ids.of(texts[:100])) == want[:100]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=20))
+def test_packing_ids_of_any_text(text):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids, plain = packing.chunk_ids(path, 1000), _plain_tokenizer(path)
+    assert next(ids.of([text])) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_packing_settings():
+    import json
+
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        made = json.load(f)
+    assert packing.settings(made)[0]
+    assert not packing.settings(made | {"normalizer": {"type": "Strip"}})[0]
+    assert not packing.settings(made | {"pre_tokenizer": {"type": "Whitespace"}})[0]
+    assert not packing.settings(made | {"added_tokens": [made["added_tokens"][0] | {"normalized": True}]})[0]
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=60))
 def test_best_fit_decreasing(lengths):
