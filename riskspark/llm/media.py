@@ -39,10 +39,17 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         at = m.end()
     width, height, most = [*fields, 1][:3]
     n = width * height * samples
+    if not 0 < most < 1 << 16:
+        raise ValueError("the largest value must have 16 bits")
+    if height * -(-width // 8) > len(data) - at or not (bitmap and not as_text) and n > len(data) - at:
+        raise ValueError("Netpbm data end early")
     if as_text:
         body = re.sub(rb"#[^\n]*", b"", data[at:])
         found = re.findall(rb"[01]" if bitmap else rb"\d+", body)[:n]
-        flat = np.array(list(map(int, found)), "u2")
+        values = list(map(int, found))
+        if max(values, default=0) > most:
+            raise ValueError("a sample is over the largest value")
+        flat = np.array(values, "u2")
     elif bitmap:
         per_row = -(-width // 8)
         rows = np.frombuffer(data, "u1", per_row * height, at + 1).reshape(height, per_row)
@@ -64,6 +71,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if bits not in (8, 24, 32) or packing:
         raise ValueError("only plain BMP of 8, 24 or 32 bits")
     per_row, rows = (width * bits // 8 + 3) // 4 * 4, abs(height)
+    if width <= 0 or at < 14 + head or per_row * rows > len(data) - at:
+        raise ValueError("BMP data end early")
     body = np.frombuffer(data, "u1", per_row * rows, at).reshape(rows, per_row)[:, : width * bits // 8]
     if bits == 8:
         palette = np.frombuffer(data, "u1", (at - 14 - head) // 4 * 4, 14 + head).reshape(-1, 4)
@@ -81,6 +90,18 @@ def decode(data: bytes) -> np.ndarray:
     raise ValueError("neither Netpbm nor BMP")
 
 
+#: What decoding a broken picture may raise.
+BROKEN = (ValueError, KeyError, IndexError, OverflowError)
+
+
+def decoded(data: bytes) -> np.ndarray:
+    """The picture, which has pixels."""
+    image = decode(data)
+    if not image.size:
+        raise ValueError("no pixels")
+    return image
+
+
 def encode_ppm(samples: bytes, width: int) -> bytes:
     """A binary Netpbm colour picture of these 8-bit samples."""
     return b"P6\n%d %d\n255\n" % (width, len(samples) // (3 * width)) + samples
@@ -131,11 +152,9 @@ def media_columns(df: DataFrame, id_col: str, blob_col: str, edge: int = TILE) -
         rows = []
         for data in blobs:
             try:
-                image = decode(bytes(data or b""))
-                if not image.size:
-                    raise ValueError("no pixels")
+                image = decoded(bytes(data or b""))
                 rows.append((*image.shape[1::-1], image.shape[2], npy_tile(image, edge), difference_hash(image), None))
-            except (ValueError, KeyError, IndexError) as e:
+            except BROKEN as e:
                 rows.append((None, None, None, None, None, str(e)))
         return pd.DataFrame(rows, columns=["width", "height", "samples", "tile", "dhash", "error"]).astype(
             {"width": "Int32", "height": "Int32", "samples": "Int32"}
@@ -164,22 +183,33 @@ def stored_pictures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def picture_digests(pictures: DataFrame, id_col: str, n_col: str, blob_col: str) -> DataFrame:
     """What the stored bytes give when read back: payload digests, the stored form's
-    digest, and the difference hash and tile digest as ``feature``."""
+    digest, and the difference hash as ``feature``, with the tile's digest. A null picture
+    has null columns; one that can't be decoded, or has no pixels, has those of the stored
+    form alone."""
 
     @F.pandas_udf(
         "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string"
     )
     def digests(blobs: pd.Series) -> pd.DataFrame:
         rows = []
-        for data in map(bytes, blobs):
-            image = decode(data)
+        for data in blobs:
+            if data is None:
+                rows.append((None,) * 7)
+                continue
+            data = bytes(data)
+            form = (len(data), hashlib.sha256(data).hexdigest())
+            try:
+                image = decoded(data)
+            except BROKEN:
+                rows.append((None, None, None, *form, None, None))
+                continue
             payload = image.tobytes()
             rows.append(
-                (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data))
-                + (hashlib.sha256(data).hexdigest(), difference_hash(image), hashlib.sha256(npy_tile(image)).hexdigest())
+                (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *form)
+                + (difference_hash(image), hashlib.sha256(npy_tile(image)).hexdigest())
             )
         names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_sha256"]
-        return pd.DataFrame(rows, columns=names)
+        return pd.DataFrame(rows, columns=names).astype({"payload_bytes": "Int64", "tail_crc32": "Int64", "media_bytes": "Int64"})
 
     return pictures.select(F.col(id_col), F.col(n_col), digests(F.col(blob_col)).alias("_d")).select(
         id_col, n_col, "_d.*"

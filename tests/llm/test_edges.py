@@ -91,3 +91,21 @@ def test_stage_edges(spark, edgy, stage):
     ids = sorted((r["doc_id"] for r in kept.collect()), key=str)
     assert {"language ID": len(ids) <= 6, "line dedup": {1, 2, 3, 4, 6, 7} <= set(ids), "MinHash near-dedup": ids.count(5) == 1 and 1 in ids and 2 not in ids, "PII": len(ids) == len(ROWS)}[stage[0]]
     assert stage[1](spark, edgy.limit(0), "").count() == 0
+
+
+BROKEN_PICTURES = [
+    None, b"", b"P6", b"P6\n99999999999999999999 1\n255\n", b"P6\n4000000000 4000000000\n255\n", b"P6\n1 1", b"P2\n1 1\n255\n70000", b"P2\n1 1\n70000\n70000", b"P2\n1 1\n0\n0",
+    b"P5\n0 3\n255\n", b"P1\n3 3\n1 0", b"P4\n100000 100000\n1", b"P3\n2 1\n255\n1 2 3 4 5 99999999999999999999999", b"BM", b"BM" + bytes(60), b"BM" + b"\xff" * 60, b"GIF89a",
+    b"BM" + bytes(8) + (54).to_bytes(4, "little") + (40).to_bytes(4, "little") + (1 << 30).to_bytes(4, "little") * 2 + b"\1\0\x18\0" + bytes(24),
+    b"BM" + bytes(8) + (54).to_bytes(4, "little") + (400).to_bytes(4, "little") + (1).to_bytes(4, "little") * 2 + b"\1\0\x08\0" + bytes(24) + bytes(8), b"P6\n" + b"9" * 5000 + b" 1\n255\n",
+]
+
+
+def test_broken_pictures(spark):
+    good = media.encode_ppm(bytes(range(192)), 64)
+    rows = [(k, None if b is None else bytearray(b)) for k, b in enumerate([*BROKEN_PICTURES, good])]
+    df = spark.createDataFrame(rows, "id int, blob binary").withColumn("n", F.lit(1))
+    for r in media.media_columns(df, "id", "blob").collect():
+        assert (r.error is None) == (r.id == len(BROKEN_PICTURES)) == (r.tile is not None)
+    for r in media.picture_digests(df, "id", "n", "blob").collect():
+        assert (r.feature is not None) == (r.payload_bytes is not None) == (r.id == len(BROKEN_PICTURES)) and (r.media_sha256 is None) == (r.id == 0)
