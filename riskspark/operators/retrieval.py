@@ -1,58 +1,18 @@
-"""Text retrieval: n-gram index, BM25 scores, votes of the best documents."""
+"""Votes of the best documents that a text retrieves, and postings of feedback."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.text import ngram_bag
-from riskspark.operators.tables import small
 
-# BM25 parameters, fixed-point scores, postings of a token, documents that vote.
-K1, B, SCALE, MOST_SCORE, MOST_POSTINGS, VOTERS = 1.5, 0.75, 1000, 65_535, 100, 10
+# Fixed value: documents that vote.
+VOTERS = 10
 #: Scores that a token adds for a feedback document, and from which such a document votes phishing.
 FEEDBACK_SCORE, FEEDBACK_VOTE, MOST_FEEDBACK = {"PHISHING": 100, "FALSE_POSITIVE": 10}, 50, 2000
 
 
-def bm25(tf: Column, df: Column, n: Column, length: Column, mean_length: Column) -> Column:
-    """The score of a token in a document."""
-    rarity = F.log((n - df + 0.5) / (df + 0.5) + 1)
-    return rarity * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
-
-
-def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``token, df``: documents that have each token. Only tokens with their partial
-    counts are shuffled."""
-    tokens = docs.select(F.explode(F.array_distinct(ngram_bag(F.col(text)))).alias("token"))
-    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-
-
-def postings(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST_POSTINGS, asked: DataFrame | None = None
-) -> DataFrame:
-    """``token, doc_id, score``: the best ``most`` documents of each token, ties by id.
-    Documents without a token count for nothing. With ``asked`` (a column ``token``),
-    postings of other tokens are not made; the scores stay those of the whole index.
-
-    A document's length is known in its row and its tokens are counted before they are
-    shuffled; document frequencies come from a scan of their own, which shuffles tokens
-    alone, so that no token's documents meet in one task but for the ranking, of which
-    each task sends ``most`` rows a token."""
-    bags = docs.select(F.col(doc_id).alias("doc_id"), ngram_bag(F.col(text)).alias("bag")).where(F.size("bag") > 0)
-    total = bags.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("bag")).alias("mean_length"))
-    tokens = bags.select("doc_id", F.size("bag").alias("length"), F.explode("bag").alias("token"))
-    df = document_frequencies(docs, text)
-    if asked is not None:
-        asked = small(asked.select("token").distinct())
-        tokens, df = tokens.join(asked, "token", "left_semi"), df.join(asked, "token", "left_semi")
-    tf = tokens.groupBy("doc_id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
-    scored = tf.join(df, "token").join(F.broadcast(total))  # one row
-    score = F.floor(F.round(SCALE * bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("mean_length")), 9))
-    scored = scored.select("token", "doc_id", F.least(score, F.lit(MOST_SCORE)).cast("int").alias("score"))
-    w = Window.partitionBy("token").orderBy(F.col("score").desc(), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("rank")
-
-
 def search(queries: DataFrame, index: DataFrame, query_id: str, text: str, k: int = VOTERS) -> DataFrame:
     """``query_id, doc_id, score, rank`` of the best ``k`` documents. A token that a
     query repeats counts as often; ties go to the smaller id."""
@@ -63,11 +23,6 @@ def search(queries: DataFrame, index: DataFrame, query_id: str, text: str, k: in
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def query_tokens(queries: DataFrame, text: str) -> DataFrame:
-    """``token``: each one that any query has."""
-    return queries.select(F.explode(F.array_distinct(ngram_bag(F.col(text)))).alias("token")).distinct()
-
-
 def votes(found: DataFrame, labels: DataFrame) -> DataFrame:
     """``query_id, ratio, n``: the share of label 1 among the documents found."""
     joined = found.join(labels.select("doc_id", "label"), "doc_id")

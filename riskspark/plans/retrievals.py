@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskspark.operators import knn, retrieval
+from riskspark.operators import index, knn, retrieval
 from riskspark.plans.registry import query, table
 from riskspark.plans.texts import SMALL_SQL
+from riskspark.sources.scratch import new_folder, stored
 
 TOKENS_SQL = f"""
 runs AS (SELECT id, unnest({SMALL_SQL}) AS run FROM src),
@@ -27,26 +28,41 @@ top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 
 @query(f"WITH {POSTINGS_SQL} SELECT token, doc_id, score FROM ix")
 def v13_bm25_postings(spark, sf):
-    return retrieval.postings(table(spark, sf, "documents"))
+    made = index.postings(stored(index.blocks(table(spark, sf, "documents"))))
+    return made.select(index.token_text(F.col("token")).alias("token"), "doc_id", "score")
+
+
+def _found(spark, sf, blocks):
+    """The best documents of each benchmark item, from the blocks of all documents."""
+    asked = stored(index.asked_tokens(table(spark, sf, "benchmark"), "item_id", "text"))
+    found, _ = index.search(asked, stored(index.impact_blocks(index.postings(blocks, asked=asked))), retrieval.VOTERS)
+    return found.select("query_id", "doc_id", F.col("score").cast("bigint").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"WITH {SEARCH_SQL} SELECT query_id, doc_id, score, rank FROM top")
 def j7_bm25_search(spark, sf):
-    asked = table(spark, sf, "benchmark")
-    index = retrieval.postings(table(spark, sf, "documents"), asked=retrieval.query_tokens(asked, "text"))
-    found = retrieval.search(asked, index, "item_id", "text")
-    return found.select("query_id", "doc_id", F.col("score").cast("bigint").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return _found(spark, sf, stored(index.blocks(table(spark, sf, "documents"))))
 
 
 @query(f"WITH {SEARCH_SQL} SELECT query_id, round(avg((quality = 1)::INT), 6) AS ratio, count(*) AS n FROM top JOIN labels USING (doc_id) GROUP BY 1")
 def a6_bm25_vote(spark, sf):
-    asked = table(spark, sf, "benchmark")
-    index = retrieval.postings(table(spark, sf, "documents"), asked=retrieval.query_tokens(asked, "text"))
-    found = retrieval.search(asked, index, "item_id", "text")
+    found = _found(spark, sf, stored(index.blocks(table(spark, sf, "documents"))))
     v = retrieval.votes(found, table(spark, sf, "labels").withColumnRenamed("quality", "label"))
     return v.withColumn("ratio", F.round("ratio", 6))
 
 
+@query(f"WITH {SEARCH_SQL} SELECT query_id, doc_id, score, rank FROM top")
+def st10_segmented_search(spark, sf):
+    """The index grows by one segment a language, is compacted after half of them, and is then asked."""
+    docs, grown = table(spark, sf, "documents"), index.Segments(spark, new_folder(spark))
+    languages = [r["lang"] for r in docs.select("lang").distinct().orderBy("lang").collect()]
+    for n, lang in enumerate(languages):
+        grown.inserted(docs.where(F.col("lang").eqNullSafe(F.lit(lang))))
+        if n == len(languages) // 2:
+            grown.compacted().cleaned()
+    return _found(spark, sf, grown.blocks())
+
+
 FEEDBACK_SQL = "SELECT DISTINCT item_id AS id, token, item_id % 2 AS label FROM (SELECT item_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS token FROM benchmark) WHERE length(token) > 5"
 
 
@@ -80,4 +96,5 @@ def j9_knn_vote(spark, sf):
 
 @query(f"WITH src AS (SELECT doc_id AS id, text FROM documents), {TOKENS_SQL} SELECT token, count(DISTINCT id) AS df FROM toks GROUP BY 1")
 def a7_document_frequency(spark, sf):
-    return retrieval.document_frequencies(table(spark, sf, "documents"))
+    _, df = index.statistics(index.blocks(table(spark, sf, "documents")))
+    return df.select(index.token_text(F.col("token")).alias("token"), "df")
