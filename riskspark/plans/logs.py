@@ -103,9 +103,10 @@ def k4_delete_by_key(spark, sf):
     return sinks.without(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), gone, "o_orderkey")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def j2_members(spark, sf):
-    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers with a large order."""
+    orders = table(spark, sf, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     return O.among(table(spark, sf, "customer").select("c_custkey", "c_name"), orders, "c_custkey")
 
 
@@ -180,7 +181,14 @@ def st2_cooldown_and_limiter(spark, sf):
     return folds.replay_cooldown(e, "user_id", "event_type", "ms", "event_id", "cooldown", "limited").select("event_id", "launched")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT user_id, event_type = 'error' AS bad, (value % 1)::FLOAT AS score, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
+f AS (SELECT user_id, 0::BIGINT AS i, 0::FLOAT AS s, 0::FLOAT AS d FROM r GROUP BY 1
+UNION ALL SELECT user_id, i,
+  CASE WHEN NOT bad AND score > 0.1::FLOAT THEN least(greatest(0.9::FLOAT * s + (1::FLOAT - 0.9::FLOAT) * ((score - 0.1::FLOAT) * 0.1::FLOAT), 0::FLOAT), 0.3::FLOAT) ELSE s END,
+  CASE WHEN bad AND score < 0.5::FLOAT THEN least(greatest(0.9::FLOAT * d + (1::FLOAT - 0.9::FLOAT) * ((score - 0.5::FLOAT) * 0.1::FLOAT), -0.2::FLOAT), 0.2::FLOAT) ELSE d END
+FROM (SELECT r.*, CASE WHEN r.i % 10 = 0 THEN f.s * 0.95::FLOAT ELSE f.s END AS s, CASE WHEN r.i % 10 = 0 THEN f.d * 0.95::FLOAT ELSE f.d END AS d FROM f JOIN r ON r.user_id = f.user_id AND r.i = f.i + 1))
+SELECT user_id, max(i) AS n, round(least(greatest(0.1::FLOAT + arg_max(s, i), 0.1::FLOAT), 0.1::FLOAT + 0.3::FLOAT)::DOUBLE, 5) AS suspicious,
+  round(least(greatest(0.5::FLOAT + arg_max(d, i), 0.4::FLOAT), 0.5::FLOAT + 0.2::FLOAT)::DOUBLE, 5) AS dangerous FROM f GROUP BY 1""")
 def st9_thresholds(spark, sf):
     f = table(spark, sf, "events").select(
         "user_id", "event_id", ms("ts").alias("ms"), (F.col("value") % 1).alias("modelScore"),

@@ -1,7 +1,6 @@
 """Operators on small tables: edge cases, brute force, invariants."""
 
 import random
-import time
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -202,26 +201,6 @@ def test_thresholds_match_the_recurrence():
     assert 0.4 <= d < 0.5
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = [(1, "k", 1000 * t, t, 10.0) for t in (0, 3, 6, 12, 13, 30)] + [(2, "k", 0, 9, 10.0)]
-    names = "device long, key string, ms long, tie long, cooldown double"
-    df = spark.createDataFrame(rows, names)
-    df.withColumn("limited", F.lit(True)).createOrReplaceTempView("e")
-    batch = folds.replay_cooldown(spark.table("e"), "device", "key", "ms", "tie", "cooldown", "limited")
-    want = {(x.device, x.tie): x.launched for x in batch.collect()}
-    df.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = folds.stream_cooldown(stream, "device", "key", "ms", "tie", "cooldown").writeStream.format("memory").queryName("launched").outputMode("append")
-    q = q.option("checkpointLocation", str(tmp_path / "cp")).start()
-    for _ in range(120):  # a stream with timeouts never runs out of batches
-        if spark.table("launched").count() >= len(rows):
-            break
-        time.sleep(0.5)
-    q.stop()
-    assert {(x.device, x.tie): x.launched for x in spark.table("launched").collect()} == want
-    assert [want[1, t] for t in (0, 3, 6, 12, 13, 30)] == [True, False, False, True, False, True]
-
-
 def test_stream_counts(spark, tmp_path):
     spark.createDataFrame([("a",), ("a",), ("b",)], "t string").write.json(str(tmp_path / "in"))
     q = folds.counts_by_type(spark.readStream.schema("t string").json(str(tmp_path / "in")), "t")
@@ -230,13 +209,6 @@ def test_stream_counts(spark, tmp_path):
     assert {tuple(x) for x in spark.table("counted").collect()} == {("a", 2), ("b", 1)}
 
 
-def test_consumed_once(spark):
-    p = spark.createDataFrame([("k", "one", 0), ("k", "two", 100)], "key string, payload string, ms long")
-    r = spark.createDataFrame([("k", 50), ("k", 60), ("k", 100_000)], "key string, ms long")
-    got = [tuple(x) for x in folds.consumed_once(p, r, "key", "ms").collect()]
-    assert got == [("k", "one", 0, 50)]
-
-
 def test_pandas_is_not_needed_for_empty_tables(spark):
     e = spark.createDataFrame(pd.DataFrame({"user": pd.Series([], dtype="int64"), "k": pd.Series([], dtype=str), "ms": pd.Series([], dtype="int64"), "tie": pd.Series([], dtype="int64"), "c": pd.Series([], dtype="float64")}), "user long, k string, ms long, tie long, c double")
     assert folds.replay_cooldown(e, "user", "k", "ms", "tie", "c").count() == 0
