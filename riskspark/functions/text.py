@@ -236,6 +236,14 @@ def signature_fits(adds: Column, removes: Column, given: Column) -> Column:
     return F.coalesce(F.lower(given) == signature(adds, removes), F.lit(False))
 
 
+def version_key(v: Column) -> Column:
+    """The numbers of a dotted version, which compare as versions do: parts that are not
+    numbers count as 0, and zeros at the end say nothing."""
+    parts = F.transform(F.split(v, r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(0)))
+    last = F.array_max(F.transform(parts, lambda p, i: F.when(p != 0, i + 1).otherwise(0)))
+    return F.slice(parts, 1, F.greatest(last, F.lit(0)).cast("int"))
+
+
 def version_order(a: Column, b: Column) -> Column:
     """-1, 0 or 1 as dotted version ``a`` is before, equal to or after ``b``; parts
     that are not numbers count as 0, as do missing ones."""

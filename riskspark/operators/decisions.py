@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions import domains as D
 from riskspark.functions import text as X
 from riskspark.operators import editjoin
-from riskspark.operators.tables import flagged, not_among
+from riskspark.operators.tables import flagged, small
 from riskspark.sources.sinks import upserted
 
 # Cut-offs, scores of levels, weights, thresholds.
@@ -144,23 +144,57 @@ def update_accepted(version: str, local: str, adds: int, removes: int) -> bool:
     return a + [0] * (n - len(a)) > b + [0] * (n - len(b)) and adds + removes <= MOST_RULE_CHANGES
 
 
-def updated_rules(rules: DataFrame, diff: DataFrame, now: int) -> DataFrame:
-    """The rules after a signed diff: additions become BLACKLIST unless whitelisted,
-    removals then become WHITELIST; bad names and unsigned diffs change nothing."""
-    good = diff.where(X.signature_fits(F.col("adds"), F.col("removes"), F.col("signature")))
-    name = F.lower(F.trim(F.col("d")))
+def accepted_updates(updates: DataFrame, changes: DataFrame, local: str) -> DataFrame:
+    """The updates (``seq, version, signature, at``) with ``accepted``: they are newer than
+    the local version and every valid one that arrived (``seq``) before, have a bearable number of
+    ``changes`` (``seq, gone, place, domain``), and their signature is right.
+
+    Changes are counted first, so that those of an oversize update are never gathered. The
+    digest is of an update's changes in order, additions first. What orders updates is one
+    row for each of them."""
+    counted = changes.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
+    sized = updates.join(counted, "seq", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    bearable = sized.where(F.col("n") <= MOST_RULE_CHANGES)
+    in_order = F.array_sort(F.collect_list(F.struct("gone", "place", "domain")))
+    lists = changes.join(bearable.select("seq"), "seq", "left_semi").groupBy("seq").agg(in_order.alias("c"))
+    digests = lists.select("seq", F.sha2(F.array_join("c.domain", "\n"), 256).alias("digest"))
+    signed = sized.join(digests, "seq", "left")
+    right = F.lower("signature") == F.coalesce("digest", F.sha2(F.lit(""), 256))
+    signed = signed.withColumn("valid", (F.col("n") <= MOST_RULE_CHANGES) & F.coalesce(right, F.lit(False)))
+    key, earlier = X.version_key(F.col("version")), Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    signed = signed.withColumn("key", key).withColumn("before", F.max(F.when(F.col("valid"), F.col("key"))).over(earlier))
+    newest = F.greatest(F.coalesce("before", F.array(F.lit(0))), X.version_key(F.lit(local)))
+    return signed.withColumn("accepted", F.col("valid") & (F.col("key") > newest)).drop("digest", "key", "before")
+
+
+def chained_rules(rules: DataFrame, updates: DataFrame, changes: DataFrame, local: str) -> DataFrame:
+    """The rules after a chain of signed updates, each applied in the order in which it
+    arrived: additions become BLACKLIST unless whitelisted by then, removals then become
+    WHITELIST; bad names, and updates that :func:`accepted_updates` refuses, change nothing.
+
+    A removed name is whitelisted, which no addition undoes; so a name's last removal
+    counts, else its last addition, and one merged row for each name meets the rules."""
+    taken = accepted_updates(updates, changes, local).where("accepted").select("seq", "at")
+    name = F.lower(F.trim(F.col("domain")))
+    rows = changes.join(small(taken), "seq").select(name.alias("domain"), "gone", "seq", "at").where(D.is_domain_format(F.col("domain")))
+    last = F.max(F.struct("gone", "seq", "at")).alias("last")
+    changed = rows.groupBy("domain").agg(last).select("domain", "last.gone", "last.at")
+    safe = rules.where("category = 'WHITELIST'").select("domain").withColumn("white", F.lit(True)).distinct()
+    changed = changed.join(safe, "domain", "left").where(F.col("gone") | F.col("white").isNull())
+    new = changed.select(
+        "domain", F.when(F.col("gone"), "WHITELIST").otherwise("BLACKLIST").alias("category"), F.lit("remote").alias("source"),
+        F.col("at").cast("bigint").alias("addedAt"), single(1.0).alias("confidence"),
+    )
+    return upserted(rules, new, "domain")
 
-    def listed(column: str, category: str, seq: int) -> DataFrame:
-        d = good.select(F.explode(column).alias("d")).select(name.alias("domain")).where(D.is_domain_format(F.col("domain")))
-        return d.distinct().select(
-            "domain", F.lit(category).alias("category"), F.lit("remote").alias("source"),
-            F.lit(now).cast("bigint").alias("addedAt"), single(1.0).alias("confidence"), F.lit(seq).alias("seq"),
-        )
 
-    adds = not_among(listed("adds", "BLACKLIST", 0), rules.where("category = 'WHITELIST'"), "domain")
-    changes = adds.unionByName(listed("removes", "WHITELIST", 1))
-    old = rules.withColumn("seq", F.lit(-1))
-    return upserted(old, changes, "domain", "seq").drop("seq")
+def updated_rules(rules: DataFrame, diff: DataFrame, now: int, local: str = "0") -> DataFrame:
+    """:func:`chained_rules` of updates with ``adds`` and ``removes`` as arrays (``version`` may
+    be missing if there is one), applied in the order of their versions."""
+    versioned = diff if "version" in diff.columns else diff.withColumn("version", F.lit("1"))
+    rows = versioned.withColumn("seq", F.struct(X.version_key(F.col("version")).alias("v"), F.col("version").alias("text"))).withColumn("at", F.lit(now))
+    of = lambda c, gone: rows.select("seq", F.lit(gone).alias("gone"), F.posexplode(c).alias("place", "domain"))
+    return chained_rules(rules, rows.select("seq", "version", "signature", "at"), of("adds", False).unionByName(of("removes", True)), local)
 
 
 def alert_config(spark) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskspark.sources.scratch import stored
+
 # Limits of the verdicts.
 LEAST_F1, LEAST_MARGIN, MOST_OVERLAP, MOST_FPR, STABLE_GAP = 0.85, 0.3, 0.2, 0.02, 0.03
 OVERFIT_GAP, UNDERFIT_F1 = 0.1, 0.7
@@ -78,19 +80,22 @@ def best_thresholds(swept: DataFrame, recalls: Sequence[float] = (0.85, 0.95), f
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """``auc, n_pos, n_neg`` by average ranks, from counts at each distinct score."""
-    n = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
-    # Two levels: scores are ordered inside slices of equal width, and slices by their sums.
-    ends = df.agg(F.min(score).alias("lo"), F.max(score).alias("hi"))  # one row
-    at = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 4095)).otherwise(0)
-    n = n.join(F.broadcast(ends)).withColumn("slice", at)
-    slices = n.groupBy("slice").agg(F.sum("q").alias("q_slice"))  # 4,096 rows at most
-    before = F.sum("q_slice").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
-    slices = slices.select("slice", F.coalesce(before, F.lit(0)).alias("before"))
-    w = Window.partitionBy("slice").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    n = n.join(F.broadcast(slices), "slice")
-    n = n.withColumn("below", F.col("before") + F.coalesce(F.sum("q").over(w), F.lit(0)))
-    sums = n.agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("u"), F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
+    """``auc, n_pos, n_neg`` by average ranks, from counts at each distinct score.
+
+    Distinct scores are dealt to ranges of about equal numbers of them (Spark samples the
+    borders), however close they lie; the ranges' sums are added up in order, and then each
+    range's own, so that no task ranks more than one range. Null scores are left out."""
+    n = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s"))
+    n = n.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
+    # Borders are sampled anew whenever the plan runs, so the ranges are written down.
+    ranged = stored(n.repartitionByRange("s").withColumn("range", F.spark_partition_id()))
+    ranges = ranged.groupBy("range").agg(F.sum("q").alias("q_range"))  # as many as shuffle partitions
+    before = F.sum("q_range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select("range", F.coalesce(before, F.lit(0)).alias("before"))
+    w = Window.partitionBy("range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranged.join(F.broadcast(ranges), "range")
+    ranked = ranked.withColumn("below", F.col("before") + F.coalesce(F.sum("q").over(w), F.lit(0)))
+    sums = ranked.agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("u"), F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
     return sums.select(F.round(F.col("u") / F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0)), 6).alias("auc"), "n_pos", "n_neg")
 
 

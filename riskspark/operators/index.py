@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskspark.sources.scratch import delete, names
+from riskspark.sources.snapshots import Lists
 
 # BM25 parameters, fixed-point scores, postings of a token.
 K1, B, SCALE, MOST_SCORE, MOST_POSTINGS = 1.5, 0.75, 1000, 65_535, 100
@@ -242,22 +243,13 @@ class Segments:
     would pass it, those with the smallest ids are taken."""
 
     def __init__(self, spark: SparkSession, path: str, most_documents: int | None = None):
-        self.spark, self.path, self.most_documents = spark, path.rstrip("/"), most_documents
-
-    def _version(self) -> int:
-        done = [v for v in names(self.spark, f"{self.path}/lists") if "_SUCCESS" in names(self.spark, f"{self.path}/lists/{v}")]
-        return max((int(v.removeprefix("v")) for v in done), default=0)
+        self.spark, self.path, self.most_documents, self.lists = spark, path.rstrip("/"), most_documents, Lists(spark, path)
 
     def segments(self) -> list[str]:
-        version = self._version()
-        return [r["value"] for r in self.spark.read.text(f"{self.path}/lists/v{version:08}").collect()] if version else []
-
-    def _publish(self, segments: list[str]) -> None:
-        at = f"{self.path}/lists/v{self._version() + 1:08}"
-        self.spark.createDataFrame([(s,) for s in segments], "value string").coalesce(1).write.mode("overwrite").text(at)
+        return self.lists.held()
 
     def _written(self, made: DataFrame) -> str:
-        name = f"s{self._version() + 1:08}"
+        name = f"s{self.lists.version() + 1:08}"
         made = made.repartitionByRange(TOKEN_RANGES, "token").sortWithinPartitions("token", "run")
         made.write.mode("overwrite").parquet(f"{self.path}/segments/{name}")
         return name
@@ -279,25 +271,23 @@ class Segments:
         if self.most_documents is not None:
             room = max(0, self.most_documents - self.n_documents())
             docs = docs.where(F.col(doc_id).isNotNull()).orderBy(doc_id).limit(room)
-        self._publish([*self.segments(), self._written(blocks(docs, doc_id, text))])
+        self.lists.publish([*self.segments(), self._written(blocks(docs, doc_id, text))])
         return self
 
     def compacted(self) -> Segments:
         if len(self.segments()) > 1:
-            self._publish([self._written(self.blocks())])
+            self.lists.publish([self._written(self.blocks())])
         return self
 
     def emptied(self) -> Segments:
-        self._publish([])
+        self.lists.publish([])
         return self
 
     def cleaned(self) -> Segments:
         """Delete segments and lists that are no longer used."""
-        held, version = set(self.segments()), self._version()
+        held = set(self.segments())
         for s in names(self.spark, f"{self.path}/segments"):
             if s not in held:
                 delete(self.spark, f"{self.path}/segments/{s}")
-        for v in names(self.spark, f"{self.path}/lists"):
-            if int(v.removeprefix("v")) < version:
-                delete(self.spark, f"{self.path}/lists/{v}")
+        self.lists.forget_old()
         return self

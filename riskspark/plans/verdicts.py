@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions import text as X
 from riskspark.operators import decisions as C
 from riskspark.plans.registry import query, table
 from riskspark.plans.texts import HITS_SQL, HOST_SQL, WORDS
+from riskspark.sources.scratch import stored
 
 HOSTS_SQL = f"SELECT DISTINCT {HOST_SQL} AS domain FROM pages"
 RULES_SQL = f"SELECT domain, CASE WHEN contains(domain, 'casino') THEN 'BLACKLIST' ELSE 'WHITELIST' END AS category FROM ({HOSTS_SQL}) WHERE contains(domain, 'casino') OR contains(domain, 'blog')"
@@ -42,16 +46,25 @@ def d4_qr_decisions(spark, sf):
     return C.qr_decisions(codes, v).select("page_id", "domain", "decision")
 
 
-@query(f"""WITH r AS ({RULES_SQL}), a AS (SELECT domain FROM ({HOSTS_SQL}) WHERE contains(domain, 'the') AND domain NOT IN (SELECT domain FROM r WHERE category = 'WHITELIST')),
-d AS (SELECT domain FROM r WHERE category = 'BLACKLIST')
-SELECT domain, CASE WHEN domain IN (SELECT domain FROM d) THEN 'WHITELIST' WHEN domain IN (SELECT domain FROM a) THEN 'BLACKLIST' ELSE (SELECT category FROM r WHERE r.domain = x.domain) END AS category
-FROM (SELECT domain FROM r UNION SELECT domain FROM a) x""")
+@query(f"""WITH r AS ({RULES_SQL}), h AS ({HOSTS_SQL}), n AS (SELECT count(*) AS n FROM h WHERE contains(domain, 'the')), m AS (SELECT count(*) AS n FROM r WHERE category = 'BLACKLIST'),
+adds AS (SELECT domain FROM h, n WHERE contains(domain, 'the') AND n.n <= 10000 AND domain NOT IN (SELECT domain FROM r WHERE category = 'WHITELIST')),
+gone AS (SELECT domain FROM r, m WHERE category = 'BLACKLIST' AND m.n <= 10000)
+SELECT domain, CASE WHEN domain IN (SELECT domain FROM gone) THEN 'WHITELIST' WHEN domain IN (SELECT domain FROM adds) THEN 'BLACKLIST' ELSE (SELECT category FROM r WHERE r.domain = x.domain) END AS category,
+  CASE WHEN domain IN (SELECT domain FROM gone) THEN 5 WHEN domain IN (SELECT domain FROM adds) THEN 2 ELSE 0 END AS "addedAt"
+FROM (SELECT domain FROM r UNION SELECT domain FROM adds) x""")
 def d6_rule_update(spark, sf):
-    old = rules(spark, sf)
-    adds = hosts(spark, sf).where(F.contains("domain", F.lit("the"))).agg(F.array_sort(F.collect_list("domain")).alias("adds"))
-    gone = old.where("category = 'BLACKLIST'").agg(F.array_sort(F.collect_list("domain")).alias("removes"))
-    diff = adds.join(gone).withColumn("signature", F.upper(X.signature(F.col("adds"), F.col("removes"))))
-    return C.updated_rules(old, diff, 1).select("domain", "category")
+    """Five updates arrive: one that is not newer, additions, an older one, a forged one, removals."""
+    old, h = rules(spark, sf), hosts(spark, sf)
+    black, the = old.where("category = 'BLACKLIST'").select("domain"), F.contains("domain", F.lit("the"))
+    parts = {1: (h.where(~the), False), 2: (h.where(the), False), 3: (h, True), 4: (h.where(~the), False), 5: (black, True)}
+    rows = [d.select(F.lit(seq).alias("seq"), F.lit(gone).alias("gone"), F.lit(0).alias("place"), "domain") for seq, (d, gone) in parts.items()]
+    changes = stored(reduce(DataFrame.unionByName, rows))
+    versions = spark.createDataFrame([(1, "1.0", 1), (2, "1.2", 2), (3, "1.1.9", 3), (4, "1.4", 4), (5, "1.10", 5)], "seq int, version string, at long")
+    # Their signatures are right, but for the forged one and what is too large to be signed.
+    counted = changes.groupBy("seq").agg(F.count(F.lit(1)).alias("n")).where("n <= 10000 AND seq <> 4")
+    made = changes.join(counted, "seq", "left_semi").groupBy("seq").agg(F.array_sort(F.collect_list("domain")).alias("d"))
+    updates = versions.join(made.select("seq", F.upper(F.sha2(F.array_join("d", "\n"), 256)).alias("signature")), "seq", "left")
+    return C.chained_rules(old, updates, changes, "1.0").select("domain", "category", "addedAt")
 
 
 @query(f"""SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN (CASE WHEN (doc_id % 97 / 97.0)::FLOAT < 0.3::FLOAT THEN 'SAFE' WHEN (doc_id % 97 / 97.0)::FLOAT < 0.59::FLOAT THEN 'SUSPICIOUS' ELSE 'DANGEROUS' END)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from riskspark import schemas
+from riskspark.sources.endpoints import rule_updates
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -95,69 +95,10 @@ def union_all(frames: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
-def index_postings(spark: SparkSession, path: str) -> DataFrame:
-    """``token, doc_id, score, label`` of zlib-compressed index files: little-endian
-    counts of documents and tokens, a label byte for each document, and for each token
-    its length, bytes, number of postings, and (document, score) pairs."""
-    import pandas as pd
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import struct
-        import zlib
-
-        for batch in batches:
-            for content in batch["content"]:
-                data = zlib.decompress(bytes(content))
-                docs, tokens = struct.unpack_from("<II", data)
-                labels, at = data[8 : 8 + docs], 8 + docs
-                for _ in range(tokens):
-                    n = struct.unpack_from("<H", data, at)[0]
-                    token = data[at + 2 : at + 2 + n].decode()
-                    count = struct.unpack_from("<I", data, at + 2 + n)[0]
-                    at += 6 + n
-                    pairs = list(struct.iter_unpack("<IH", data[at : at + 6 * count]))
-                    at += 6 * count
-                    yield pd.DataFrame([(token, d, s, labels[d]) for d, s in pairs], columns=["token", "doc_id", "score", "label"])
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(decode, "token string, doc_id long, score int, label int")
-
-
-class JsonEndpoint(DataSource):
-    """``spark.read.format("json_endpoint")``: the JSON document at ``url`` (or at each
-    of several, separated by spaces), a partition for each; columns ``url, body``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "json_endpoint"
-
-    def schema(self) -> str:
-        return "url string, body string"
-
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _EndpointReader(self.options["url"].split(), float(self.options.get("timeout", "10")))
-
-
-class _EndpointReader(DataSourceReader):
-    def __init__(self, urls: list[str], timeout: float):
-        self.urls, self.timeout = urls, timeout
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(u) for u in self.urls]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple[str, str]]:
-        from urllib.request import urlopen
-
-        with urlopen(partition.value, timeout=self.timeout) as answer:
-            yield partition.value, answer.read().decode()
-
-
 def rules_diff(spark: SparkSession, path_or_url: str) -> DataFrame:
     """A rule update (adds, removes, signature), from a landed file or an endpoint."""
     if path_or_url.startswith(("http://", "https://")):
-        spark.dataSource.register(JsonEndpoint)
-        body = spark.read.format("json_endpoint").option("url", path_or_url).load()
-        return body.select(F.from_json("body", schemas.RULES_DIFF).alias("d")).select("d.*")
+        return rule_updates(spark, path_or_url).select("adds", "removes", "signature")
     return spark.read.schema(schemas.RULES_DIFF).option("multiLine", True).json(path_or_url)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,14 +12,25 @@ def append(df: DataFrame, path: str, partition_by: str | None = None) -> None:
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str, seq: str | None = None) -> DataFrame:
-    """The rows of both, one for each key: the newest of the new ones (by ``seq``), else
-    the old one. Keys are compared as they are; null keys are one key."""
-    order = F.col(seq).desc_nulls_last() if seq else F.lit(0)
-    a = old.withColumn("_age", F.lit(1))
-    b = new.withColumn("_age", F.lit(0))
-    w = Window.partitionBy(key).orderBy(F.col("_age"), order)
-    both = b.unionByName(a, allowMissingColumns=True).withColumn("_n", F.row_number().over(w))
-    return both.where("_n = 1").drop("_n", "_age")
+    """The rows of both, one for each key: the newest of the new ones (by ``seq``; the
+    greatest row of equal ones, or without it), else the old one. Keys are compared as they
+    are; null keys are one key. New rows are merged before they are shuffled, and meet old
+    ones in one join; columns that only the old ones have are null in new rows."""
+    columns = [c for c in dict.fromkeys([*new.columns, *old.columns]) if c != key]
+    row = F.struct(*[F.col(c) for c in new.columns if c != key])
+    newest_row = F.max_by(row, F.struct(F.col(seq), row)) if seq else F.max(row)
+    b = new.groupBy(F.col(key).alias("_key")).agg(newest_row.alias("_new"), F.lit(True).alias("_is_new"))
+    a = old.select(F.col(key).alias("_old_key"), F.struct(*[F.col(c) for c in old.columns if c != key]).alias("_old"))
+    both = a.join(b, F.col("_old_key").eqNullSafe(F.col("_key")), "full")
+    of_new = F.coalesce("_is_new", F.lit(False))
+
+    def value(c: str) -> Column:
+        first = F.col(f"_new.{c}") if c in new.columns else F.lit(None)
+        return F.when(of_new, first).otherwise(F.col(f"_old.{c}") if c in old.columns else F.lit(None)).alias(c)
+
+    order = [key, *columns] if key not in old.columns[1:] else [*old.columns, *[c for c in columns if c not in old.columns]]
+    picked = both.select(F.when(of_new, F.col("_key")).otherwise(F.col("_old_key")).alias(key), *map(value, columns))
+    return picked.select(order)
 
 
 def without(old: DataFrame, gone: DataFrame, key: str) -> DataFrame:
@@ -50,12 +61,6 @@ def write_split(df: DataFrame, parts: dict[str, Column], path: str) -> None:
         df.unpersist()
 
 
-def write_postings(postings: DataFrame, path: str, token: str = "token", partitions: int = 200) -> None:
-    """Postings in token order, so that a reader's token filter skips row groups."""
-    ordered = postings.repartitionByRange(partitions, token).sortWithinPartitions(token)
-    ordered.write.mode("overwrite").parquet(path)
-
-
 def write_text(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 

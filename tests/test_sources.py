@@ -1,8 +1,6 @@
 """Readers and writers on small files."""
 
 import json
-import struct
-import zlib
 
 from riskspark.sources import readers, sinks
 
@@ -29,14 +27,6 @@ def test_json_files(spark, tmp_path):
     assert readers.first_existing(spark, [str(tmp_path / "v2"), str(tmp_path / "k.json")]) == str(tmp_path / "k.json")
 
 
-def test_index_file(spark, tmp_path):
-    body = struct.pack("<II", 2, 1) + bytes([0, 1]) + struct.pack("<H", 2) + b"ab" + struct.pack("<I", 2)
-    body += struct.pack("<IH", 0, 7) + struct.pack("<IH", 1, 9)
-    (tmp_path / "index.bin").write_bytes(zlib.compress(body))
-    got = {tuple(x) for x in readers.index_postings(spark, str(tmp_path / "index.bin")).collect()}
-    assert got == {("ab", 0, 7, 0), ("ab", 1, 9, 1)}
-
-
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([('say "hi",\nthere', 1), (None, 0)], "text string, label int")
     sinks.write_csv(df, str(tmp_path / "c"), quote_all=True)
