@@ -146,8 +146,8 @@ def with_url_variants(df: DataFrame, url: str, label: str, known_good: DataFrame
     return df.unionByName(longer).unionByName(bare).unionByName(good, allowMissingColumns=True)
 
 
-def from_templates(spark: SparkSession, templates: Sequence[str], fields: dict[str, Sequence[str]], n: int, seed: str = "") -> DataFrame:
-    """``id, text``: ``n`` rows of templates with ``{field}`` filled by stable picks."""
+def from_templates(ids: DataFrame, templates: Sequence[str], fields: dict[str, Sequence[str]], seed: str = "") -> DataFrame:
+    """``id, text``: for each ``id`` a template with ``{field}`` filled by stable picks."""
     def pick(values: Sequence[str], salt: str) -> Column:
         k = F.conv(F.substring(deal(F.col("id"), seed + salt), 1, 8), 16, 10).cast("bigint") % len(values)
         return F.get(F.array(*map(F.lit, values)), k.cast("int"))
@@ -155,7 +155,7 @@ def from_templates(spark: SparkSession, templates: Sequence[str], fields: dict[s
     text = pick(templates, "template")
     for name, values in fields.items():
         text = F.replace(text, F.lit("{" + name + "}"), pick(values, name))
-    return spark.range(n).select("id", text.alias("text"))
+    return ids.select("id", text.alias("text"))
 
 
 # Placeholders, and what the plain ones stand for.

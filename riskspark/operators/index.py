@@ -126,6 +126,21 @@ def blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return rows.mapInArrow(make, BLOCK)
 
 
+def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n, n_distinct`` of the tokens of each document that has any."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [token_numbers(t) if t else np.zeros(0, "i8") for t in batch.column(1).to_pylist()]
+            n, distinct = [len(f) for f in found], [len(np.unique(f)) for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(distinct, pa.int64())], names=["doc_id", "n", "n_distinct"])
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.col(text)).alias("text"))
+    counted = rows.mapInArrow(count, f"doc_id {kind}, n long, n_distinct long").where("n > 0")
+    return counted.withColumnRenamed("doc_id", doc_id)
+
+
 def asked_tokens(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     """``query_id, token, times``: the tokens of each query."""
     kind = queries.schema[query_id].dataType.simpleString()

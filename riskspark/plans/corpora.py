@@ -34,9 +34,19 @@ def a12_length_stats(spark, sf):
     return s.withColumn("mean_len", F.round("mean_len", 6))
 
 
-@query("SELECT CASE WHEN length(trim(text)) < 5 THEN 'too_short' ELSE 'kept' END AS reason, count(*) AS n FROM (" + LABELLED_SQL + ") GROUP BY 1")
+#: What is added to texts of a language, and why such a text goes if it is labelled legitimate.
+FRAUDS = {"de": ("百家乐 群", "gambling"), "fr": ("代开票 电话", "fake_doc"), "es": ("外围 微信abc12345", "escort")}
+
+
+@query("SELECT CASE WHEN length(trim(text)) < 5 THEN 'too_short' WHEN label = 1 THEN 'kept' " + " ".join(f"WHEN lang = '{k}' THEN '{r}'" for k, (_, r) in FRAUDS.items())
+       + " ELSE 'kept' END AS reason, count(*) AS n FROM (SELECT text, lang, toxic AS label FROM documents JOIN labels USING (doc_id)) GROUP BY 1")
 def a21_removal_report(spark, sf):
-    return corpus.removal_report(corpus.cleaned(labelled(spark, sf)))
+    """Texts of three languages are made fraud; those labelled so stay."""
+    d = labelled(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    text = F.col("text")
+    for lang, (more, _) in FRAUDS.items():
+        text = F.when((F.col("lang") == lang) & (F.length(F.trim("text")) >= 5), F.concat("text", F.lit(" " + more))).otherwise(text)
+    return corpus.removal_report(corpus.cleaned(d.withColumn("text", text)))
 
 
 @query("SELECT min(doc_id) AS doc_id, md5(text) AS hash, arg_min(source, doc_id) AS source FROM documents GROUP BY text")
@@ -129,10 +139,10 @@ PICK_SQL = "(('0x' || md5({} || ':{}')[1:8])::BIGINT % 2)"
 PICKS_SQL = ", ".join(f"{PICK_SQL.format('i::VARCHAR', k)} AS {k}" for k in ("template", "bank", "code", "name"))
 
 
-@query(f"""WITH p AS (SELECT i::BIGINT AS id, {PICKS_SQL} FROM range(100) t(i))
+@query(f"""WITH p AS (SELECT i::BIGINT AS id, {PICKS_SQL} FROM (SELECT doc_id AS i FROM documents))
 SELECT id, CASE template WHEN 0 THEN ['A', 'B'][bank + 1] || ': your code is ' || ['1', '2'][code + 1] ELSE 'Hi ' || ['X', 'Y'][name + 1] END AS text FROM p""")
 def x29_templates(spark, sf):
-    return corpus.from_templates(spark, ["{bank}: your code is {code}", "Hi {name}"], {"bank": ["A", "B"], "code": ["1", "2"], "name": ["X", "Y"]}, 100)
+    return corpus.from_templates(table(spark, sf, "documents").select(F.col("doc_id").alias("id")), ["{bank}: your code is {code}", "Hi {name}"], {"bank": ["A", "B"], "code": ["1", "2"], "name": ["X", "Y"]})
 
 
 @query("""WITH p AS (SELECT url, (page_id % 2)::INT AS label, ('0x' || md5(url || ':variant')[1:8])::BIGINT % 100 AS k FROM pages)

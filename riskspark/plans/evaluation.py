@@ -74,9 +74,17 @@ def a25_stability(spark, sf):
     return evaluate.stability(*two(spark, sf))
 
 
-@query(TWO_SQL + "SELECT 'f1,margin,fpr' AS violated FROM a")
+APART_SQL = SCORED_SQL.replace("((doc_id * 37 + toxic * 400) % 1000)", "((doc_id * 37) % 500 + toxic * 500)")
+
+
+@query(f"""WITH s AS ({APART_SQL}), w AS ({SWEEP_SQL.replace(SCORED_SQL, 'SELECT * FROM s')}),
+h AS (SELECT round(avg(score) FILTER (label = 1) - avg(score) FILTER (label = 0), 6) AS margin, round(count(*) FILTER ((label = 1) <> (score >= 0.7)) / count(*), 6) AS overlap FROM s)
+SELECT threshold, array_to_string(list_filter([CASE WHEN f1 < 0.85 THEN 'f1' END, CASE WHEN margin < 0.3 THEN 'margin' END, CASE WHEN threshold > 0.9 THEN 'overfit' END, CASE WHEN overlap > 0.2 THEN 'overlap' END,
+  CASE WHEN fpr > 0.02 THEN 'fpr' END], lambda x: x IS NOT NULL), ',') AS violated FROM w, h""")
 def a26_violated(spark, sf):
-    m = evaluate.confusion(scored(spark, sf), "score", "label", 0.3).select(
-        "f1", "fpr", F.lit(0.1).alias("margin"), F.lit(0.5).alias("overlap"), F.lit(False).alias("overfit")
-    )
-    return evaluate.violated(m, True).select(F.array_join("violated", ",").alias("violated"))
+    """What every threshold breaks; the highest one counts as overfit."""
+    score = ((F.col("doc_id") * 37) % 500 + F.col("toxic") * 500) / F.lit(1000.0)
+    s = table(spark, sf, "labels").select(F.col("toxic").alias("label"), score.alias("score"))
+    health = evaluate.health(s, "score", "label", 0.7).select("margin", "overlap")  # one row
+    m = evaluate.sweep(s, "score", "label", GRID).withColumn("overfit", F.col("threshold") > 0.9).join(F.broadcast(health))
+    return evaluate.violated(m, False).select("threshold", F.array_join("violated", ",").alias("violated"))

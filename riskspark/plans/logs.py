@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskspark.operators import tables as O
 from riskspark.plans.registry import query, table
 from riskspark.sources import sinks
+from riskspark.sources.snapshots import scratch_table
 from riskspark.streaming import folds
 
 #: Event types in the place of alert types.
@@ -28,6 +30,20 @@ def alerts(spark, sf):
     )
 
 
+#: Alerts with the page they were about: some have its host, some its URL, some neither.
+VISITS_SQL = f"""SELECT a.*, CASE WHEN type IN ('VISITED', 'PHISHING_PAGE') THEN regexp_extract(url, '^https?://([^/?#]*)', 1) END AS domain, CASE WHEN type <> 'SMS_PHISHING' THEN url END AS url
+FROM ({ALERTS_SQL}) a JOIN (SELECT row_number() OVER (ORDER BY page_id) - 1 AS page, url FROM pages) ON page = id % (SELECT count(*) FROM pages)"""
+MASK_SQL = "array_to_string(list_transform(string_split({}, '.'), lambda x: CASE WHEN length(x) <= 2 THEN '***' ELSE x[1:2] || '***' END), '.')"
+
+
+def visits(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    pages = pages.withColumn("page", (F.row_number().over(Window.orderBy("page_id")) - 1).cast("long")).drop("page_id")
+    a = alerts(spark, sf).withColumn("page", F.col("id") % F.lit(pages.count())).join(pages, "page").drop("page")
+    domain = F.when(F.col("type").isin("VISITED", "PHISHING_PAGE"), F.try_parse_url("url", F.lit("HOST")))
+    return a.withColumn("domain", domain).withColumn("url", F.when(F.col("type") != "SMS_PHISHING", F.col("url")))
+
+
 @query(f"SELECT id, timestamp, type FROM ({ALERTS_SQL}) WHERE type = 'VISITED'")
 def f1_alerts_of_type(spark, sf):
     return O.equal_to(alerts(spark, sf), "type", "VISITED").select("id", "timestamp", "type")
@@ -43,9 +59,10 @@ def f3_alerts_since(spark, sf):
     return O.since(alerts(spark, sf), "timestamp", START).select("id", "timestamp", "type")
 
 
-@query("SELECT c_custkey, EXISTS(SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS has_orders FROM customer")
+@query("SELECT c_custkey, EXISTS(SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) AS has_orders FROM customer")
 def f4_exists_flag(spark, sf):
-    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Whether a customer has a large order."""
+    orders = table(spark, sf, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     return O.flagged(table(spark, sf, "customer").select("c_custkey"), orders, "c_custkey", "has_orders")
 
 
@@ -78,10 +95,9 @@ def w2_latest_by_user(spark, sf):
     return O.latest(alerts(spark, sf).select("user_id", "id", "timestamp", "type"), "user_id", "timestamp", "id")
 
 
-@query(f"SELECT id, type, '' AS subject, strftime(make_timestamp(timestamp * 1000), '%H:%M') AS at FROM ({ALERTS_SQL}) ORDER BY timestamp DESC, id DESC LIMIT 20")
+@query(f"SELECT id, type, coalesce(domain, url, '') AS subject, strftime(make_timestamp(timestamp * 1000), '%H:%M') AS at FROM ({VISITS_SQL}) ORDER BY timestamp DESC, id DESC LIMIT 20")
 def d11_recent_feed(spark, sf):
-    a = alerts(spark, sf).select("id", "timestamp", "type", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("url"))
-    return O.recent_feed(a)
+    return O.recent_feed(visits(spark, sf).select("id", "timestamp", "type", "domain", "url"))
 
 
 @query(f"SELECT id, timestamp FROM ({ALERTS_SQL}) ORDER BY timestamp DESC, id DESC LIMIT 1000")
@@ -197,10 +213,10 @@ def st9_thresholds(spark, sf):
     return folds.calibrate(f, "user_id", "ms", "event_id").withColumn("suspicious", F.round("suspicious", 5)).withColumn("dangerous", F.round("dangerous", 5))
 
 
-@query(f"SELECT timestamp::VARCHAR || ',' || type || ',' || '' || ',' || '' AS value FROM ({ALERTS_SQL}) ORDER BY timestamp, id LIMIT 1000")
+@query(f"""SELECT timestamp::VARCHAR || ',' || type || ',' || coalesce({MASK_SQL.format('domain')}, '') || ',' || coalesce(regexp_extract(url, '^(https?://)', 1) || {MASK_SQL.format("regexp_extract(url, '^https?://([^/?#]*)', 1)")} || '/***', '') AS value
+FROM ({VISITS_SQL}) ORDER BY timestamp, id LIMIT 1000""")
 def k11_masked_log(spark, sf):
-    a = alerts(spark, sf).withColumns({"domain": F.lit(None).cast("string"), "url": F.lit(None).cast("string")})
-    return sinks.masked_log(a)
+    return sinks.masked_log(visits(spark, sf))
 
 
 @query("SELECT user_id, rank, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 10")
@@ -209,8 +225,20 @@ def w4_top_of_each(spark, sf):
     return O.ranked(e, "user_id", [F.col("value").desc(), F.col("event_id")], 10).select("user_id", F.col("rank").cast("bigint").alias("rank"), "event_id")
 
 
-@query("SELECT c_name, true AS maybe FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_name, true AS maybe FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def b9_bloom_members(spark, sf):
-    c = table(spark, sf, "customer")
-    held = c.join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    """All customers are asked; those without a large order are strangers."""
+    c, large = table(spark, sf, "customer"), table(spark, sf, "orders").where("o_totalprice > 300000")
+    held = c.join(large.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
     return O.confirmed_members(c, held, "c_name")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'LARGE' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_totalprice > 300000 THEN 'yes' END AS reviewed FROM orders
+UNION ALL SELECT -1 - n_nationkey, n_name, NULL FROM nation""")
+def k3_update_by_id(spark, sf):
+    """Columns of some orders change in their files; rows with new keys are added."""
+    orders = table(spark, sf, "orders")
+    held = scratch_table(spark, orders.select("o_orderkey", "o_orderstatus").repartitionByRange(8, "o_orderkey"), "o_orderkey")
+    large = orders.where("o_totalprice > 300000").select("o_orderkey", F.lit("LARGE").alias("o_orderstatus"), F.lit("yes").alias("reviewed"))
+    nations = table(spark, sf, "nation").select((-1 - F.col("n_nationkey")).cast("long").alias("o_orderkey"), F.col("n_name").alias("o_orderstatus"))
+    return held.merged(large, insert=False).merged(nations).rows().select("o_orderkey", "o_orderstatus", "reviewed")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskspark.functions.text import ngram_bag
 from riskspark.operators import index, knn, retrieval
 from riskspark.plans.registry import query, table
 from riskspark.plans.texts import SMALL_SQL
@@ -63,19 +64,16 @@ def st10_segmented_search(spark, sf):
     return _found(spark, sf, grown.blocks())
 
 
-FEEDBACK_SQL = "SELECT DISTINCT item_id AS id, token, item_id % 2 AS label FROM (SELECT item_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS token FROM benchmark) WHERE length(token) > 5"
-
-
-@query(f"""WITH f AS ({FEEDBACK_SQL}), src AS (SELECT item_id AS id, text FROM benchmark), {TOKENS_SQL},
-s AS (SELECT t.id AS query_id, f.id, f.label, count(*) AS shared FROM (SELECT DISTINCT id, token FROM toks) t JOIN (SELECT id, label, token[1:3] AS token FROM f GROUP BY ALL) f USING (token) GROUP BY ALL),
+@query(f"""WITH src AS (SELECT item_id AS id, text FROM benchmark), {TOKENS_SQL}, t AS (SELECT DISTINCT id, token FROM toks),
+s AS (SELECT q.id AS query_id, f.id, f.id % 2 AS label, count(*) AS shared FROM t q JOIN t f USING (token) GROUP BY ALL),
 top AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, id) <= 10)
 SELECT query_id, round(avg(label), 6) AS ratio, count(*) AS n FROM top GROUP BY 1""")
 def j8_overlap_vote(spark, sf):
+    """All benchmark items are feedback, with the n-grams of their whole texts."""
     b = table(spark, sf, "benchmark")
-    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 5)
     f = b.select(
         F.col("item_id").alias("id"), F.when(F.col("item_id") % 2 == 1, "PHISHING").otherwise("FALSE_POSITIVE").alias("label"),
-        F.array_join(F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, 3))), " ").alias("tokens"),
+        F.array_join(F.array_distinct(ngram_bag(F.col("text"))), " ").alias("tokens"),
     ).where("tokens <> ''")
     v = retrieval.overlap_vote(b, f, "item_id", "text")
     return v.withColumn("ratio", F.round("ratio", 6))

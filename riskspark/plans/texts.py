@@ -8,7 +8,7 @@ from riskspark.functions import domains as D
 from riskspark.functions import features as V
 from riskspark.functions import text as X
 from riskspark.functions import tokenizers
-from riskspark.operators import editjoin
+from riskspark.operators import editjoin, index
 from riskspark.plans.registry import query, table
 
 #: Latin words in the place of the Chinese lists, as the data's texts are Latin.
@@ -93,25 +93,25 @@ def j4_edit_join(spark, sf):
     return editjoin.edit_join(n, n, "p_name", "p_name", 3)
 
 
-@query(f"WITH n AS ({NAMES_SQL}), p AS (SELECT a.name AS query, b.name AS word, levenshtein(a.name, b.name)::INT AS distance FROM n a, n b WHERE b.name LIKE '%e%' AND levenshtein(a.name, b.name) <= 3) "
+@query(f"WITH n AS ({NAMES_SQL}), q AS (SELECT DISTINCT replace(name, 'e', 'oo') AS query FROM n), p AS (SELECT query, name AS word, levenshtein(query, name)::INT AS distance FROM q, n WHERE levenshtein(query, name) <= 3) "
        "SELECT query, arg_min(word, (distance, word)) AS word, min(distance) AS distance FROM p GROUP BY 1")
 def j6_closest(spark, sf):
+    """The name that is nearest to each misspelt one."""
     n = table(spark, sf, "part").select("p_name")
-    return editjoin.closest(n, n.where(F.contains("p_name", F.lit("e"))), "p_name", "p_name", 3)
+    return editjoin.closest(n.select(F.replace("p_name", F.lit("e"), F.lit("oo")).alias("q")), n, "q", "p_name", 3)
 
 
-@query(f"WITH n AS ({NAMES_SQL}) SELECT a.name AS query FROM n a WHERE EXISTS (SELECT 1 FROM n b WHERE b.name LIKE '%w%' AND levenshtein(a.name, b.name) <= 2)")
+@query(f"WITH n AS ({NAMES_SQL}), q AS (SELECT DISTINCT replace(name, 'l', 'rr') AS query FROM n) SELECT query FROM q WHERE EXISTS (SELECT 1 FROM n WHERE levenshtein(query, name) <= 2)")
 def j5_has_near(spark, sf):
     n = table(spark, sf, "part").select("p_name")
-    return editjoin.has_near(n, n.where(F.contains("p_name", F.lit("w"))), "p_name", "p_name", 2)
+    return editjoin.has_near(n.select(F.replace("p_name", F.lit("l"), F.lit("rr")).alias("q")), n, "q", "p_name", 2)
 
 
 @query(f"""WITH r AS (SELECT doc_id, unnest({SMALL_SQL}) AS run FROM documents),
 g AS (SELECT doc_id, CASE WHEN length(run) <= 2 THEN [run] ELSE list_concat(list_transform(range(1, length(run)), lambda i: run[i:i+1]), list_transform(range(1, length(run) - 1), lambda i: run[i:i+2])) END AS grams FROM r)
 SELECT doc_id, sum(len(grams))::BIGINT AS n, count(DISTINCT t)::BIGINT AS n_distinct FROM (SELECT doc_id, grams, unnest(grams) AS t FROM g) GROUP BY doc_id""".replace("sum(len(grams))::BIGINT AS n", "count(*) AS n"))
 def v1_ngram_counts(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", X.ngram_bag(F.col("text")).alias("t"))
-    return d.where(F.size("t") > 0).select("doc_id", F.size("t").cast("bigint").alias("n"), F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"))
+    return index.token_counts(table(spark, sf, "documents"))
 
 
 @query("""WITH c AS (SELECT page_id, unnest(string_split(url, '')) AS ch FROM pages), k AS (SELECT page_id, ch, count(*) AS n FROM c GROUP BY ALL), t AS (SELECT page_id, sum(n) AS all_n FROM k GROUP BY 1)
@@ -217,15 +217,33 @@ def x27_versions(spark, sf):
     return table(spark, sf, "nation").select("n_name", X.version_order(v, F.lit("1.12")).alias("version_order"))
 
 
-@query(r"""SELECT event_id, event_id::INT % 30 AS epoch, 30 AS epochs, (event_id % 100)::DOUBLE AS percent, round((event_id % 97) / 100.0, 2)::DOUBLE AS acc, 0.5::DOUBLE AS val_loss FROM events""")
+@query(r"""SELECT event_id, CASE WHEN event_type <> 'error' THEN user_id::DOUBLE END AS epoch, CASE WHEN event_type IN ('click', 'view') THEN 1000::DOUBLE END AS epochs,
+CASE WHEN event_type = 'view' THEN value::DECIMAL(18, 2)::DOUBLE END AS percent, CASE WHEN event_type IN ('click', 'signup') THEN value::DECIMAL(18, 2)::DOUBLE END AS acc,
+CASE WHEN event_type IN ('click', 'purchase') THEN (value::DECIMAL(18, 2) + 0.25)::DOUBLE END AS loss, CASE WHEN event_type = 'signup' THEN (value::DECIMAL(18, 2) + 0.75)::DOUBLE END AS val_acc,
+CASE WHEN event_type IN ('view', 'purchase') THEN value::DECIMAL(18, 2)::DOUBLE END AS val_loss FROM events""")
 def x34_log_fields(spark, sf):
-    n = F.col("event_id")
-    line = F.format_string("Epoch %d/30 [%d%%] acc=%.2f val_loss: 0.50", n % 30, n % 100, n % 97 / 100.0)
-    f = table(spark, sf, "events").select("event_id", X.log_fields(line).alias("f"))
-    return f.select("event_id", "f.epoch", "f.epochs", "f.percent", "f.acc", "f.val_loss")
-
-
-@query(r"""SELECT page_id, round(CASE WHEN page_id % 2 = 0 THEN greatest(0.3::FLOAT, 0.4::FLOAT) ELSE 0.3::FLOAT END, 4)::DOUBLE AS score FROM pages""")
+    """Lines as several trainers write them, with an event's figures; one kind tells nothing."""
+    e = table(spark, sf, "events")
+    n, v = F.col("user_id").cast("string"), F.col("value").cast("decimal(18,2)").cast("string")
+    more, most = (F.expr(f"CAST(CAST(value AS DECIMAL(18, 2)) + {k}BD AS STRING)") for k in (0.25, 0.75))
+    lines = {
+        "click": F.concat(F.lit("epoch "), n, F.lit("/1000 - acc: "), v, F.lit(" - loss: "), more),
+        "view": F.concat(F.lit("[train] EPOCH  "), n, F.lit(" / 1000 "), v, F.lit("% done, val_loss="), v),
+        "signup": F.concat(F.lit("Epoch "), n, F.lit(" accuracy = "), v, F.lit("; val_accuracy = "), most),
+        "purchase": F.concat(F.lit("Epoch "), n, F.lit(": loss="), more, F.lit(" val_loss="), v),
+    }
+    line = F.lit("loading data, 12 files, accurate")
+    for kind, text in lines.items():
+        line = F.when(F.col("event_type") == kind, text).otherwise(line)
+    f = e.select("event_id", X.log_fields(line).alias("f"))
+    f = f.select("event_id", "f.*")
+    return f.withColumns({c: F.col(c).cast("double") for c in ("epoch", "epochs")})
+
+
+@query(r"""SELECT page_id, round(CASE WHEN page_id % 2 = 0 THEN greatest(s, (u * 0.5::FLOAT)::FLOAT) ELSE s END, 4)::DOUBLE AS score
+FROM (SELECT page_id, ((length(html) % 97) / 97.0::DOUBLE)::FLOAT AS s, ((length(url) % 11) / 11.0::DOUBLE)::FLOAT AS u FROM pages)""")
 def v15_sms_score(spark, sf):
-    body = F.when(F.col("page_id") % 2 == 0, F.lit("see https://www.example.com")).otherwise(F.concat(F.lit("see "), "url"))
-    return table(spark, sf, "pages").select("page_id", F.round(X.sms_model_score(F.lit(0.3), F.lit(0.8), body).cast("double"), 4).alias("score"))
+    """Every other message has a bare domain, the others a whole URL; both scores differ by page."""
+    body = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("see https://"), F.regexp_extract(X.host(F.col("url")), r"([^.]+\.[^.]+)$", 1))).otherwise(F.concat(F.lit("see "), "url"))
+    sms, url = F.length("html") % 97 / F.lit(97.0), F.length("url") % 11 / F.lit(11.0)
+    return table(spark, sf, "pages").select("page_id", F.round(X.sms_model_score(sms, url, body).cast("double"), 4).alias("score"))

@@ -1,6 +1,7 @@
 """Every registered query gives the rows of its SQL."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from riskspark.plans import registry
@@ -19,7 +20,9 @@ def duck():
 
 def rows(df, columns):
     def plain(v):
-        return None if v is None or v != v else round(v, 5) if isinstance(v, float) else v
+        if v is None or v is pd.NA or v != v:
+            return None
+        return round(v, 5) if isinstance(v, float) else v
 
     return sorted(repr(tuple(map(plain, r))) for r in df[columns].astype(object).itertuples(index=False, name=None))
 
