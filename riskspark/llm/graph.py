@@ -12,10 +12,16 @@ from riskspark.llm.common import checkpointed, dropped, stored
 #: Rounds of pivots at most, pivots of a bucket in all rounds but the first and last, and
 #: how many partners the members of buckets have, on average, where no more rounds are needed.
 ROUNDS, PIVOTS, FEW = 2, 32, 100
+#: Pairs of a bucket that are compared at most before it is split, and how often that is done.
+HOT_PAIRS, DEEPEST = 250_000, 8
 #: Links whose ends (two short keys each) are broadcast at most; more are joined by a shuffle.
 BROADCAST_LINKS = 200_000
 
 
+#: Of ``bucket, node`` of buckets to split: ``bucket, node, lead`` of smaller ones, and how to split these.
+Split = Callable[[DataFrame], "tuple[DataFrame, Split]"]
+
+
 def components(links: DataFrame, left: str, right: str) -> DataFrame:
     """``node, component`` of every key that has a link; a component is named by its
     least key. Each step points every node's larger neighbours, and then its smaller
@@ -56,6 +62,8 @@ def bucket_links(
     marks: DataFrame,
     may_link: Callable[[Column, Column], Column],
     verified: Callable[[DataFrame], DataFrame],
+    split: Split | None = None,
+    depth: int = 0,
 ) -> DataFrame:
     """Links that connect all nodes that any links inside the buckets connect.
 
@@ -72,7 +80,9 @@ def bucket_links(
     unsettled node meets those nodes of the bucket that are in other components than its
     own and that may link. So a pair of a bucket is left unverified only where it cannot
     link, or where both ends are connected already, and a large group of links is not
-    paired out.
+    paired out. With ``split``, buckets with more than ``HOT_PAIRS`` such pairs are not
+    paired out either: ``split`` of their ``bucket, node`` gives members of smaller buckets,
+    in one of which every link of a hot one lies again, and the way to split those.
     """
     # Of buckets with the same members one is enough.
     digest = F.xxhash64("node", "lead")
@@ -107,8 +117,15 @@ def bucket_links(
             chance = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(1 << 20)) * F.col("n") < PIVOTS << 20
             r = rest.join(left.select("bucket", "n"), "bucket").where(chance)
         once = (F.col("r.settled") | (F.col("u.node") < F.col("r.node"))) if last else F.lit(True)
+        hot = left.where(F.col("n").cast("double") * F.col("k") > HOT_PAIRS).select("bucket")
+        if last and split is not None and depth < DEEPEST and not hot.isEmpty():
+            hot = stored(hot)
+            inside, deeper = split(stored(rest.join(hot, "bucket", "left_semi").select("bucket", "node")))
+            links = links.unionByName(bucket_links(inside, marks, may_link, verified, deeper, depth + 1).select(links.columns))
+            u, r = (side.join(hot, "bucket", "left_anti") for side in (u, r))
         links = links.unionByName(_links_between(u.alias("u"), r.alias("r"), once, may_link, verified, links.columns))
         if last:
+            dropped(hot)
             break
     dropped(pivots, members)
     return links

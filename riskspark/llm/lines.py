@@ -10,7 +10,7 @@ distance.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -39,6 +39,8 @@ BATCH_TEXTS = 1024
 BROADCAST_IDS = 200_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+
+
 def edits_allowed(length: int, by_words: bool) -> int:
     classes = WORD_EDITS if by_words else CHARACTER_EDITS
     return max((t for least, t in classes.items() if least <= length), default=0)
@@ -100,9 +102,9 @@ def characters_and_words(lines: list[str]) -> tuple[Units, Units]:
     return characters, Units(characters.hashes(start, end - start), n)
 
 
-def segment_keys(units: Units, classes: dict[int, int], indexed: np.ndarray, probing: np.ndarray, kind: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Line number, key, and whether the key is of an indexed segment, for the lines
-    marked as ``indexed`` and the probes of those marked as ``probing``.
+def segment_keys(units: Units, classes: dict[int, int], indexed: np.ndarray, probing: np.ndarray, kind: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]:
+    """Line number, key, whether the key is of an indexed segment, its place and its size,
+    for the lines marked as ``indexed`` and the probes of those marked as ``probing``.
 
     In a class of lines that have ``least`` units or more, ``t + 1`` segments of equal
     length begin at the line's start. Of a pair within ``t`` edits, the shorter line has
@@ -130,7 +132,7 @@ def segment_keys(units: Units, classes: dict[int, int], indexed: np.ndarray, pro
                 line = line[units.length[line] >= at + size]
                 if len(line):
                     key = mixed(units.hashes(units.start[line] + at, size) ^ tag)
-                    yield line, key, leads[line] & (shift == 0)
+                    yield line, key, leads[line] & (shift == 0), at, size
 
 
 def line_id(line: str) -> int:
@@ -139,19 +141,22 @@ def line_id(line: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _key_frame(ids: dict[str, int]) -> pd.DataFrame:
-    """Keys of distinct lines. The parities are of the units that the key is made of."""
-    characters, words = characters_and_words(list(ids))
-    ids, out = np.fromiter(ids.values(), "i8", len(ids)), []
+def _kinds(characters: Units, words: Units) -> tuple[tuple[Units, dict[int, int], np.ndarray, np.ndarray], ...]:
+    """Units and classes by characters and by words, and the lines that are indexed and that probe there."""
     long = words.length >= LONG_WORDS
     # A long line also meets short ones that an edit or two would make long.
     nearly = words.length < LONG_WORDS + 2 * max(CHARACTER_EDITS.values())
-    for kind, (units, classes, indexed, probing) in enumerate(
-        ((characters, CHARACTER_EDITS, ~long, nearly), (words, WORD_EDITS, long, long))
-    ):
+    return (characters, CHARACTER_EDITS, ~long, nearly), (words, WORD_EDITS, long, long)
+
+
+def _key_frame(ids: dict[str, int]) -> pd.DataFrame:
+    """Keys of distinct lines. The parities are of the units that the key is made of."""
+    kinds = _kinds(*characters_and_words(list(ids)))
+    ids, out = np.fromiter(ids.values(), "i8", len(ids)), []
+    for kind, (units, classes, indexed, probing) in enumerate(kinds):
         odd = units.parities(indexed | probing)
         most = np.array([0, *(classes[c] for c in sorted(classes))])[np.searchsorted(sorted(classes), units.length, "right")]
-        for line, key, lead in segment_keys(units, classes, indexed, probing, kind):
+        for line, key, lead, _, _ in segment_keys(units, classes, indexed, probing, kind):
             out.append((key.view("i8"), ids[line], lead, odd[line, 0], odd[line, 1], units.length[line], most[line], np.full(len(line), kind)))
     columns = ["bucket", "node", "lead", "p0", "p1", "size", "most", "kind"]
     if not out:
@@ -159,6 +164,97 @@ def _key_frame(ids: dict[str, int]) -> pd.DataFrame:
     return pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
 
+#: Stands where a segment was cut out: what is left of it and what is right of it stay apart.
+CUT = "\uffff"
+#: What is left of a line in a hot bucket: its units (words are joined by ``\x1f``), and by how much the line is longer.
+REST = "bucket long, node long, rest string, by_words boolean, longer int"
+
+
+def _units(rest: str, by_words: bool) -> Sequence:
+    return rest.split("\x1f") if by_words else rest
+
+
+def rests(pairs: pd.DataFrame) -> Iterator[tuple]:
+    """Of lines (``bucket, node, content``), what is left beside the segment of the bucket."""
+    contents = list(dict.fromkeys(pairs["content"]))
+    number = {c: k for k, c in enumerate(contents)}
+    asked: dict[tuple[int, int], list[int]] = {}
+    for b, node, c in zip(pairs["bucket"].tolist(), pairs["node"].tolist(), pairs["content"], strict=True):
+        asked.setdefault((number[c], b), []).append(node)
+    buckets = np.unique(pairs["bucket"].to_numpy("i8"))
+    for kind, (units, classes, indexed, probing) in enumerate(_kinds(*characters_and_words(contents))):
+        for line, key, _, at, size in segment_keys(units, classes, indexed, probing, kind):
+            key = key.view("i8")
+            some = np.flatnonzero(np.isin(key, buckets))
+            for k, b in zip(line[some].tolist(), key[some].tolist(), strict=True):
+                for node in asked.get((k, b), ()):
+                    u = contents[k].split() if kind else contents[k]
+                    rest = "\x1f".join([*u[:at], CUT, *u[at + size :]]) if kind else u[:at] + CUT + u[at + size :]
+                    yield b, node, rest, bool(kind), size - 1
+
+
+def inner_keys(bucket: int, rest: str, by_words: bool, longer: int) -> Iterator[tuple[int, bool, int, int]]:
+    """Key, whether it is of an indexed segment, place and size, of what is left of a line.
+
+    Two near lines of a bucket are near in what is left, too. The shorter one's rest is cut
+    into one segment more than it may have edits, all of it, and the longer one's probes
+    for that length; the bounds of shifts are those of :func:`segment_keys`."""
+    u = _units(rest, by_words)
+    n = len(u)
+    for length in range(max(1, n - max(CHARACTER_EDITS.values() if not by_words else WORD_EDITS.values())), n + 1):
+        t = edits_allowed(length + longer, by_words)
+        if n - length > t or not t:
+            continue
+        for k in range(t + 1):
+            begin, end = length * k // (t + 1), length * (k + 1) // (t + 1)
+            more = n - length
+            for shift in range(max(-k, more - (t - k)), min(k, more + (t - k)) + 1):
+                at = begin + shift
+                if at < 0 or at + end - begin > n:
+                    continue
+                part = u[at : at + end - begin]
+                text = f"{bucket}|{length}|{k}|" + ("\x1f".join(part) if by_words else part)
+                h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+                yield h - (1 << 64) if h >> 63 else h, length == n and not shift, at, end - begin
+
+
+def _splitter(held: DataFrame) -> Callable:
+    """How to split buckets whose lines' rests are ``held``."""
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(key, row.node, lead) for row in batch.itertuples(index=False) for key, lead, _, _ in inner_keys(row.bucket, row.rest, row.by_words, row.longer)]
+            yield pd.DataFrame(out, columns=["bucket", "node", "lead"]).astype({"bucket": "i8", "node": "i8", "lead": bool})
+
+    def members() -> DataFrame:
+        rows = held.mapInPandas(keys, "bucket long, node long, lead boolean")
+        rows = rows.groupBy("bucket", "node").agg(F.max("lead").alias("lead"))
+        # Keys of one line, or that nothing is indexed by, meet nothing.
+        known = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("lead").alias("any")).where("n > 1 and any").select("bucket")
+        return stored(rows.join(known, "bucket", "left_semi"))
+
+    def split(hot: DataFrame) -> tuple[DataFrame, Callable]:
+        buckets = hot.select("bucket").distinct()
+        buckets = F.broadcast(buckets) if buckets.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else buckets
+
+        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for row in batch.itertuples(index=False):
+                    u = _units(row.rest, row.by_words)
+                    for key, _, at, size in inner_keys(row.bucket, row.rest, row.by_words, row.longer):
+                        rest = "\x1f".join([*u[:at], CUT, *u[at + size :]]) if row.by_words else u[:at] + CUT + u[at + size :]
+                        out.append((key, row.node, rest, row.by_words, row.longer + size - 1))
+                yield pd.DataFrame(out, columns=["bucket", "node", "rest", "by_words", "longer"])
+
+        inner = stored(held.mapInPandas(cut, REST).join(buckets, "bucket", "left_semi").distinct())
+        deeper = _splitter(inner)
+        return deeper.members(), deeper
+
+    split.members = members
+    return split
+
+
 def within_edits(a: Sequence, b: Sequence, most: int) -> bool:
     """Whether the edit distance is at most ``most`` (31 or less): Hyyrö's bit-parallel
     column, of which only the ``2 * most + 1`` bits around the diagonal are kept."""
@@ -278,7 +374,19 @@ def near_lines(texts: DataFrame) -> DataFrame:
         a, b = (content.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}"), F.col("content").alias(f"text_{c}")) for c in "ab")
         return pairs.join(a, "a").join(b, "b").where(alike("text_a", "text_b")).drop("text_a", "text_b")
 
-    links = bucket_links(rows.select("bucket", "node", "lead"), marks, may_be_near, verified)
+    def split(hot: DataFrame) -> tuple[DataFrame, Callable]:
+        """Lines that share a hot segment meet again by segments of what is left of them."""
+
+        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame(list(rests(batch)), columns=["bucket", "node", "rest", "by_words", "longer"])
+
+        lines = hot.join(content.groupBy("node").agg(F.collect_set("content").alias("c")), "node")
+        lines = lines.select("bucket", "node", F.explode("c").alias("content"))
+        inner = _splitter(stored(lines.mapInPandas(cut, REST).distinct()))
+        return inner.members(), inner
+
+    links = bucket_links(rows.select("bucket", "node", "lead"), marks, may_be_near, verified, split)
     dropped(rows, content)
     return links.select("line_a", "line_b")
 
