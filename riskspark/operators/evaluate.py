@@ -111,6 +111,17 @@ def health(df: DataFrame, score: str, label: str, cut: float = 0.5) -> DataFrame
     return row.select(*[F.round(c, 6).alias(c) for c in row.columns], F.round(F.col("pos_mean") - F.col("neg_mean"), 6).alias("margin"))
 
 
+# Widths of a score range up to which it is narrow, and from which it is good.
+NARROW, GOOD = 0.1, 0.5
+
+
+def score_bands(df: DataFrame, score: str, by: str) -> DataFrame:
+    """``by, least, most, width, band`` of the scores of each model: one that hardly varies tells nothing apart."""
+    r = df.groupBy(by).agg(F.min(score).alias("least"), F.max(score).alias("most"))
+    r = r.withColumn("width", F.round(F.col("most") - F.col("least"), 9))
+    return r.withColumn("band", F.when(F.col("width") < NARROW, "NARROW").when(F.col("width") > GOOD, "GOOD").otherwise("MODERATE"))
+
+
 def fit_verdict(train: DataFrame, held: DataFrame) -> DataFrame:
     """``verdict, gap`` of two metric rows."""
     gap = F.col("t.f1") - F.col("h.f1")

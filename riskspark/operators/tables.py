@@ -105,14 +105,31 @@ def whitelisted_texts(texts: DataFrame, feedback: DataFrame, text: str = "text")
     return hashed.join(first, "textHash", "left")
 
 
-def screen_share_risk(events: DataFrame, banks: Sequence[str], sharing: Sequence[str], by: str, app: str, time: str) -> DataFrame:
+def screen_share_risk(events: DataFrame, banks: Sequence[str] | DataFrame, sharing: Sequence[str] | DataFrame, by: str, app: str, time: str) -> DataFrame:
     """In windows of five seconds that start every three: whether the last app is a
-    bank's while a screen-sharing app ran."""
+    bank's while a screen-sharing app ran. Apps are told by lists, or by tables of one
+    column, which are joined (and broadcast if they are small)."""
     w = F.window(time, "5 seconds", "3 seconds")
-    seen = events.groupBy(by, w.alias("w")).agg(
-        F.max_by(app, F.col(time)).alias("front"), F.bool_or(F.col(app).isin(list(sharing))).alias("shared")
-    )
-    return seen.select(by, F.col("w.start").alias("start"), "front", (F.col("front").isin(list(banks)) & F.col("shared")).alias("risk"))
+
+    def member(apps: Sequence[str] | DataFrame, df: DataFrame, name: str) -> DataFrame:
+        if not isinstance(apps, DataFrame):
+            return df.withColumn(name, F.col(app).isin(list(apps)))
+        held = small(apps.select(F.col(apps.columns[0]).alias("_app")).dropna().distinct().withColumn("_held", F.lit(True)))
+        joined = df.join(held, F.col(app) == F.col("_app"), "left")
+        return joined.withColumn(name, F.coalesce("_held", F.lit(False))).drop("_app", "_held")
+
+    marked = member(sharing, member(banks, events, "_bank"), "_sharing")
+    last = F.max_by(F.struct(F.col(app).alias("app"), F.col("_bank").alias("bank")), F.col(time)).alias("front")
+    seen = marked.groupBy(by, w.alias("w")).agg(last, F.bool_or("_sharing").alias("shared"))
+    return seen.select(by, F.col("w.start").alias("start"), F.col("front.app").alias("front"), (F.col("front.bank") & F.col("shared")).alias("risk"))
+
+
+def user_reports(reports: DataFrame, report_id: str, domain: str, description: str, time_ms: Column) -> DataFrame:
+    """Reports that name a domain, as alert rows (``schemas.ALERTS``); blank ones are none."""
+    return reports.where(F.col(domain).rlike(r"\S")).select(
+        F.col(report_id).cast("bigint").alias("id"), time_ms.cast("bigint").alias("timestamp"), F.lit("SUSPICIOUS_DOMAIN").alias("type"),
+        F.col(domain).alias("domain"), F.lit(None).cast("string").alias("url"), F.lit("USER_REPORT").alias("riskLevel"), F.col(description).alias("userAction"),
+    )
 
 
 def ranked(df: DataFrame, by: str, order: Sequence[Column], k: int) -> DataFrame:

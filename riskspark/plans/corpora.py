@@ -165,3 +165,11 @@ def d12_kept_augmentations(spark, sf):
     pairs = corpus.paired(p, p.withColumn("text", F.replace("text", F.lit("e"), F.lit("ee"))), "p_partkey")
     k = corpus.kept_augmentations(pairs, "text", "changed")
     return k.select("p_partkey", F.round("distance", 6).alias("distance"))
+
+
+@query("""WITH d AS (SELECT doc_id, string_split(text, '') AS ch, md5(text || ':x') AS h FROM documents)
+SELECT doc_id, md5(array_to_string(list_transform(range(1, len(ch) + 1), lambda i: CASE WHEN ch[i] NOT IN ('e', 'o') THEN ch[i] WHEN ('0x' || md5(h || ':' || (i - 1))[1:8])::BIGINT % 1000 >= 50 THEN ch[i]
+  WHEN ch[i] = 'o' THEN '0' ELSE ['a', '3'][('0x' || md5(h || ':' || (i - 1))[1:8])::BIGINT // 1000 % 2 + 1] END), '')) AS text FROM d""")
+def x31_typos(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.md5(corpus.with_typos(F.col("text"), {"e": "a3", "o": "0"}, seed="x")).alias("text"))

@@ -88,3 +88,10 @@ def a26_violated(spark, sf):
     health = evaluate.health(s, "score", "label", 0.7).select("margin", "overlap")  # one row
     m = evaluate.sweep(s, "score", "label", GRID).withColumn("overfit", F.col("threshold") > 0.9).join(F.broadcast(health))
     return evaluate.violated(m, False).select("threshold", F.array_join("violated", ",").alias("violated"))
+
+
+@query("""SELECT user_id, least, most, width, CASE WHEN width < 0.1 THEN 'NARROW' WHEN width > 0.5 THEN 'GOOD' ELSE 'MODERATE' END AS band
+FROM (SELECT user_id, min(s) AS least, max(s) AS most, round(max(s) - min(s), 9) AS width FROM (SELECT user_id, value / 100 / (1 + user_id % 7) AS s FROM events WHERE event_type = 'click') GROUP BY 1)""")
+def a20_score_bands(spark, sf):
+    e = table(spark, sf, "events").where("event_type = 'click'").select("user_id", (F.col("value") / 100 / (1 + F.col("user_id") % 7)).alias("s"))
+    return evaluate.score_bands(e, "s", "user_id")

@@ -242,3 +242,34 @@ def k3_update_by_id(spark, sf):
     large = orders.where("o_totalprice > 300000").select("o_orderkey", F.lit("LARGE").alias("o_orderstatus"), F.lit("yes").alias("reviewed"))
     nations = table(spark, sf, "nation").select((-1 - F.col("n_nationkey")).cast("long").alias("o_orderkey"), F.col("n_name").alias("o_orderstatus"))
     return held.merged(large, insert=False).merged(nations).rows().select("o_orderkey", "o_orderstatus", "reviewed")
+
+
+@query("""SELECT page_id AS id, 1700000000000 + page_id AS timestamp, 'SUSPICIOUS_DOMAIN' AS type, domain, 'USER_REPORT' AS "riskLevel", coalesce(url, '') AS "userAction"
+FROM (SELECT page_id, url, CASE WHEN length(html) % 3 = 0 THEN ' ' WHEN length(html) % 3 = 1 THEN regexp_extract(url, '^https?://([^/?#]*)', 1) END AS domain FROM pages) WHERE trim(domain) <> ''""")
+def d10_user_reports(spark, sf):
+    """Pages are reported, some with a blank domain, some without one."""
+    n = F.length("html") % 3
+    p = table(spark, sf, "pages").withColumn("domain", F.when(n == 0, " ").when(n == 1, F.try_parse_url("url", F.lit("HOST"))))
+    r = O.user_reports(p.withColumn("why", F.coalesce("url", F.lit(""))), "page_id", "domain", "why", F.lit(1_700_000_000_000) + F.col("page_id"))
+    return r.select("id", "timestamp", "type", "domain", "riskLevel", "userAction")
+
+
+@query("""WITH RECURSIVE r AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
+f AS (SELECT event_id, user_id, i, ms AS kept, true AS taken FROM r WHERE i = 1
+UNION ALL SELECT r.event_id, r.user_id, r.i, CASE WHEN r.ms - f.kept >= 36000000 THEN r.ms ELSE f.kept END, r.ms - f.kept >= 36000000 FROM f JOIN r ON r.user_id = f.user_id AND r.i = f.i + 1)
+SELECT event_id, taken FROM f""")
+def st11_debounced(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "user_id", ms("ts").alias("ms"))
+    return folds.debounced(e, "user_id", "ms", "event_id", 36_000_000).select("event_id", "taken")
+
+
+@query("""WITH w AS (SELECT user_id, ts, event_type, unnest([s0, s0 - 3000]) AS s FROM (SELECT *, ((epoch_us(ts) // 1000) // 3000) * 3000 AS s0 FROM events)),
+bank AS (SELECT event_type FROM events GROUP BY 1 HAVING avg(value) > (SELECT avg(value) FROM events)), sharing AS (SELECT event_type FROM events GROUP BY 1 HAVING avg(value) <= (SELECT avg(value) FROM events)),
+o AS (SELECT user_id, s, arg_max(event_type, ts) AS front, bool_or(event_type IN (SELECT event_type FROM sharing)) AS shared FROM w WHERE (epoch_us(ts) // 1000) >= s AND (epoch_us(ts) // 1000) < s + 5000 GROUP BY 1, 2)
+SELECT user_id, s AS start_ms, front, front IN (SELECT event_type FROM bank) AND shared AS risk FROM o""")
+def j10_app_membership(spark, sf):
+    """Which apps are a bank's and which share the screen stands in tables."""
+    e = table(spark, sf, "events")
+    kinds = e.groupBy("event_type").agg(F.avg("value").alias("own")).join(F.broadcast(e.agg(F.avg("value").alias("mean"))))
+    r = O.screen_share_risk(e, kinds.where("own > mean").select("event_type"), kinds.where("own <= mean").select("event_type"), "user_id", "event_type", "ts")
+    return r.select("user_id", ms("start").alias("start_ms"), "front", "risk")

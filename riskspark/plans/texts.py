@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions import domains as D
 from riskspark.functions import features as V
+from riskspark.functions import packets
 from riskspark.functions import text as X
 from riskspark.functions import tokenizers
 from riskspark.operators import editjoin, index
@@ -247,3 +248,74 @@ def v15_sms_score(spark, sf):
     body = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("see https://"), F.regexp_extract(X.host(F.col("url")), r"([^.]+\.[^.]+)$", 1))).otherwise(F.concat(F.lit("see "), "url"))
     sms, url = F.length("html") % 97 / F.lit(97.0), F.length("url") % 11 / F.lit(11.0)
     return table(spark, sf, "pages").select("page_id", F.round(X.sms_model_score(sms, url, body).cast("double"), 4).alias("score"))
+
+
+def _hits_sql(words, column="text"):
+    return "len(list_filter([" + ", ".join(f"'{w}'" for w in words) + f"], lambda w: contains({column}, w)))"
+
+
+#: Words that are added to texts, by language.
+ADDED = {"de": "请立即转账到银行账户 😀💰", "fr": "恭喜 中奖 感谢", "es": "账户 冻结 法院 😀😀", "en": "谢谢"}
+ADDED_SQL = "text || CASE lang " + " ".join(f"WHEN '{k}' THEN ' {v}'" for k, v in ADDED.items()) + " ELSE '' END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {ADDED_SQL} AS text FROM documents),
+k AS (SELECT doc_id, text, {_hits_sql(V.FINANCIAL)} AS financial, {_hits_sql(V.URGENCY)} AS urgency, {_hits_sql(V.THREAT)} AS threat, {_hits_sql(V.NEGATIVE)} AS neg, {_hits_sql(V.POSITIVE)} AS pos FROM d)
+SELECT doc_id, financial::INT AS financial, urgency::INT AS urgency, threat::INT AS threat, financial > 0 AS has_financial, urgency > 0 AS has_urgency, threat > 0 AS has_threat,
+length(regexp_replace(text, '[^{V.EMOJI[1:-1]}]', '', 'g'))::INT AS emoji,
+round(length(regexp_replace(text, '[^\\x{{4E00}}-\\x{{9FFF}}]', '', 'g'))::FLOAT / list_sum(list_transform(string_split(text, ''), lambda x: CASE WHEN unicode(x) > 65535 THEN 2 ELSE 1 END))::FLOAT, 5)::DOUBLE AS chinese,
+round(CASE WHEN neg + pos = 0 THEN 0.5 ELSE pos::FLOAT / (neg + pos)::FLOAT END, 5)::DOUBLE AS sentiment FROM k""")
+def v6_keywords(spark, sf):
+    """Texts with words of the lists, by language, and their emoji."""
+    text = F.col("text")
+    for lang, more in ADDED.items():
+        text = F.when(F.col("lang") == lang, F.concat("text", F.lit(" " + more))).otherwise(text)
+    r = {
+        "financial": "financialWordCount", "urgency": "urgencyWordCount", "threat": "threatWordCount", "has_financial": "hasFinancialKeywords",
+        "has_urgency": "hasUrgencyKeywords", "has_threat": "hasThreatKeywords", "emoji": "emojiCount", "chinese": "chineseCharRatio", "sentiment": "sentimentScore",
+    }
+    d = table(spark, sf, "documents").select("doc_id", V.features(text, set(r.values())).alias("f"))
+    d = d.select("doc_id", *[F.col(f"f.{v}").alias(k) for k, v in r.items()])
+    return d.withColumns({c: F.round(F.col(c), 5).cast("double") for c in ("chinese", "sentiment")})
+
+
+#: The names are plain ASCII; that SQL's distance counts bytes, so one unlike byte stands for another letter.
+VARIANTS_SQL = "[" + ", ".join("'" + "".join(c if c.isascii() else "~" for c in v) + "'" for variants in D.HOMOPHONES.values() for v in variants) + "]"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT lower(p_name) AS name FROM part), v AS (SELECT unnest({VARIANTS_SQL}) AS v)
+SELECT name, round(max((floor(((1::FLOAT - (levenshtein(v, name) / greatest(length(v), length(name)))::FLOAT)::FLOAT * 100::FLOAT)::FLOAT)::INT::FLOAT / 100::FLOAT)::FLOAT)::DOUBLE, 5) AS score FROM n, v GROUP BY 1""")
+def x8_homophones(spark, sf):
+    n = table(spark, sf, "part").select(F.lower("p_name").alias("name")).distinct()
+    return n.select("name", F.round(D.homophone_score(F.col("name")).cast("double"), 5).alias("score"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, CASE lang WHEN 'de' THEN text WHEN 'fr' THEN text || chr(8203) WHEN 'es' THEN repeat(text[1:1], 30) ELSE text[1:80] || '语' END AS text FROM documents),
+k AS (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM t WHERE text <> '') GROUP BY ALL), m AS (SELECT doc_id, sum(n) AS all_n FROM k GROUP BY 1),
+h AS (SELECT doc_id, round(-sum(n / all_n * log2(n / all_n)), 9) AS bits FROM k JOIN m USING (doc_id) GROUP BY 1)
+SELECT doc_id, (coalesce(bits, 0) < 1 AND length(text) > 20) OR regexp_matches(text, '[\x{200B}-\x{200F}\x{2028}\x{2029}\x{FE00}-\x{FE0F}\x{FEFF}]')
+  OR (regexp_matches(text, '[\x{4E01}-\x{10FFFF}]') AND length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) / greatest(length(text), 1) > 0.95 AND length(text) > 50) AS suspicious FROM t LEFT JOIN h USING (doc_id)""")
+def x22_suspicious_inputs(spark, sf):
+    """Whole texts, texts with an invisible character, runs of one, and beginnings with one Chinese character."""
+    c = F.col("text")
+    made = F.when(F.col("lang") == "de", c).when(F.col("lang") == "fr", F.concat(c, F.lit("​"))).when(F.col("lang") == "es", F.repeat(F.substring(c, 1, 1), F.lit(30)))
+    made = made.otherwise(F.concat(F.substring(c, 1, 80), F.lit("语")))
+    return table(spark, sf, "documents").select("doc_id", X.is_suspicious_input(made).alias("suspicious"))
+
+
+#: A query packet from 10.0.0.2 to 8.8.8.8: its header after the length, ports, and what is before the name.
+IP_REST, PORTS, BEFORE_NAME = "00000000401100000a00000208080808", "c0000035", "0000123401000001000000000000"
+
+
+@query(r"""WITH h AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS name FROM pages),
+p AS (SELECT page_id, name, '4500' || printf('%04x', 46 + strlen(name)) || '0000000040110000' || '0a00000208080808' AS head FROM h)
+SELECT page_id, name, true AS is_query, (65535 - (s % 65536 + s // 65536))::INT AS checksum FROM (SELECT *, list_sum(list_transform(range(0, 10), lambda i: ('0x' || head[4 * i + 1:4 * i + 4])::BIGINT))::BIGINT AS s FROM p)""")
+def b2_dns_questions(spark, sf):
+    """Packets that ask for every page's host, read again: whether they ask, for what, and their header's checksum."""
+    name = F.try_parse_url("url", F.lit("HOST"))
+    labels = F.array_join(F.transform(F.split(name, r"\."), lambda x: F.concat(F.lpad(F.hex(F.length(x)), 2, "0"), F.hex(F.encode(x, "utf-8")))), "")
+    size = F.lpad(F.hex(F.length(name) + 46), 4, "0")
+    udp = F.lpad(F.hex(F.length(name) + 26), 4, "0")
+    packet = F.unhex(F.concat(F.lit("4500"), size, F.lit(IP_REST), F.lit(PORTS), udp, F.lit(BEFORE_NAME), labels, F.lit("0000010001")))
+    p = table(spark, sf, "pages").select("page_id", packet.alias("p"))
+    return p.select("page_id", packets.extract_domain(F.col("p")).alias("name"), packets.is_dns_query(F.col("p")).alias("is_query"), packets.ip_checksum(F.col("p")).alias("checksum"))

@@ -98,6 +98,17 @@ def replay_cooldown(events: DataFrame, device: str, key: str, time_ms: str, tie:
     return replayed.unionByName(events.where(F.col(time_ms).isNull()).withColumn("launched", F.lit(None).cast("boolean")))
 
 
+#: Milliseconds between two scans, and between two looks at a frame.
+SCAN_MS, FRAME_MS = 1500, 500
+
+
+def debounced(events: DataFrame, device: str, time_ms: str, tie: str, interval_ms: int = SCAN_MS) -> DataFrame:
+    """All columns and ``taken``: whether the event comes ``interval_ms`` or more after the
+    last one of its device that was taken."""
+    rows = events.withColumns({"_key": F.lit("scan"), "_pause": F.lit(interval_ms / 1000)})
+    return replay_cooldown(rows, device, "_key", time_ms, tie, "_pause").withColumnRenamed("launched", "taken").drop("_key", "_pause")
+
+
 def stream_cooldown(events: DataFrame, device: str, key: str, time_ms: str, tie: str, cooldown: str, late: str = "10 minutes") -> DataFrame:
     """The same fold on a stream, with the global limiter for all events: ``device, key,
     time_ms, tie, launched``. Events are folded in order of event time; a device's state goes

@@ -251,3 +251,37 @@ def test_crops_and_variations_are_stable(spark):
     assert 30 <= len(cut[0]) <= 60 and cut[0] in "abcdefghij" * 10 and cut[1:] == ["short", ""]
     got = df.select(corpus.variations(F.col("t"), [("abc", ["X", "Y"])])).first()[0]
     assert got[0] in "XY" and "abc" not in got
+
+
+def test_noise_is_drawn_by_the_text_alone(spark):
+    texts = [(f"some text number {k} with some words in it",) for k in range(200)] + [("",), (None,), ("x",)]
+    df = spark.createDataFrame(texts, "t string")
+    make = lambda d: {r.t: tuple(r)[1:] for r in d.select("t", corpus.with_noise(F.col("t"), 0.3), corpus.with_typos(F.col("t"), {"e": "3", "o": "0q"}, 300), corpus.with_spaces(F.col("t"), 500)).collect()}
+    first, again = make(df), make(df.repartition(5))
+    assert first == again and first[""] == ("", "", "") and first[None] == (None, None, None) and first["x"][1:] == ("x", "x")
+    typed = [(t, x[1]) for t, x in first.items() if t]
+    assert all(len(a) == len(b) and all(x == y or y in {"e": "3", "o": "0q"}.get(x, "") for x, y in zip(a, b, strict=True)) for a, b in typed)
+    changes = sum(x != y for a, b in typed for x, y in zip(a, b, strict=True))
+    letters = sum(a.count("e") + a.count("o") for a, _ in typed)
+    assert 0.2 < changes / letters < 0.4
+    spaced = [(t, x[2]) for t, x in first.items() if t]
+    assert all(a.replace(" ", "") == b.replace(" ", "") and abs(len(a) - len(b)) <= 1 for a, b in spaced)
+    assert {len(b) - len(a) for a, b in spaced} == {-1, 0, 1}
+    assert sum(t != x[0] for t, x in first.items()) > 150
+
+
+def test_reports_without_a_domain_are_none(spark):
+    rows = [(1, "bad.com", "why"), (2, " ", "x"), (3, None, "y"), (4, "", "z"), (5, "worse.com", None)]
+    got = tables.user_reports(spark.createDataFrame(rows, "id int, domain string, why string"), "id", "domain", "why", F.lit(7))
+    assert [(r.id, r.domain, r.riskLevel, r.userAction, r.type, r.timestamp) for r in got.orderBy("id").collect()] == [
+        (1, "bad.com", "USER_REPORT", "why", "SUSPICIOUS_DOMAIN", 7), (5, "worse.com", "USER_REPORT", None, "SUSPICIOUS_DOMAIN", 7),
+    ]
+
+
+def test_app_tables_and_lists_agree(spark):
+    rows = [("u", "bank", "2024-01-01 00:00:01"), ("u", "share", "2024-01-01 00:00:02"), ("u", "bank", "2024-01-01 00:00:03"), ("v", None, "2024-01-01 00:00:03"), ("v", "bank", "2024-01-01 00:00:09")]
+    e = spark.createDataFrame(rows, "who string, app string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    one = lambda apps: spark.createDataFrame([(a,) for a in apps], "name string")
+    by_list = sorted(map(tuple, tables.screen_share_risk(e, ["bank"], ["share"], "who", "app", "at").collect()), key=str)
+    by_table = sorted(map(tuple, tables.screen_share_risk(e, one(["bank", "bank", None]), one(["share"]), "who", "app", "at").collect()), key=str)
+    assert [(a[0], a[1], a[2], bool(a[3])) for a in by_list] == [(b[0], b[1], b[2], bool(b[3])) for b in by_table] and any(b[3] for b in by_table)
