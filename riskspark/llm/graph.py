@@ -12,8 +12,9 @@ from riskspark.llm.common import checkpointed, dropped, stored
 #: Rounds of pivots at most, pivots of a bucket in all rounds but the first and last, and
 #: how many partners the members of buckets have, on average, where no more rounds are needed.
 ROUNDS, PIVOTS, FEW = 2, 32, 100
-#: Pairs of a bucket that are compared at most before it is split, and how often that is done.
-HOT_PAIRS, DEEPEST = 250_000, 8
+#: Pairs of a bucket that are verified, and whose marks are compared, at most (about) before
+#: it is split, and how often that is done.
+HOT_PAIRS, MOST_PAIRS, DEEPEST = 2_000_000, 100_000_000, 8
 #: Links whose ends (two short keys each) are broadcast at most; more are joined by a shuffle.
 BROADCAST_LINKS = 200_000
 
@@ -80,9 +81,10 @@ def bucket_links(
     unsettled node meets those nodes of the bucket that are in other components than its
     own and that may link. So a pair of a bucket is left unverified only where it cannot
     link, or where both ends are connected already, and a large group of links is not
-    paired out. With ``split``, buckets with more than ``HOT_PAIRS`` such pairs are not
-    paired out either: ``split`` of their ``bucket, node`` gives members of smaller buckets,
-    in one of which every link of a hot one lies again, and the way to split those.
+    paired out. With ``split``, buckets of which about ``HOT_PAIRS`` such pairs would have to be
+    verified (or the marks of ``MOST_PAIRS`` compared) are not paired out either: ``split``
+    of their ``bucket, node`` gives members of smaller buckets, in one of which every link of
+    a hot one lies again, and the way to split those.
     """
     # Of buckets with the same members one is enough.
     digest = F.xxhash64("node", "lead")
@@ -109,7 +111,8 @@ def bucket_links(
         members.stored_at = rest.stored_at
         dropped(before)
         left = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("settled")).alias("k"))
-        work, rows = left.agg(F.sum(F.col("n").cast("double") * F.col("k")), F.sum("n")).first()
+        pairs = F.col("n").cast("double") * F.col("k")
+        work, rows, largest = left.agg(F.sum(pairs), F.sum("n"), F.max(pairs)).first()
         if not rows:
             break
         u, r, last = rest.where("not settled"), rest, number == ROUNDS or work <= FEW * rows
@@ -117,20 +120,34 @@ def bucket_links(
             chance = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(1 << 20)) * F.col("n") < PIVOTS << 20
             r = rest.join(left.select("bucket", "n"), "bucket").where(chance)
         once = (F.col("r.settled") | (F.col("u.node") < F.col("r.node"))) if last else F.lit(True)
-        hot = left.where(F.col("n").cast("double") * F.col("k") > HOT_PAIRS).select("bucket")
-        if last and split is not None and depth < DEEPEST and not hot.isEmpty():
-            hot = stored(hot)
-            inside, deeper = split(stored(rest.join(hot, "bucket", "left_semi").select("bucket", "node")))
-            links = links.unionByName(bucket_links(inside, marks, may_link, verified, deeper, depth + 1).select(links.columns))
-            u, r = (side.join(hot, "bucket", "left_anti") for side in (u, r))
+        if last and split is not None and depth < DEEPEST and largest > HOT_PAIRS:
+            hot = stored(_hot_buckets(left.where(pairs > HOT_PAIRS), u, rest, may_link))
+            if not hot.isEmpty():
+                inside, deeper = split(stored(rest.join(hot, "bucket", "left_semi").select("bucket", "node")))
+                links = links.unionByName(bucket_links(inside, marks, may_link, verified, deeper, depth + 1).select(links.columns))
+                u, r = (side.join(hot, "bucket", "left_anti") for side in (u, r))
         links = links.unionByName(_links_between(u.alias("u"), r.alias("r"), once, may_link, verified, links.columns))
         if last:
-            dropped(hot)
             break
     dropped(pivots, members)
     return links
 
 
+def _hot_buckets(left: DataFrame, u: DataFrame, rest: DataFrame, may_link: Callable[[Column, Column], Column]) -> DataFrame:
+    """Of large buckets (``bucket, n, k``) those of which too many pairs may link: as many
+    as of their unsettled nodes and about ``PIVOTS`` others that a hash chooses."""
+    left = left.select("bucket", "n", "k")
+    chance = F.pmod(F.xxhash64("node", F.lit(77)), F.lit(1 << 20)) * F.col("n") < PIVOTS << 20
+    some = rest.join(left, "bucket").where(chance).select("bucket", "node", "mark")
+    asked = some.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
+    pairs = u.alias("u").join(some.alias("r"), (F.col("u.bucket") == F.col("r.bucket")) & (F.col("u.node") != F.col("r.node")) & may_link(F.col("u.mark"), F.col("r.mark")))
+    passed = pairs.groupBy(F.col("u.bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("passed"))
+    known = left.join(asked, "bucket", "left").join(passed, "bucket", "left")
+    all_pairs = F.col("n").cast("double") * F.col("k")
+    share = F.coalesce(F.col("passed") / (F.col("k") * F.col("m")), F.lit(0.0))
+    return known.where((all_pairs > MOST_PAIRS) | (all_pairs * share > HOT_PAIRS)).select("bucket")
+
+
 def _unsettled_buckets(members: DataFrame, pivots: DataFrame, links: DataFrame) -> DataFrame:
     """Members of the buckets that are not all in their pivot's component, with each
     node's ``component`` and whether that is the pivot's (``settled``)."""

@@ -66,7 +66,7 @@ def repetitive(r, n):
 
 
 @pytest.mark.parametrize(("make", "n"), [(posted, 260), (listed, 160), (repetitive, 200)])
-@pytest.mark.parametrize("hot", [40, 4000])
+@pytest.mark.parametrize("hot", [200])
 def test_hot_segments_lose_no_link(spark, tmp_path, monkeypatch, make, n, hot):
     monkeypatch.setattr(graph, "HOT_PAIRS", hot)
     rows = make(random.Random(n + hot), n)
@@ -91,4 +91,4 @@ def test_unlike_lines_are_not_paired_out(spark, tmp_path, monkeypatch):
     rows = [(k, f"This message was posted here by {r.randrange(10**18):018}-{r.randrange(10**18):018}") for k in range(3000)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
     assert lines.dedup_lines(spark.read.parquet(path)).where("n_removed > 0").count() == 0
-    assert largest and max(largest) ** 2 <= graph.HOT_PAIRS
+    assert largest and max(largest) ** 2 <= graph.HOT_PAIRS < len(rows) ** 2
