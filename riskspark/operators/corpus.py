@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from riskspark.functions import text as X
 from riskspark.operators.tables import small
+from riskspark.sources.scratch import dropped, stored
 
 
 #: Hex digits of a hash that tell its slices apart.
 SLICE_DIGITS = 4
-#: Priorities that sources may have.
-MOST_PRIORITIES = 64
+#: Rounds of conflicts after which the plan is cut.
+CUT_ROUNDS = 6
 
 
 def deal(key: Column, seed: str = "") -> Column:
@@ -50,20 +51,27 @@ def resolve_conflicts(df: DataFrame, key: str, seq: str, label: str, priority: s
     number). ``changed`` counts the replacements.
 
     Every replacement improves the priority, so as many rounds as there are priorities
-    find it: each one takes, for every key at once, the first later row that wins. A key
-    with many rows is merged before it is shuffled."""
-    rows = df.select(key, F.col(seq).alias("seq"), F.col(label).alias("label"), F.col(priority).alias("priority"))
+    find it, or fewer: each one takes, for every key at once, the first later row that
+    wins. Rows are narrowed once, a key with many rows is merged before it is shuffled, and
+    the plan is cut after every few rounds."""
+    rows = stored(df.select(key, F.col(seq).alias("seq"), F.col(label).alias("label"), F.col(priority).alias("priority")))
     rounds = rows.agg(F.count_distinct("priority")).first()[0]
-    if rounds > MOST_PRIORITIES:
-        raise ValueError(f"sources have more than {MOST_PRIORITIES} priorities")
     held = rows.groupBy(key).agg(F.min_by(F.struct("seq", "label", "priority"), "seq").alias("h"), F.lit(0).cast("bigint").alias("changed"))
-    for _ in range(rounds - 1):
+    done, before = 0, None
+    for n in range(1, rounds):
         wins = (F.col("seq") > F.col("h.seq")) & (F.col("label") != F.col("h.label")) & (F.col("priority") < F.col("h.priority"))
         later = F.when(wins, F.struct("seq", "label", "priority"))
         following = rows.join(held, key).groupBy(key).agg(
             F.min_by(later, F.when(wins, F.col("seq"))).alias("n"), F.first("h").alias("h"), F.first("changed").alias("changed")
         )
         held = following.select(key, F.coalesce("n", "h").alias("h"), (F.col("changed") + F.col("n").isNotNull().cast("bigint")).alias("changed"))
+        if n % CUT_ROUNDS == 0 and n + 1 < rounds:
+            held = stored(held)
+            last, done = done, held.agg(F.sum("changed")).first()[0] or 0
+            dropped(before)
+            before = held
+            if done == last:  # a few rounds have changed nothing, so no more will
+                break
     return held.select(key, F.col("h.label").alias("label"), F.col("h.seq").alias("seq"), "changed")
 
 
@@ -159,12 +167,12 @@ def from_templates(ids: DataFrame, templates: Sequence[str], fields: dict[str, S
 
 
 # Placeholders, and what the plain ones stand for.
-CITIES = "北京 上海 深圳 广州 杭州 成都 武汉 南京 重庆 西安 长沙 郑州 东莞 苏州 天津 厦门".split()
-BANKS = "工商银行 建设银行 农业银行 招商银行 中国银行 交通银行 浦发银行 平安银行 中信银行".split()
-NAMES = "先生 女士 用户 朋友 会员".split()
+CITIES = ["北京", "上海", "深圳", "广州", "杭州", "成都", "武汉", "南京", "重庆", "西安", "长沙", "郑州", "东莞", "苏州", "天津", "厦门"]
+BANKS = ["工商银行", "建设银行", "农业银行", "招商银行", "中国银行", "交通银行", "浦发银行", "平安银行", "中信银行"]
+NAMES = ["先生", "女士", "用户", "朋友", "会员"]
 PLACEHOLDERS = ("CELLPHONE", "HOTLINE", "WECHAT", "PLACE", "DIGIT", "PHONE", "NAME", "BANK", "URL", "QQ")
 
-#: Words that show a text was left with a placeholder or made from a template.
+# Words that show a text was left with a placeholder or made from a template.
 LEFT_OVER = ("PHONE", "DIGIT", "CELLPHONE", "NAME", "NAMEDIGITCELLPHONE", "URL", "PLACE", "XXX", "TEMPLATE", "RANDOM")
 
 
@@ -273,18 +281,26 @@ def kept_augmentations(pairs: DataFrame, original: str, changed: str, least: flo
     return pairs.withColumn("distance", d).where((d >= least) & (d <= most))
 
 
-def scored(df: DataFrame, scorer, text: str = "text", key: str = "text") -> DataFrame:
+def scored(df: DataFrame, scorer, text: str = "text", refuses: tuple[type[Exception], ...] = (ArithmeticError,)) -> DataFrame:
     """``text, score`` of each distinct text by a pluggable scorer: a function from a
-    list of texts to a list of scores, made once for each task by ``scorer()``. A scorer
-    that fails gives null, which fusion leaves out."""
+    list of texts to a list of scores, made once for each task by ``scorer()``. Texts of a
+    batch that the scorer ``refuses`` are scored one by one, and those that it refuses alone get null,
+    which fusion leaves out; any other fault of the scorer is a fault of the job."""
+
+    def one(model, t: str) -> float | None:
+        try:
+            return float(model([t])[0])
+        except refuses:
+            return None
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = scorer()
         for batch in batches:
+            texts = batch["text"].tolist()
             try:
-                values = [float(v) for v in model(batch["text"].tolist())]
-            except Exception:
-                values = [None] * len(batch)
+                values = [float(v) for v in model(texts)]
+            except refuses:
+                values = [one(model, t) for t in texts]
             yield pd.DataFrame({"text": batch["text"], "score": pd.array(values, "Float64")})
 
     return df.select(F.col(text).alias("text")).distinct().mapInPandas(score, "text string, score double")

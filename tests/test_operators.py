@@ -3,6 +3,7 @@
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from riskspark.operators import corpus, decisions, editjoin, evaluate, retrieval, tables
@@ -285,3 +286,29 @@ def test_app_tables_and_lists_agree(spark):
     by_list = sorted(map(tuple, tables.screen_share_risk(e, ["bank"], ["share"], "who", "app", "at").collect()), key=str)
     by_table = sorted(map(tuple, tables.screen_share_risk(e, one(["bank", "bank", None]), one(["share"]), "who", "app", "at").collect()), key=str)
     assert [(a[0], a[1], a[2], bool(a[3])) for a in by_list] == [(b[0], b[1], b[2], bool(b[3])) for b in by_table] and any(b[3] for b in by_table)
+
+
+def test_conflicts_of_many_priorities(spark):
+    import random
+
+    r = random.Random(11)
+    rows = [(r.randrange(5), k, r.randrange(2), r.randrange(300)) for k in range(900)] + [(9, 1000 + k, k % 2, 300 - k) for k in range(100)]
+    held = {}
+    for key, seq, label, priority in rows:
+        if key not in held:
+            held[key] = (label, seq, priority, 0)
+        elif label != held[key][0] and priority < held[key][2]:
+            held[key] = (label, seq, priority, held[key][3] + 1)
+    got = corpus.resolve_conflicts(spark.createDataFrame(rows, "k int, s int, l int, p int"), "k", "s", "l", "p").collect()
+    assert {x.k: (x.label, x.seq, x.changed) for x in got} == {k: (v[0], v[1], v[3]) for k, v in held.items()} and held[9][3] == 99
+
+
+def test_a_scorer_may_refuse_texts_but_not_fail(spark):
+    df = spark.createDataFrame([("a",), ("bb",), ("",), ("bb",)], "text string")
+
+    def scorer():
+        return lambda texts: [1 / len(t) for t in texts]
+
+    assert {r.text: r.score for r in corpus.scored(df, scorer).collect()} == {"a": 1.0, "bb": 0.5, "": None}
+    with pytest.raises(Exception, match="no such model"):
+        corpus.scored(df, lambda: open("/no such model")).collect()
