@@ -16,8 +16,11 @@ BROADCAST_RULES = 200_000
 PREFIX_HEX = 8
 #: Salts of the shuffled join: a hot expression ("com/") meets its rules in so many tasks.
 SALTS = 32
-#: Distinct path lengths that rules may have (each is one path prefix of a URL).
-MAX_PATH_LENGTHS = 4096
+#: Distinct path lengths and numbers of host labels of rules that the plan lists; of more,
+#: all up to the largest are expanded.
+LISTED = 256
+#: Stands between host and path where both are hashed, as neither has it.
+BETWEEN = "\n"
 
 
 def split_url(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -31,6 +34,14 @@ def split_url(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -
     )
 
 
+def _listed(values: DataFrame) -> tuple[list[int], int]:
+    """The distinct numbers of a column, or none of them if they are many, and the largest."""
+    few = sorted(x[0] for x in values.distinct().limit(LISTED + 1).collect())
+    if len(few) <= LISTED:
+        return few, max(few, default=0)
+    return [], values.agg(F.max(values.columns[0])).first()[0]
+
+
 def filter_urls(
     pages: DataFrame,
     rules: DataFrame,
@@ -61,35 +72,27 @@ def filter_urls(
         .groupBy("_host", "_path")
         .agg(F.max("_verdict").alias("_verdict"))
         .withColumn("_rule", F.concat("_host", "_path"))
-        .withColumn("_digest", F.sha2("_rule", 256))
+        .withColumn("_digest", F.sha2(F.concat("_host", F.lit(BETWEEN), "_path"), 256))
         .withColumn("_prefix", F.substring("_digest", 1, PREFIX_HEX))
     )
-    # A path length is at most that of the longest path, so this list is short.
-    lengths = [
-        x[0] for x in r.select(F.length("_path")).distinct().limit(MAX_PATH_LENGTHS + 1).collect()
-    ]
-    if len(lengths) > MAX_PATH_LENGTHS:
-        raise ValueError(f"rules have more than {MAX_PATH_LENGTHS} distinct path lengths")
-
     u = split_url(pages, id_col, url_col).withColumn("_row", F.monotonically_increasing_id())
     labels = F.split("host", r"\.")
+    # Only suffixes and prefixes as long as those of some rule: a host of very many labels has few.
+    counts, most_labels = _listed(r.select(F.size(F.split("_host", r"\.")).alias("n")))
+    lengths, longest = _listed(r.select(F.length("_path").alias("n")))
+    some = F.array(*map(F.lit, counts)) if counts else F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(most_labels), F.size(labels))))
     hosts = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
-    paths = F.filter(
-        F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(lengths)])
-        if lengths
-        else F.array().cast("array<string>"),
-        lambda p: p.isNotNull(),
+        F.filter(some, lambda n: n <= F.size(labels)), lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".")
     )
+    some = F.array(*map(F.lit, lengths)) if lengths else F.sequence(F.lit(0), F.least(F.lit(longest), F.length("path")))
+    paths = F.transform(F.filter(some, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     e = (
-        u.withColumn("_h", F.explode(hosts))
+        u.withColumn("_h", F.explode_outer(hosts))
         .withColumn("_p", F.explode_outer(paths))
-        .withColumn("_full", F.sha2(F.concat("_h", "_p"), 256))
+        .withColumn("_full", F.sha2(F.concat("_h", F.lit(BETWEEN), "_p"), 256))
         .withColumn("_short", F.substring("_full", 1, PREFIX_HEX))
     )
-    on = (F.col("_short") == F.col("_prefix")) & (F.col("_full") == F.col("_digest"))
+    on = F.col("_short") == F.col("_prefix")
     if r.limit(broadcast_rules + 1).count() <= broadcast_rules:
         joined = e.join(F.broadcast(r), on, "left")
     else:
@@ -98,8 +101,8 @@ def filter_urls(
         salted = r.withColumn("_rule_salt", salt)
         joined = e.join(salted, on & (F.col("_salt") == F.col("_rule_salt")), "left")
     best = F.max(
-        F.when(
-            F.col("_rule").isNotNull(),
+        F.when(  # rules of the same short prefix are confirmed by the whole digest
+            F.col("_full") == F.col("_digest"),
             F.struct(
                 F.length("_rule").alias("n"),
                 F.length("_host").alias("h"),

@@ -83,6 +83,30 @@ def test_url_edges(spark):
     assert {x.verdict for x in urls.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_url_rules_of_every_length(spark, monkeypatch):
+    """More lengths than the plan lists, short prefixes that many rules share, hosts of very many labels."""
+    from riskspark.llm import urls as module
+
+    rows = [(k, f"http://{'a.' * k}b.com/{'x' * k}?q") for k in range(12)] + [(50, "http://" + "a." * 5000 + "b.com/"), (51, "http://a.com/"), (52, "http://"), (53, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    made = [("a." * n + "b.com", "/" + "x" * n, "block") for n in range(9)] + [("a.co", "m/", "block"), ("com", "", "allow")]
+    rules = spark.createDataFrame(made, "host string, path string, verdict string")
+
+    def plain(url):
+        rest = (url or "").partition("://")[2]
+        host, slash, path = rest.partition("/")
+        path = (slash + path).partition("?")[0]
+        fits = [(len(h + p), len(h), v, h + p) for h, p, v in made if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return (max(fits)[3], max(fits)[2]) if fits else (None, "allow")
+
+    want = {k: plain(u) for k, u in rows}
+    for listed, prefix in ((256, 8), (3, 8), (256, 1), (0, 1)):
+        monkeypatch.setattr(module, "LISTED", listed)
+        monkeypatch.setattr(module, "PREFIX_HEX", prefix)
+        for most in (100, 0):
+            assert {r.page_id: (r.rule, r.verdict) for r in module.filter_urls(pages, rules, broadcast_rules=most).collect()} == want
+
+
 @pytest.mark.parametrize("stage", pipeline.STAGES[:4], ids=lambda s: s[0])
 def test_stage_edges(spark, edgy, stage):
     """Nulls, blank texts, repeated rows and clashing names; empty tables."""
