@@ -31,3 +31,7 @@ def same_as_sql(spark, path, name):
 
 def test_every_order_sets_the_flag(spark, shop):
     assert same_as_sql(spark, shop, "f4_exists_flag") == [(1, True), (2, True), (3, False), (4, True), (5, False)]
+
+
+def test_every_order_makes_a_member(spark, shop):
+    assert same_as_sql(spark, shop, "j2_members") == [(1, "large"), (2, "small"), (4, "small")]
