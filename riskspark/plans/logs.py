@@ -225,12 +225,12 @@ def w4_top_of_each(spark, sf):
     return O.ranked(e, "user_id", [F.col("value").desc(), F.col("event_id")], 10).select("user_id", F.col("rank").cast("bigint").alias("rank"), "event_id")
 
 
-@query("SELECT c_name, true AS maybe FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+@query("SELECT c_name, true AS maybe FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def b9_bloom_members(spark, sf):
-    """All customers are asked; those without a large order are strangers."""
-    c, large = table(spark, sf, "customer"), table(spark, sf, "orders").where("o_totalprice > 300000")
-    held = c.join(large.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
-    return O.confirmed_members(c, held, "c_name")
+    """All customers are asked by key; those without an order are strangers. Names may repeat."""
+    c = table(spark, sf, "customer").select("c_name", F.col("c_custkey").cast("string").alias("key"))
+    held = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("key"))
+    return c.join(O.confirmed_members(c, held, "key"), "key").select("c_name", "maybe")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'LARGE' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_totalprice > 300000 THEN 'yes' END AS reviewed FROM orders

@@ -35,3 +35,7 @@ def test_every_order_sets_the_flag(spark, shop):
 
 def test_every_order_makes_a_member(spark, shop):
     assert same_as_sql(spark, shop, "j2_members") == [(1, "large"), (2, "small"), (4, "small")]
+
+
+def test_every_order_is_held_by_the_filter(spark, shop):
+    assert same_as_sql(spark, shop, "b9_bloom_members") == [("large", True), ("small", True), ("small", True)]
