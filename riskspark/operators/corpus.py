@@ -224,10 +224,18 @@ TYPOS = {"的": "地得", "在": "再", "了": "啦", "吗": "嘛吧", "你": "
 TYPO_RATE, SPACE_RATE, DROPPED_SPACES = 50, 30, 300
 
 
-def _drawn(c: Column, seed: str) -> Callable[[Column], Column]:
-    """Whole numbers drawn by the text, the seed and a place in it."""
-    head = F.md5(F.concat(c, F.lit(f":{seed}")))
-    return lambda i: F.conv(F.substring(F.md5(F.concat(head, F.lit(":"), i.cast("string"))), 1, 8), 16, 10).cast("bigint")
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once a row, however often functions inside ``f`` use it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _drawn(c: Column, seed: str, f: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """``f`` of whole numbers drawn by the text, the seed and a place in it. The text is hashed once."""
+
+    def draw(head: Column) -> Callable[[Column], Column]:
+        return lambda i: F.conv(F.substring(F.md5(F.concat(head, F.lit(":"), i.cast("string"))), 1, 8), 16, 10).cast("bigint")
+
+    return _bound(F.md5(F.concat(c, F.lit(f":{seed}"))), lambda head: f(draw(head)))
 
 
 def _characters(c: Column) -> Column:
@@ -237,42 +245,51 @@ def _characters(c: Column) -> Column:
 def with_noise(c: Column, rate: float = 0.05, seed: str = "0") -> Column:
     """Some characters doubled, dropped, or swapped with their neighbour (``rate`` in all),
     by the text, the place and the seed alone."""
-    draw, third = _drawn(c, seed), int(rate * 1_000_000 / 3)
-    chars = _characters(c)
+    third = int(rate * 1_000_000 / 3)
+
+    def noisy(draw: Callable[[Column], Column], chars: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            # Places 0 and 1, 2 and 3, ... are neighbours; the draw of the second decides for both.
+            own, pair = draw(i) % 1_000_000, draw(i + 1 - i % 2) % 1_000_000
+            other = F.get(chars, i + 1 - i % 2 * 2)
+            moved = F.when((pair >= 2 * third) & (pair < 3 * third), F.coalesce(other, x)).otherwise(x)
+            return F.when(own < third, "").when(own < 2 * third, F.concat(x, x)).otherwise(moved)
 
-    def one(x: Column, i: Column) -> Column:
-        # Places 0 and 1, 2 and 3, ... are neighbours; the draw of the second decides for both.
-        own, pair = draw(i) % 1_000_000, draw(i + 1 - i % 2) % 1_000_000
-        other = F.get(chars, i + 1 - i % 2 * 2)
-        moved = F.when((pair >= 2 * third) & (pair < 3 * third), F.coalesce(other, x)).otherwise(x)
-        return F.when(own < third, "").when(own < 2 * third, F.concat(x, x)).otherwise(moved)
+        return F.array_join(F.transform(chars, one), "")
 
-    return F.array_join(F.transform(chars, one), "")
+    return _drawn(c, seed, lambda draw: _bound(_characters(c), lambda chars: noisy(draw, chars)))
 
 
 def with_typos(c: Column, typos: dict[str, str] | None = None, rate: int = TYPO_RATE, seed: str = "") -> Column:
     """Some of the characters that ``typos`` has as one of the characters that it names for them."""
-    typos, draw = typos or TYPOS, _drawn(c, seed)
+    typos = typos or TYPOS
     known = F.create_map(*[F.lit(v) for k, x in typos.items() for v in (k, x)])
 
-    def one(x: Column, i: Column) -> Column:
-        choices = F.try_element_at(known, x)
-        pick = F.substring(choices, (F.floor(draw(i) / 1000) % F.length(choices)).cast("int") + 1, F.lit(1))
-        return F.when(choices.isNotNull(), F.when(draw(i) % 1000 < rate, pick).otherwise(x)).otherwise(x)
+    def typed(draw: Callable[[Column], Column]) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            choices = F.try_element_at(known, x)
+            pick = F.substring(choices, (F.floor(draw(i) / 1000) % F.length(choices)).cast("int") + 1, F.lit(1))
+            return F.when(x.isin(*typos), F.when(draw(i) % 1000 < rate, pick).otherwise(x)).otherwise(x)
+
+        return F.array_join(F.transform(F.split(c, ""), one), "")
 
-    return F.array_join(F.transform(_characters(c), one), "")
+    return _drawn(c, seed, typed)
 
 
 def with_spaces(c: Column, rate: int = SPACE_RATE, seed: str = "") -> Column:
     """Some texts with a space more, and some without the last space that is drawn."""
-    draw, n = _drawn(c, seed + "space"), F.length(c)
-    more, less = draw(F.lit("in")), draw(F.lit("out"))
-    place = (F.lit(1) + F.floor(more / 1000) % F.greatest(n - 1, F.lit(1))).cast("int")
-    longer = F.when((more % 1000 < rate) & (n > 1), F.concat(F.substring(c, F.lit(1), place), F.lit(" "), F.substring(c, place + 1, n))).otherwise(c)
-    spaces = F.transform(_characters(longer), lambda x, i: F.when((x == " ") & (i > 0) & (draw(i) % 1000 < DROPPED_SPACES), i))
-    last = F.array_max(spaces).cast("int")
-    shorter = F.concat(F.substring(longer, F.lit(1), last), F.substring(longer, last + 2, F.length(longer)))
-    return F.when((less % 1000 < rate) & last.isNotNull(), shorter).otherwise(longer)
+    n = F.length(c)
+
+    def spaced(draw: Callable[[Column], Column]) -> Column:
+        more, less = draw(F.lit("in")), draw(F.lit("out"))
+        place = (F.lit(1) + F.floor(more / 1000) % F.greatest(n - 1, F.lit(1))).cast("int")
+        longer = F.when((more % 1000 < rate) & (n > 1), F.concat(F.substring(c, F.lit(1), place), F.lit(" "), F.substring(c, place + 1, n))).otherwise(c)
+        spaces = F.transform(_characters(longer), lambda x, i: F.when((x == " ") & (i > 0) & (draw(i) % 1000 < DROPPED_SPACES), i))
+        last = F.array_max(spaces).cast("int")
+        shorter = F.concat(F.substring(longer, F.lit(1), last), F.substring(longer, last + 2, F.length(longer)))
+        return F.when((less % 1000 < rate) & last.isNotNull(), shorter).otherwise(longer)
+
+    return _drawn(c, seed + "space", spaced)
 
 
 def kept_augmentations(pairs: DataFrame, original: str, changed: str, least: float = 0.1, most: float = 0.7) -> DataFrame:
