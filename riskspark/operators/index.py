@@ -130,10 +130,14 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """``doc_id, n, n_distinct`` of the tokens of each document that has any."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
+    def sizes(text: str | None) -> tuple[int, int]:
+        found = token_numbers(text) if text else ()
+        return len(found), len(np.unique(found))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [token_numbers(t) if t else np.zeros(0, "i8") for t in batch.column(1).to_pylist()]
-            n, distinct = [len(f) for f in found], [len(np.unique(f)) for f in found]
+            # One text's tokens are held at a time, not a batch's.
+            n, distinct = np.array([sizes(t.as_py()) for t in batch.column(1)], "i8").reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(distinct, pa.int64())], names=["doc_id", "n", "n_distinct"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.col(text)).alias("text"))

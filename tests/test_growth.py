@@ -1,11 +1,13 @@
 """What queries spend on long texts and on full batches."""
 
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from riskspark.operators import corpus
+from riskspark.operators import corpus, index
 
 
 @pytest.fixture(scope="module")
@@ -25,3 +27,17 @@ def seconds(spark):
 @pytest.mark.parametrize("changed", [lambda c: corpus.with_typos(c, {"e": "a3"}), corpus.with_noise, corpus.with_spaces])
 def test_long_texts_are_hashed_once(seconds, changed):
     assert seconds("e ", 50_000, changed) < 8
+
+
+def test_a_batch_of_token_counts_holds_one_text_at_a_time(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Abc ab"), (2, None), (3, ""), (4, "x"), (5, "...")], "doc_id long, text string")
+    made, real = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *more: made.append(f) or real(self, f, *more))
+    assert sorted(map(tuple, index.token_counts(docs).collect())) == [(1, 4, 3), (4, 1, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(["abcdefg hij " * 2000] * 200)], names=["doc_id", "text"])
+    index.letters()
+    tracemalloc.start()
+    assert [b.num_rows for b in made[0](iter([batch]))] == [200]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10_000_000
