@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from riskspark.functions import text as X
 from riskspark.operators import corpus, index
 
 
@@ -41,3 +42,8 @@ def test_a_batch_of_token_counts_holds_one_text_at_a_time(spark, monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 10_000_000
+
+
+def test_entropy_of_long_texts(seconds, one):
+    assert seconds("abcdefgh", 1_000_000, X.entropy) < 10
+    assert [one(t, X.entropy) for t in ("", None, "aabb", "ab" * 9 + "😀😀", "é")] == [0.0, None, 1.0, pytest.approx(1.368996, abs=1e-6), 0.0]
