@@ -2,7 +2,7 @@
 
 A block holds the postings of one token in one run of documents, with what bounds their
 scores. Blocks are made where the documents are read: only a block's arrays are shuffled,
-into ranges of tokens. A search adds up the bounds of its tokens in each run of documents,
+dealt by their tokens. A search adds up the bounds of its tokens in each run of documents,
 scores the most promising runs, and then only those whose bound reaches the worst of the
 best scores so far.
 """
@@ -27,8 +27,6 @@ from riskspark.sources.snapshots import Lists
 K1, B, SCALE, MOST_SCORE, MOST_POSTINGS = 1.5, 0.75, 1000, 65_535, 100
 #: Documents of a run, and characters of it after which it ends all the same.
 RUN_DOCUMENTS, RUN_CHARACTERS = 256, 1 << 22
-#: Ranges of tokens that a stored index is dealt into.
-TOKEN_RANGES = 32
 #: Runs that a search scores before it knows a bound.
 FIRST_RUNS = 4
 #: The token of rows that say how long a run's documents are.
@@ -126,6 +124,11 @@ def blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return rows.mapInArrow(make, BLOCK)
 
 
+def by_token(made: DataFrame) -> DataFrame:
+    """Rows dealt by token and sorted in each part. Ranges of tokens would be sampled first, and what makes the rows run twice."""
+    return made.repartition("token").sortWithinPartitions("token", "run")
+
+
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n, n_distinct`` of the tokens of each document that has any."""
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -159,14 +162,20 @@ def asked_tokens(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     return queries.select(F.col(query_id).alias("query_id"), F.lower(F.col(text)).alias("text")).mapInArrow(make, f"query_id {kind}, token long, times long")
 
 
-def bm25(tf: Column, df: Column, n: Column, length: Column, mean_length: Column) -> Column:
+def rarity(df: Column, n: Column) -> Column:
+    return F.log((n - df + 0.5) / (df + 0.5) + 1)
+
+
+def bm25(tf: Column, rarity: Column, length: Column, mean_length: Column) -> Column:
     """The score of a token in a document."""
-    rarity = F.log((n - df + 0.5) / (df + 0.5) + 1)
     return rarity * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
 
 
 def fixed_point(score: Column) -> Column:
-    return F.least(F.floor(F.round(SCALE * score, 9)), F.lit(MOST_SCORE)).cast("int")
+    x = SCALE * score
+    # Rounding, which is slow, can only change the whole part of what is next to a whole number.
+    exact = F.when(F.abs(x - F.rint(x)) < 1e-6, F.round(x, 9)).otherwise(x)
+    return F.least(F.floor(exact), F.lit(MOST_SCORE)).cast("int")
 
 
 def statistics(index: DataFrame, lengths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -188,14 +197,16 @@ def scored_blocks(index: DataFrame, asked: DataFrame | None = None) -> DataFrame
         some = index.join(small(asked.select("token").distinct()), "token", "left_semi")
     total, df = statistics(some, index)
     known = some.where(F.col("token") != LENGTHS).join(small(df), "token").join(F.broadcast(total))  # one row
-    top = fixed_point(bm25(F.col("most_tf"), F.col("df"), F.col("n_docs"), F.col("least_length"), F.col("mean_length")))
+    known = known.withColumn("rarity", rarity(F.col("df"), F.col("n_docs")))
+    top = fixed_point(bm25(F.col("most_tf"), F.col("rarity"), F.col("least_length"), F.col("mean_length")))
     return known.withColumn("top", top)
 
 
 def _postings(known: DataFrame) -> DataFrame:
-    rows = known.select("*", F.explode(F.arrays_zip("docs", "tfs", "lengths")).alias("p"))
-    score = fixed_point(bm25(F.col("p.tfs"), F.col("df"), F.col("n_docs"), F.col("p.lengths"), F.col("mean_length")))
-    return rows.select(*[c for c in known.columns if c not in ("docs", "tfs", "lengths")], F.col("p.docs").alias("doc_id"), score.alias("score"))
+    rows = known.select("*", F.posexplode("docs").alias("_place", "doc_id"))
+    tf, length = F.get("tfs", F.col("_place")), F.get("lengths", F.col("_place"))
+    score = fixed_point(bm25(tf, F.col("rarity"), length, F.col("mean_length")))
+    return rows.select(*[c for c in known.columns if c not in ("docs", "tfs", "lengths")], "doc_id", score.alias("score"))
 
 
 def postings(index: DataFrame, most: int | None = MOST_POSTINGS, asked: DataFrame | None = None) -> DataFrame:
@@ -212,7 +223,7 @@ def impact_blocks(rows: DataFrame) -> DataFrame:
     """``token, run, top, postings`` of postings: best first, so that ``top`` is the first."""
     best_first = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "doc_id")))
     made = rows.groupBy("token", "run").agg(F.max("score").alias("top"), best_first.alias("postings"))
-    return made.repartitionByRange(TOKEN_RANGES, "token").sortWithinPartitions("token", "run")
+    return by_token(made)
 
 
 def runs_to_score(asked: DataFrame, index: DataFrame) -> DataFrame:
@@ -269,8 +280,7 @@ class Segments:
 
     def _written(self, made: DataFrame) -> str:
         name = f"s{self.lists.version() + 1:08}"
-        made = made.repartitionByRange(TOKEN_RANGES, "token").sortWithinPartitions("token", "run")
-        made.write.mode("overwrite").parquet(f"{self.path}/segments/{name}")
+        by_token(made).write.mode("overwrite").parquet(f"{self.path}/segments/{name}")
         return name
 
     def blocks(self) -> DataFrame:

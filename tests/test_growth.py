@@ -47,3 +47,24 @@ def test_a_batch_of_token_counts_holds_one_text_at_a_time(spark, monkeypatch):
 def test_entropy_of_long_texts(seconds, one):
     assert seconds("abcdefgh", 1_000_000, X.entropy) < 10
     assert [one(t, X.entropy) for t in ("", None, "aabb", "ab" * 9 + "😀😀", "é")] == [0.0, None, 1.0, pytest.approx(1.368996, abs=1e-6), 0.0]
+
+
+def test_a_segment_reads_its_documents_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        read.add(1)
+        return text
+
+    counted = F.udf(count, "string").asNondeterministic()
+    docs = spark.createDataFrame([(k, f"word{k} abc") for k in range(50)], "doc_id long, text string")
+    grown = index.Segments(spark, str(tmp_path / "grown"))
+    grown.inserted(docs.select("doc_id", counted("text").alias("text")))
+    assert read.value == 50 and grown.n_documents() == 50
+
+
+def test_scores_next_to_whole_numbers(spark):
+    scores = [w / 1000 + d for w in (0, 1, 7, 64_999, 65_535, 70_000) for d in (0.0, 4e-13, -4e-13, 6e-13, -6e-13, 1e-11, -1e-11, 5e-4)]
+    df = spark.createDataFrame([(abs(s),) for s in scores], "s double")
+    plain = F.least(F.floor(F.round(1000 * F.col("s"), 9)), F.lit(65_535)).cast("int")
+    assert df.where(index.fixed_point(F.col("s")) != plain).count() == 0
