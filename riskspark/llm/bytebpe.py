@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from riskspark.llm.common import own_worker, plain_text
 
-#: Pieces whose ids a worker keeps; beyond it the store is emptied.
-STORED_PIECES = 600_000
+#: Pieces whose ids a worker keeps in each of two generations (:class:`_Stored`), and pairs
+#: whose check it keeps, so that a worker's memory stays bounded however long it lives.
+STORED_PIECES, STORED_PAIRS = 200_000, 400_000
 #: Longer pieces are not stored.
 STORED_LENGTH = 64
 
@@ -34,7 +35,7 @@ class Ranks:
         self.tokens = {r: b for b, r in ranks.items()}
         self.longest = max(map(len, ranks))
         self._splits: dict[int, tuple[int, int]] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}  # by left << 32 | right
 
     @classmethod
     def load(cls, path: str) -> Ranks:
@@ -58,7 +59,7 @@ class Ranks:
     def valid(self, left: int, right: int, below: int | None = None) -> bool:
         """Whether two tokens stay side by side when their joined bytes are encoded
         (with ranks under ``below`` only)."""
-        if below is None and (known := self._pairs.get((left, right))) is not None:
+        if below is None and (known := self._pairs.get(left << 32 | right)) is not None:
             return known
         a, b, limit, answer = left, right, below if below is not None else 1 << 62, None
         while answer is None:
@@ -81,9 +82,9 @@ class Ranks:
             else:
                 answer = True
         if below is None:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) >= STORED_PAIRS:
                 self._pairs.clear()
-            self._pairs[left, right] = answer
+            self._pairs[left << 32 | right] = answer
         return answer
 
 
@@ -97,13 +98,20 @@ class PrefixEncoding:
     def append(self, more: bytes) -> PrefixEncoding:
         """Add bytes at the end; the entries of earlier prefixes stay as they are."""
         r, piece, last = self.ranks, self.piece + more, self.last
-        get, longest, valid = r.ranks.get, r.longest, r.valid
+        get, longest, valid, known = r.ranks.get, r.longest, r.valid, r._pairs.get
         for end in range(len(self.piece) + 1, len(piece) + 1):
-            for start in range(max(0, end - longest), end):
+            for start in range(end - longest if end > longest else 0, end):
                 token = get(piece[start:end])
-                if token is not None and (start == 0 or valid(last[start], token)):
-                    last.append(token)
-                    break
+                if token is None:
+                    continue
+                if start:
+                    fits = known(last[start] << 32 | token)
+                    if fits is None:
+                        fits = valid(last[start], token)
+                    if not fits:
+                        continue
+                last.append(token)
+                break
             else:
                 raise ValueError("the ranks lack a single byte")
         self.piece = piece
@@ -142,18 +150,23 @@ class Encoder:
 
 
 class _Stored(dict):
-    """Piece to packed ids, made when first asked for."""
+    """Piece to packed ids, made when first asked for. When ``STORED_PIECES`` are kept
+    they become ``before``, from which come back those that are asked for again, and
+    what was there is forgotten: so rare pieces go and frequent ones stay."""
 
     def __init__(self, ranks: Ranks):
-        self.ranks = ranks
+        self.ranks, self.before = ranks, {}
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        whole = self.ranks.ranks.get(raw)
-        ids = [whole] if whole is not None else PrefixEncoding(self.ranks, raw).ids()
-        packed = np.array(ids, "<u4").tobytes()
+        packed = self.before.pop(piece, None)
+        if packed is None:
+            raw = piece.encode()
+            whole = self.ranks.ranks.get(raw)
+            ids = [whole] if whole is not None else PrefixEncoding(self.ranks, raw).ids()
+            packed = np.array(ids, "<u4").tobytes()
         if len(piece) <= STORED_LENGTH:
             if len(self) >= STORED_PIECES:
+                self.before = dict(self)
                 self.clear()
             self[piece] = packed
         return packed

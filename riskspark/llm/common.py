@@ -98,6 +98,15 @@ def numbered(df: DataFrame) -> DataFrame:
     return rows.withColumn("row", F.monotonically_increasing_id())
 
 
+#: Rows of an Arrow batch of whole texts.
+BATCH_TEXTS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on workers get whole texts in batches of ``BATCH_TEXTS`` rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_TEXTS)
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
     """While jobs run inside, an Arrow batch has at most so many rows (of large values)."""

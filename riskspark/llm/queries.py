@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.llm import alignment, bytebpe, fingerprints, langid, lines, media, minhash, packing, pii, substrings, suffixes, urls, vectorcodes
-from riskspark.llm.common import table
+from riskspark.llm.common import small_batches, table
 from riskspark.llm.pipeline import PII_KEY
 
 #: Rules of the URL query: host, path, verdict.
@@ -69,6 +69,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return bytebpe.encoding_digests(
         table(spark, sf_dir, "documents"),
         public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
