@@ -9,6 +9,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
 from struct import pack
 
 import numpy as np
@@ -28,10 +29,12 @@ MARKS = ".,;:!?*&$%#\")]}"
 #: The settings of a tokenizer whose texts may be cut at white space: its normalizers, and its pattern of matches.
 NORMALIZERS = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "})
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Chunks whose ids a worker keeps; beyond it the store is emptied.
+#: Chunks whose ids a worker keeps, in two generations: frequent ones stay, rare ones go.
 STORED_CHUNKS = 700_000
 #: Longer chunks are not stored.
 STORED_LENGTH = 64
+#: Texts (and about their characters) of which what is missing is encoded together.
+BLOCK_TEXTS, BLOCK_CHARS = 256, 1 << 20
 
 
 class ChunkIds:
@@ -47,51 +50,92 @@ class ChunkIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cuttable, self.heads = settings(json.loads(self.tokenizer.to_str()))
+        self.ends = word_ends(json.loads(self.tokenizer.to_str()))
         self.stored: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.stored_before: dict[str, bytes] = {}
+        self.parts_before: dict[str, bytes] = {}
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        for text in texts:
-            if not self.cuttable or any(h in text for h in self.heads):
-                yield self._encoded([text])[0]
-                continue
-            chunks = text.replace("\n", " ").split(" ")
-            distinct = set(chunks)
-            missing = distinct.difference(self.stored)
-            if len(self.stored) + len(missing) > self.most:
-                self.stored, self.parts, missing = {}, {}, distinct
-            found = self.stored
-            found.update(self._made(missing))
-            yield b"".join(map(found.__getitem__, chunks))
-            for c in missing:
-                if len(c) > STORED_LENGTH:
-                    del found[c]
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or (end - at < BLOCK_TEXTS and size + len(texts[end]) <= BLOCK_CHARS)):
+                size, end = size + len(texts[end]), end + 1
+            yield from self._block(texts[at:end])
+            at = end
+
+    def _block(self, texts: list[str]) -> Iterator[bytes]:
+        """What is missing for all texts of a block is encoded together."""
+        cut = [t.replace("\n", " ").split(" ") if self.cuttable and not any(h in t for h in self.heads) else None for t in texts]
+        missing = self._missing(cut)
+        if len(self.stored) + len(missing) > self.most // 2:
+            # What is asked for again comes back from here; what was here before is forgotten.
+            self.stored_before, self.parts_before = self.stored, self.parts
+            self.stored, self.parts = {}, {}
+            missing = self._missing(cut)
+        found, before = self.stored, self.stored_before
+        for c in before.keys() & missing:
+            found[c] = before.pop(c)
+            missing.discard(c)
+        found.update(self._made(missing))
+        for text, chunks in zip(texts, cut, strict=True):
+            yield self._encoded([text])[0] if chunks is None else b"".join(map(found.__getitem__, chunks))
+        for c in missing:
+            if len(c) > STORED_LENGTH:
+                del found[c]
+
+    def _missing(self, cut: list[list[str] | None]) -> set[str]:
+        missing: set[str] = set()
+        for chunks in cut:
+            missing.update(filterfalse(self.stored.__contains__, chunks or ()))
+        return missing
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [pack(f"<{len(e.ids)}I", *e.ids) for e in encoded]
 
+    def _encoded_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone, encoded as one text and cut after the ids that end a word."""
+        if len(words) < 2 or not self.ends:
+            return self._encoded(words)
+        ids = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        cuts = [k for k, x in enumerate(map(self.ends.__contains__, ids), 1) if x]
+        if len(cuts) != len(words):
+            return self._encoded(words)
+        packed = pack(f"<{len(ids)}I", *ids)
+        return [packed[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts)]
+
     def _made(self, chunks: set[str]) -> Iterator[tuple[str, bytes]]:
         """Letters and the marks after them are encoded apart, as the tokenizer's
         pattern parts them; other chunks are encoded whole."""
-        cut = {}
+        cut, words, others = {}, set(), set()
         for c in chunks:
             body = c.rstrip(MARKS)
             if body.isascii() and body.isalpha():
-                cut[c] = (body.lower(), c[len(body) :])
-            elif letters_alone(body):
-                cut[c] = (body, c[len(body) :])
-            else:
+                body = body.lower()
+            elif not letters_alone(body):
                 cut[c] = (c, "")
-        parts = self.parts
-        new = list({x for pair in cut.values() for x in pair}.difference(parts))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            parts.update(zip(some, self._encoded(some), strict=True))
+                others.add(c)
+                continue
+            marks = c[len(body) :]
+            cut[c] = (body, marks)
+            words.add(body)
+            if marks:
+                others.add(marks)
+        others.add("")
+        parts, before = self.parts, self.parts_before
+        for kind, encoded in ((words, self._encoded_words), (others.difference(words), self._encoded)):
+            for x in before.keys() & kind:
+                parts[x] = before.pop(x)
+            new = list(kind.difference(parts))
+            for at in range(0, len(new), 1024):
+                some = new[at : at + 1024]
+                parts.update(zip(some, encoded(some), strict=True))
         for c, (body, marks) in cut.items():
             yield c, parts[body] + parts[marks]
-        for x in new:
+        for x in words | others:
             if len(x) > STORED_LENGTH:
                 del parts[x]
 
@@ -100,7 +144,7 @@ def letters_alone(body: str) -> bool:
     """Whether a word is letters for the tokenizer's pattern too, when it has been composed
     and every character put in lower case. Characters beyond the first plane, of which
     versions of Unicode differ, are left to the tokenizer."""
-    return body.isalpha() and max(body) <= "\uffff" and all(c.lower().isalpha() for c in unicodedata.normalize("NFC", body))
+    return body.isalpha() and max(body) <= "\uffff" and unicodedata.normalize("NFC", body).lower().isalpha()
 
 
 def settings(made: dict) -> tuple[bool, list[str]]:
@@ -115,6 +159,12 @@ def settings(made: dict) -> tuple[bool, list[str]]:
     return known, sorted({t["content"][:2] for t in made.get("added_tokens", [])})
 
 
+def word_ends(made: dict) -> frozenset[int]:
+    """The ids that end a match of the pattern, of a vocabulary that marks them by a suffix."""
+    suffix = made["model"].get("end_of_word_suffix")
+    return frozenset(i for token, i in made["model"]["vocab"].items() if suffix and token.endswith(suffix))
+
+
 @lru_cache(maxsize=1)
 def chunk_ids(path: str, most: int) -> ChunkIds:
     return ChunkIds(path, most)

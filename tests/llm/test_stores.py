@@ -32,3 +32,30 @@ def test_byte_bpe_stores_are_bounded(monkeypatch):
         assert len(e.stored) <= 150 and len(e.stored.before) <= 150 and len(ranks._pairs) <= 300
     # Words that every text has (but as its first) stay, though the stores were full many times.
     assert max(made.count(piece) for piece in set(made) if piece[:1] == b" ") <= 3
+
+
+def test_packing_encodes_what_texts_lack_together():
+    path, texts = public_tokenizers.path("word_bpe_49k.json"), _texts(600)
+    ids = packing.ChunkIds(path, 2_000)
+    plain, calls = ids.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, some, **kw):
+            calls.append(len(some))
+            return plain.encode_batch_fast(some, **kw)
+
+    ids.tokenizer = Counted()
+    got = list(ids.of(texts))
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+    # A call for at most 1,024 words and one for other chunks, not one for each text.
+    assert len(calls) <= 40
+
+
+def test_packing_of_words_whose_ends_are_not_marked(monkeypatch):
+    path, texts = public_tokenizers.path("word_bpe_49k.json"), _texts(20)
+    ids, want = packing.ChunkIds(path, 500), list(packing.ChunkIds(path).of(texts))
+    ids.ends = frozenset()
+    assert list(ids.of(texts)) == want
+    ids = packing.ChunkIds(path, 500)
+    ids.ends = frozenset(list(ids.ends)[::2])  # the count of ends doesn't fit: words are encoded apart
+    assert list(ids.of(texts)) == want
