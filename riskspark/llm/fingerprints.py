@@ -6,6 +6,12 @@ position alone, two Gamma(2, 1) variates and a uniform one (Ioffe's improved con
 weighted sampling); the least draw is the position's sample. Two texts share a sample
 with a chance equal to their generalised Jaccard similarity. Only DataFrame and SQL
 functions are used.
+
+The variates are taken by way of the draw of the weight 1. That draw is ``c * u``, of a
+Gamma variate ``c`` and a uniform ``u``: ``c * u`` and ``c - c * u`` are independent
+exponential variates, and so are the two parts that the term's shift cuts the other Gamma
+variate into. So a hash is the uniform number of the draw of the weight 1 itself, hashes
+compare as draws do, and only a term that repeats needs the variates (``_repeated``).
 """
 
 from __future__ import annotations
@@ -17,11 +23,10 @@ from riskspark.llm.common import plain_text
 
 #: Samples of a fingerprint: rows of ``LANES`` samples that are drawn together.
 #: (So few that the code generated for a row stays in the size that the JVM compiles.)
-SAMPLE_ROWS, LANES = 16, 4
+SAMPLE_ROWS, LANES = 4, 16
 SAMPLES = SAMPLE_ROWS * LANES
-#: Draws of so many times the expected least draw of a text are not looked at: that the
-#: least one is among them has odds of exp(-40), less than that two hashes are equal.
-LONGEST = 40.0
+#: Tells the hashes of a row's lanes apart (odd, bits of the golden ratio).
+LANE_BITS = 0x9E3779B97F4A7C15
 #: Hex digits of a sample in the fingerprint.
 DIGITS = 4
 #: Documents of a block of neighbouring ids, and blocks at most.
@@ -47,47 +52,56 @@ def pair_hashes(words: Column) -> Column:
     return F.zip_with(words, F.slice(words, 2, F.size(words) + 1), lambda a, b: F.xxhash64(a, b))
 
 
-def weighted(sorted_terms: Column) -> Column:
-    """``term`` and the logarithm of its count, for each distinct one of sorted terms."""
-    n = F.size(sorted_terms)
+def repeats(sorted_terms: Column) -> Column:
+    """Those of sorted terms that equal the one before them."""
+    return F.filter(sorted_terms, lambda x, i: (i > 0) & (x == F.get(sorted_terms, i - 1)))
+
+
+def weighted(sorted_repeats: Column) -> Column:
+    """``term`` and the logarithm of its count in the text, for each distinct one of its sorted :func:`repeats`."""
+    n = F.size(sorted_repeats)
     places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     starts = F.filter(
         places,
-        lambda i: (i == 0) | (F.get(sorted_terms, i) != F.get(sorted_terms, F.greatest(i - 1, F.lit(0)))),
+        lambda i: (i == 0) | (F.get(sorted_repeats, i) != F.get(sorted_repeats, F.greatest(i - 1, F.lit(0)))),
     )
     return F.zip_with(
         starts,
         F.slice(starts, 2, F.size(starts) + 1),
         lambda a, b: F.struct(
-            F.get(sorted_terms, a).alias("term"), F.log((F.coalesce(b, n) - a).cast("double")).alias("weight")
+            F.get(sorted_repeats, a).alias("term"), F.log((F.coalesce(b, n) - a + 1).cast("double")).alias("weight")
         ),
     )
 
 
-def _draws(lane: int) -> dict[str, Column]:
-    """Columns of one lane, each step from those before it: hash, more bits, the products
-    ``q`` and ``p`` of two uniform numbers each, the shift ``s``, scale, level, value.
+def _hash(seed: str, lane: int) -> str:
+    """SQL of a lane's hash of a term, of which ``seed`` has the hash in this row of samples."""
+    return f"xxhash64({seed} ^ {LANE_BITS * (lane + 1) % (1 << 63)}L)"
+
+
+def _once(lane: int) -> str:
+    """SQL of a lane's draw of the weight 1: its order in the high 47 bits, the sampled (term, level) in the low 16."""
+    return f"shiftrightunsigned({_hash('_seed', lane)}, 1)"
+
 
-    The Gamma(2, 1) variates are ``-ln(q)`` and ``-ln(p)``, so no tail is cut: the least
-    draw of a text of very many terms lies far in the tails. A draw that is surely over
-    the text's ``_reach`` has no logarithm taken, and a null value: for the weight 1 it is
-    ``-ln(p) * q ** s``, of which ``(1 - p) * q / (q + s * (1 - q))`` is a lower bound.
+def _repeated(lane: int) -> str:
+    """SQL of a lane's draw of ``_again``, of the weight ``exp(_weight)``, alike; null if it
+    is the draw of the weight 1 (then the level is 0), or if no term repeats in this row.
+
+    ``a`` is the draw of the weight 1, ``c = a + b`` and ``r = y - ln(a / c)`` are the
+    Gamma variates, ``y / r`` is the shift. The level is ``floor((_weight + y) / r)``.
     """
-    h = F.xxhash64("_term", "_row_of_samples", F.lit(lane))
-    more = F.xxhash64(f"_h{lane}")
-    q = F.expr(f"{_uniform(f'_h{lane}', 32)} * ({_uniform(f'shiftrightunsigned(_h{lane}, 32)', 32)})")
-    p = F.expr(f"{_uniform(f'_g{lane}', 21)} * ({_uniform(f'shiftrightunsigned(_g{lane}, 21)', 21)})")
-    shift = F.expr(f"1 - shiftrightunsigned(_g{lane}, 42) / 4194304.0D")
-    in_reach = f"_weight > 0 or (1 - _p{lane}) * _q{lane} <= _reach * (_q{lane} + _s{lane} * (1 - _q{lane}))"
-    scale = F.expr(f"case when {in_reach} then -ln(_q{lane}) end")
-    level = F.expr(f"floor(_weight / _r{lane} + 1 - _s{lane})")
-    # The order of log draws in the high 41 bits, the sampled (term, level) in the low 23.
-    value = F.expr(
-        f"case when _r{lane} is not null then"
-        f" shiftleft(cast((64 + ln(-ln(_p{lane})) - _r{lane} * (_t{lane} + _s{lane})) * 8589934592.0D as bigint), 23)"
-        f" | (_h{lane} ^ (_t{lane} * 40503)) & 8388607 end"
-    )
-    return {"h": h, "g": more, "q": q, "p": p, "s": shift, "r": scale, "t": level, "v": value}
+    h = _hash("_again", lane)
+    more = f"xxhash64({h})"
+    a = f"-log1p(-(shiftrightunsigned({h}, 17) + 0.5D) * {2.0**-47!r}D)"
+    b = f"-ln({_uniform(more, 32)})"
+    y = f"-ln({_uniform(f'shiftrightunsigned({more}, 32)', 32)})"
+    r = f"({y} + log1p({b} / ({a})))"
+    level = f"floor((_weight + {y}) / {r})"
+    draw = f"({a} + {b}) * exp({y} - ({level} + 1) * {r})"
+    order = f"least(cast(-expm1(-({draw})) * {2.0**47!r}D as bigint), {(1 << 47) - 1}L)"
+    made = f"shiftleft({order}, 16) | (shiftrightunsigned({h}, 1) ^ {level} * 40503) & 65535"
+    return f"case when _again is not null and log1p({b} / ({a})) <= _weight then {made} end"
 
 
 def fingerprints(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
@@ -100,27 +114,28 @@ def fingerprints(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """
     e = rows.select(*keys, word_hashes(plain_text(text_col)).alias("_words"))
     e = e.select(*keys, F.sort_array(pair_hashes(F.col("_words"))).alias("_terms"))
-    # The least draw of a text of n terms has the rate n: it is over LONGEST / n with odds of exp(-LONGEST).
-    reach = F.lit(LONGEST) / F.greatest(F.size("_terms"), F.lit(1))
-    e = e.select(*keys, reach.alias("_reach"), F.explode(weighted(F.col("_terms"))).alias("_w"))
+    e = e.select(*keys, F.array_distinct("_terms").alias("_first"), repeats(F.col("_terms")).alias("_again"))
+    # A row for each distinct term; a term that repeats has its weighted draw in a row beside another's.
+    e = e.select(*keys, F.explode(F.arrays_zip("_first", weighted(F.col("_again")).alias("_again"))).alias("_t"))
     e = e.select(
         *keys,
-        "_reach",
-        F.col("_w.term").alias("_term"),
-        F.col("_w.weight").alias("_weight"),
+        F.col("_t._first").alias("_term"),
+        F.col("_t._again.term").alias("_other"),
+        F.col("_t._again.weight").alias("_weight"),
         F.explode(F.sequence(F.lit(0), F.lit(SAMPLE_ROWS - 1))).alias("_row_of_samples"),
     )
-    lanes = [_draws(k) for k in range(LANES)]
-    for new, before in (("h", ""), ("g", "h"), ("qps", "hg"), ("r", "hqps"), ("t", "hpsr"), ("v", "hpsrt")):
-        kept = [*keys, "_row_of_samples", "_reach", "_term", "_weight"]
-        e = e.select(
-            *(kept if new != "v" else kept[:-3]),
-            *[f"_{b}{k}" for b in (before if new != "v" else "") for k in range(LANES)],
-            *[lanes[k][n].alias(f"_{n}{k}") for n in new for k in range(LANES)],
-        )
-    least = e.groupBy(*keys, "_row_of_samples").agg(*[F.min(f"_v{k}").alias(f"_v{k}") for k in range(LANES)])
+    e = e.select(
+        *keys,
+        "_row_of_samples",
+        F.xxhash64("_row_of_samples", "_term").alias("_seed"),
+        F.when(F.col("_other").isNotNull(), F.xxhash64("_row_of_samples", "_other")).alias("_again"),
+        "_weight",
+    )
+    least = e.groupBy(*keys, "_row_of_samples").agg(
+        *[F.min(F.expr(f"least({_once(k)}, {_repeated(k)})")).alias(f"_v{k}") for k in range(LANES)]
+    )
     sample = [
-        F.lpad(F.hex(F.coalesce(F.col(f"_v{k}").bitwiseAND((1 << 4 * DIGITS) - 1), F.lit(0))), DIGITS, "0")
+        F.lpad(F.hex(F.col(f"_v{k}").bitwiseAND((1 << 4 * DIGITS) - 1)), DIGITS, "0")
         for k in range(LANES)
     ]
     part = F.struct("_row_of_samples", F.lower(F.concat(*sample)).alias("s"))
