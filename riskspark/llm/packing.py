@@ -9,7 +9,6 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import filterfalse
 from struct import pack
 
 import numpy as np
@@ -52,9 +51,8 @@ class ChunkIds:
         self.cuttable, self.heads = settings(json.loads(self.tokenizer.to_str()))
         self.ends = word_ends(json.loads(self.tokenizer.to_str()))
         self.stored: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         self.stored_before: dict[str, bytes] = {}
-        self.parts_before: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -69,28 +67,39 @@ class ChunkIds:
     def _block(self, texts: list[str]) -> Iterator[bytes]:
         """What is missing for all texts of a block is encoded together."""
         cut = [t.replace("\n", " ").split(" ") if self.cuttable and not any(h in t for h in self.heads) else None for t in texts]
-        missing = self._missing(cut)
-        if len(self.stored) + len(missing) > self.most // 2:
+        rows, missing = self._looked_up(cut)
+        if len(self.stored) + 2 * len(missing) > self.most // 2:
             # What is asked for again comes back from here; what was here before is forgotten.
-            self.stored_before, self.parts_before = self.stored, self.parts
-            self.stored, self.parts = {}, {}
-            missing = self._missing(cut)
+            self.stored_before, self.stored, self.marks = self.stored, {}, {"": b""}
+            rows, missing = self._looked_up(cut)
+        self._recall(missing)
+        found, passing = self.stored, self._make(missing)
+        for text, chunks, (ids, lacking) in zip(texts, cut, rows, strict=True):
+            if chunks is None:
+                yield self._encoded([text])[0]
+                continue
+            for k in lacking:
+                ids[k] = found[chunks[k]]
+            yield b"".join(ids)
+        for c in passing:
+            del found[c]
+
+    def _looked_up(self, cut: list[list[str] | None]) -> tuple[list[tuple[list, list[int]]], set[str]]:
+        """Ids of each text's chunks with the places where they lack, and the chunks that lack."""
+        get, missing, rows = self.stored.get, set(), []
+        for chunks in cut:
+            ids = list(map(get, chunks or ()))
+            lacking = [k for k, x in enumerate(ids) if x is None]
+            missing.update([chunks[k] for k in lacking])
+            rows.append((ids, lacking))
+        return rows, missing
+
+    def _recall(self, missing: set[str]) -> None:
+        """What was kept before is kept again, and no longer missing."""
         found, before = self.stored, self.stored_before
         for c in before.keys() & missing:
             found[c] = before.pop(c)
             missing.discard(c)
-        found.update(self._made(missing))
-        for text, chunks in zip(texts, cut, strict=True):
-            yield self._encoded([text])[0] if chunks is None else b"".join(map(found.__getitem__, chunks))
-        for c in missing:
-            if len(c) > STORED_LENGTH:
-                del found[c]
-
-    def _missing(self, cut: list[list[str] | None]) -> set[str]:
-        missing: set[str] = set()
-        for chunks in cut:
-            missing.update(filterfalse(self.stored.__contains__, chunks or ()))
-        return missing
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -107,37 +116,38 @@ class ChunkIds:
         packed = pack(f"<{len(ids)}I", *ids)
         return [packed[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts)]
 
-    def _made(self, chunks: set[str]) -> Iterator[tuple[str, bytes]]:
-        """Letters and the marks after them are encoded apart, as the tokenizer's
-        pattern parts them; other chunks are encoded whole."""
-        cut, words, others = {}, set(), set()
+    def _make(self, chunks: set[str]) -> list[str]:
+        """Store the ids of chunks, and of the words they have; returns those too long to stay.
+        Letters and the marks after them are encoded apart, as the tokenizer's pattern parts
+        them; other chunks are encoded whole."""
+        found, words, parted, others = self.stored, set(), [], []
         for c in chunks:
-            body = c.rstrip(MARKS)
+            body = c if c.isalpha() else c.rstrip(MARKS)
             if body.isascii() and body.isalpha():
-                body = body.lower()
-            elif not letters_alone(body):
-                cut[c] = (c, "")
-                others.add(c)
+                word = body.lower()
+            elif letters_alone(body):
+                word = body
+            else:
+                others.append(c)
                 continue
-            marks = c[len(body) :]
-            cut[c] = (body, marks)
-            words.add(body)
-            if marks:
-                others.add(marks)
-        others.add("")
-        parts, before = self.parts, self.parts_before
-        for kind, encoded in ((words, self._encoded_words), (others.difference(words), self._encoded)):
-            for x in before.keys() & kind:
-                parts[x] = before.pop(x)
-            new = list(kind.difference(parts))
+            if word == c:
+                words.add(c)
+            else:
+                parted.append((c, word, c[len(body) :]))
+        lacking = {word for _, word, _ in parted if word not in found}
+        self._recall(lacking)
+        words |= lacking
+        marks = {m for _, _, m in parted if m not in self.marks}
+        for store, new, encoded in ((found, words, self._encoded_words), (found, others, self._encoded), (self.marks, marks, self._encoded)):
+            new = list(new)
             for at in range(0, len(new), 1024):
                 some = new[at : at + 1024]
-                parts.update(zip(some, encoded(some), strict=True))
-        for c, (body, marks) in cut.items():
-            yield c, parts[body] + parts[marks]
-        for x in words | others:
-            if len(x) > STORED_LENGTH:
-                del parts[x]
+                store.update(zip(some, encoded(some), strict=True))
+        for c, word, m in parted:
+            found[c] = found[word] + self.marks[m]
+        for m in [m for m in marks if len(m) > STORED_LENGTH]:
+            del self.marks[m]
+        return [c for c in chunks | words if len(c) > STORED_LENGTH]
 
 
 def letters_alone(body: str) -> bool:

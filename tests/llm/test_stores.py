@@ -59,3 +59,39 @@ def test_packing_of_words_whose_ends_are_not_marked(monkeypatch):
     ids = packing.ChunkIds(path, 500)
     ids.ends = frozenset(list(ids.ends)[::2])  # the count of ends doesn't fit: words are encoded apart
     assert list(ids.of(texts)) == want
+
+
+def test_packing_looks_up_a_chunk_once():
+    path, texts = public_tokenizers.path("word_bpe_49k.json"), _texts(300)
+    ids, asked = packing.ChunkIds(path), []
+
+    class Counted(dict):
+        def get(self, c):
+            asked.append(c)
+            return super().get(c)
+
+        def __getitem__(self, c):
+            asked.append(c)
+            return super().__getitem__(c)
+
+        def __contains__(self, c):
+            asked.append(c)
+            return super().__contains__(c)
+
+    want = list(ids.of(texts))
+    ids.stored = Counted(ids.stored)
+    assert list(ids.of(texts)) == want
+    assert len(asked) == sum(len(t.split(" ")) for t in texts)
+
+
+def test_packing_keeps_words_with_their_chunks():
+    """Words, their forms with capitals and marks, and what is too long to stay, in a store that is often full."""
+    path, r = public_tokenizers.path("word_bpe_49k.json"), random.Random(5)
+    words = ["na", "über", "élan", "ΌΔΟΣ", "İstanbul", "ǅ", "ét", "x" * 70, "é" * 70, "don't", "12", "a\tb", "c\r", "日本", "\U0001e900"]
+    forms = [f for w in words for f in (w, w.upper(), w.capitalize(), w + ",", w.upper() + "!?", w + "." * 70)] + ["", ".", "." * 70]
+    texts = [" ".join([*r.sample(forms, 40), *t.split(" ")]) for t in _texts(200)]
+    for most in (200, 2_000, 100_000):
+        ids = packing.ChunkIds(path, most)
+        got = [x for k in range(0, 200, 50) for x in ids.of(texts[k : k + 50])]
+        assert got == [np.array(e.ids, "<u4").tobytes() for e in ids.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert not any(len(c) > packing.STORED_LENGTH for kept in (ids.stored, ids.stored_before, ids.marks) for c in kept)
