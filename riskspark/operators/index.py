@@ -4,7 +4,8 @@ A block holds the postings of one token in one run of documents, with what bound
 scores. Blocks are made where the documents are read: only a block's arrays are shuffled,
 dealt by their tokens. A search adds up the bounds of its tokens in each run of documents,
 scores the most promising runs, and then only those whose bound reaches the worst of the
-best scores so far.
+best scores so far. Where every posting counts, such bounds skip next to nothing: then the
+blocks of the queries' tokens meet in their runs, and each run scores all its documents.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskspark.sources.scratch import delete, names
+from riskspark.sources.scratch import delete, names, stored
 from riskspark.sources.snapshots import Lists
 
 # BM25 parameters, fixed-point scores, postings of a token.
@@ -29,6 +30,8 @@ K1, B, SCALE, MOST_SCORE, MOST_POSTINGS = 1.5, 0.75, 1000, 65_535, 100
 RUN_DOCUMENTS, RUN_CHARACTERS = 256, 1 << 22
 #: Runs that a search scores before it knows a bound.
 FIRST_RUNS = 4
+#: Tokens of queries that are sent to all workers; queries and tokens that are multiplied at once.
+SENT_TOKENS, AT_ONCE = 1_000_000, (256, 1024)
 #: The token of rows that say how long a run's documents are.
 LENGTHS = 0
 BITS = 21  # of a character in a token's number
@@ -178,6 +181,13 @@ def fixed_point(score: Column) -> Column:
     return F.least(F.floor(exact), F.lit(MOST_SCORE)).cast("int")
 
 
+def fixed_points(score: np.ndarray) -> np.ndarray:
+    """:func:`fixed_point` of an array: what rounds to a whole number at nine digits is that."""
+    x = SCALE * score
+    near = np.rint(x)
+    return np.minimum(np.where(near - x <= 5e-10, near, near - 1), MOST_SCORE).astype("i8")
+
+
 def statistics(index: DataFrame, lengths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``n, mean_length`` of the whole index (one row; ``lengths`` are its rows of all
     tokens, if ``index`` holds some tokens only), and ``token, df``."""
@@ -261,11 +271,100 @@ def search(asked: DataFrame, index: DataFrame, k: int = 10) -> tuple[DataFrame,
     return _best(both, k), first.select("query_id", "run").unionByName(rest.select("query_id", "run"))
 
 
+class _Sent:
+    """The tokens of queries, for workers that score runs: parts of some queries each, by token."""
+
+    def __init__(self, asked: pa.Table):
+        ids = asked.column("query_id").combine_chunks().dictionary_encode(null_encoding="encode")
+        query, token, times = ids.indices.to_numpy(), asked.column("token").to_numpy(), asked.column("times").to_numpy()
+        by = np.lexsort((token, query // AT_ONCE[0]))
+        query, token, times = query[by], token[by], times[by]
+        self.ids, self.tokens_at_once, self.parts = ids.dictionary, AT_ONCE[1], []
+        for first in range(0, len(self.ids), AT_ONCE[0]):
+            mine = slice(*np.searchsorted(query // AT_ONCE[0], [first // AT_ONCE[0], first // AT_ONCE[0] + 1]))
+            known, begin = np.unique(token[mine], return_index=True)
+            n = min(AT_ONCE[0], len(self.ids) - first)
+            self.parts.append((first, n, known, np.append(begin, mine.stop - mine.start), query[mine] - first, times[mine]))
+
+    def best(self, run: pa.Table, k: int) -> pa.Table:
+        """``query_id, doc_id, score`` of the best ``k`` documents of a run for each query."""
+        run = run.take(np.argsort(run.column("token").to_numpy()))
+        token, value = run.column("token").to_numpy(), run.column("value").to_numpy()
+        lists = [run.column(c).combine_chunks() for c in ("docs", "counts")]
+        size = lists[0].value_lengths().to_numpy()
+        docs, counts = (x.flatten().to_numpy() for x in lists)
+        # The least token is LENGTHS: the run's documents with their lengths, and the mean length.
+        by = np.argsort(docs[: size[0]])
+        ids, length = docs[: size[0]][by], counts[: size[0]][by]
+        begin, place, row = np.append(0, np.cumsum(size)), np.searchsorted(ids, docs), np.repeat(np.arange(len(size)), size)
+        score = fixed_points(bm25(counts, value[row], length[place], value[0]))
+        found = [(np.zeros(0, "i8"),) * 3]
+        for first, n, known, asked_begin, query, times in self.parts:
+            at = np.searchsorted(known, token)
+            hits = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == token)
+            total, met = np.zeros((n, len(ids))), np.zeros((n, len(ids)), bool)
+            for some in np.split(hits, range(self.tokens_at_once, len(hits), self.tokens_at_once)):
+                if not len(some):
+                    continue
+                postings = slice(begin[some[0]], begin[some[-1] + 1])
+                column = np.full(some[-1] + 1 - some[0], -1)
+                column[some - some[0]] = np.arange(len(some))
+                c = column[row[postings] - some[0]]
+                p, s, c = place[postings][c >= 0], score[postings][c >= 0], c[c >= 0]
+                cell, cells = c * len(ids) + p, len(some) * len(ids)
+                scores = np.bincount(cell, s, cells).reshape(len(some), -1)
+                low, high = at[some[0]], at[some[-1]] + 1
+                asked = slice(asked_begin[low], asked_begin[high])
+                column = np.full(high - low, -1)
+                column[at[some] - low] = np.arange(len(some))
+                a = np.repeat(column, np.diff(asked_begin[low : high + 1]))
+                weights = np.bincount((query[asked] * len(some) + a)[a >= 0], times[asked][a >= 0], n * len(some)).reshape(n, -1)
+                total += weights @ scores  # whole numbers under 2**53: exact
+                if len(zero := np.unique(c[s == 0])):  # a document that scores nothing is found all the same
+                    held = np.bincount(cell, minlength=cells).reshape(len(some), -1)
+                    met |= weights[:, zero] @ held[zero] > 0
+            total[(total == 0) & ~met] = -1
+            best = np.argsort(-total, axis=1, kind="stable")[:, :k]
+            q, rank = np.nonzero(np.take_along_axis(total, best, 1) >= 0)
+            doc = best[q, rank]
+            found.append((q + first, ids[doc], total[q, doc].astype("i8")))
+        q, doc, total = map(np.concatenate, zip(*found, strict=True))
+        return pa.Table.from_arrays([self.ids.take(pa.array(q)), pa.array(doc), pa.array(total)], names=["query_id", "doc_id", "score"])
+
+
+def search_all(asked: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
+    """The best ``k`` documents of each query by all postings of its tokens, ``query_id,
+    doc_id, score, rank`` (ties by id).
+
+    ``asked`` is from :func:`asked_tokens` (stored), ``index`` from :func:`blocks` (stored),
+    with unlike ids. Only blocks of the queries' tokens are shuffled, dealt by their runs;
+    a run multiplies the times of tokens in queries with the scores of tokens in its
+    documents, and gives its best ``k`` for each query. Queries with more than
+    ``SENT_TOKENS`` tokens in all are joined with the postings instead (:func:`search`)."""
+    from riskspark.operators.tables import small
+
+    if asked.limit(SENT_TOKENS + 1).count() > SENT_TOKENS:
+        return search(asked, stored(impact_blocks(postings(index, None, asked))), k)[0]
+    sent = asked.sparkSession.sparkContext.broadcast(_Sent(asked.toArrow()))
+    total, df = statistics(index.join(F.broadcast(asked.select("token").distinct()), "token", "left_semi"), index)
+    values = df.join(F.broadcast(total)).select("token", rarity(F.col("df"), F.col("n_docs")).alias("value"))
+    values = values.unionByName(total.select(F.lit(LENGTHS).cast("long").alias("token"), F.col("mean_length").alias("value")))
+    counts = F.when(F.col("token") == LENGTHS, F.col("lengths")).otherwise(F.col("tfs")).alias("counts")
+    met = index.join(small(stored(values)), "token").select("run", "token", "value", "docs", counts)
+    kind = asked.schema["query_id"].dataType.simpleString()
+
+    def best(run: pa.Table) -> pa.Table:
+        return sent.value.best(run, k)
+
+    return _best(met.groupBy("run").applyInArrow(best, f"query_id {kind}, doc_id long, score long"), k)
+
+
 class Segments:
     """An index that grows: immutable segments of blocks, merged when they are read.
 
-    Each insert writes one segment and then a new list of segments, which takes effect as
-    a whole; readers see the last complete list. Document frequencies and lengths are
+    Each insert writes one segment, a run's blocks side by side (their documents are the
+    same few ids, which Parquet numbers), and then a new list of segments, which takes
+    effect as a whole; readers see the last complete list. Document frequencies and lengths are
     sums over the segments, so that scores are those of an index built at once.
     :meth:`compacted` writes all segments as one, :meth:`cleaned` deletes what no list
     names any more. There is one writer at a time. ``most_documents`` is how many
@@ -280,7 +379,7 @@ class Segments:
 
     def _written(self, made: DataFrame) -> str:
         name = f"s{self.lists.version() + 1:08}"
-        by_token(made).write.mode("overwrite").parquet(f"{self.path}/segments/{name}")
+        made.write.mode("overwrite").parquet(f"{self.path}/segments/{name}")
         return name
 
     def blocks(self) -> DataFrame:

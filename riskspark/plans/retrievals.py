@@ -13,31 +13,48 @@ from riskspark.sources.scratch import new_folder, stored
 TOKENS_SQL = f"""
 runs AS (SELECT id, unnest({SMALL_SQL}) AS run FROM src),
 toks AS (SELECT id, unnest(CASE WHEN length(run) <= 2 THEN [run] ELSE list_concat(list_transform(range(1, length(run)), lambda i: run[i:i+1]), list_transform(range(1, length(run) - 1), lambda i: run[i:i+2])) END) AS token FROM runs)"""
-POSTINGS_SQL = f"""
+SCORES_SQL = f"""
 src AS (SELECT doc_id AS id, text FROM documents), {TOKENS_SQL},
 tf AS (SELECT id, token, count(*) AS tf FROM toks GROUP BY ALL),
 dl AS (SELECT id, sum(tf) AS dl FROM tf GROUP BY 1), st AS (SELECT count(*) AS n, avg(dl) AS m FROM dl),
 df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
-sc AS (SELECT token, id AS doc_id, least(floor(round(1000 * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / m)), 9)), 65535)::INT AS score FROM tf JOIN dl USING (id) JOIN df USING (token), st),
+sc AS (SELECT token, id AS doc_id, least(floor(round(1000 * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / m)), 9)), 65535)::INT AS score FROM tf JOIN dl USING (id) JOIN df USING (token), st)"""
+POSTINGS_SQL = f"""{SCORES_SQL},
 ix AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY token ORDER BY score DESC, doc_id) <= 100)"""
-SEARCH_SQL = f"""{POSTINGS_SQL},
+ASKED_SQL = f"""
 qr AS (SELECT item_id, unnest({SMALL_SQL}) AS run FROM benchmark),
-qt AS (SELECT item_id, unnest(CASE WHEN length(run) <= 2 THEN [run] ELSE list_concat(list_transform(range(1, length(run)), lambda i: run[i:i+1]), list_transform(range(1, length(run) - 1), lambda i: run[i:i+2])) END) AS token FROM qr),
-fs AS (SELECT item_id AS query_id, doc_id, sum(score)::BIGINT AS score FROM qt JOIN ix USING (token) GROUP BY ALL),
+qt AS (SELECT item_id, unnest(CASE WHEN length(run) <= 2 THEN [run] ELSE list_concat(list_transform(range(1, length(run)), lambda i: run[i:i+1]), list_transform(range(1, length(run) - 1), lambda i: run[i:i+2])) END) AS token FROM qr)"""
+
+
+def _top_sql(postings: str) -> str:
+    return f"""
+fs AS (SELECT item_id AS query_id, doc_id, sum(score)::BIGINT AS score FROM qt JOIN {postings} USING (token) GROUP BY ALL),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fs QUALIFY rank <= 10)"""
 
 
+SEARCH_SQL = f"{POSTINGS_SQL},{ASKED_SQL},{_top_sql('ix')}"
+WHOLE_SEARCH_SQL = f"{SCORES_SQL},{ASKED_SQL},{_top_sql('sc')}"
+
+
 @query(f"WITH {POSTINGS_SQL} SELECT token, doc_id, score FROM ix")
 def v13_bm25_postings(spark, sf):
     made = index.postings(stored(index.blocks(table(spark, sf, "documents"))))
     return made.select(index.token_text(F.col("token")).alias("token"), "doc_id", "score")
 
 
+def _asked(spark, sf):
+    return stored(index.asked_tokens(table(spark, sf, "benchmark"), "item_id", "text"))
+
+
+def _ranked(found):
+    return found.select("query_id", "doc_id", F.col("score").cast("bigint").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 def _found(spark, sf, blocks):
     """The best documents of each benchmark item, from the blocks of all documents."""
-    asked = stored(index.asked_tokens(table(spark, sf, "benchmark"), "item_id", "text"))
+    asked = _asked(spark, sf)
     found, _ = index.search(asked, stored(index.impact_blocks(index.postings(blocks, asked=asked))), retrieval.VOTERS)
-    return found.select("query_id", "doc_id", F.col("score").cast("bigint").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return _ranked(found)
 
 
 @query(f"WITH {SEARCH_SQL} SELECT query_id, doc_id, score, rank FROM top")
@@ -52,16 +69,16 @@ def a6_bm25_vote(spark, sf):
     return v.withColumn("ratio", F.round("ratio", 6))
 
 
-@query(f"WITH {SEARCH_SQL} SELECT query_id, doc_id, score, rank FROM top")
+@query(f"WITH {WHOLE_SEARCH_SQL} SELECT query_id, doc_id, score, rank FROM top")
 def st10_segmented_search(spark, sf):
-    """The index grows by one segment a language, is compacted after half of them, and is then asked."""
+    """The index grows by one segment a language, is compacted after half of them, and is then asked: all postings count."""
     docs, grown = table(spark, sf, "documents"), index.Segments(spark, new_folder(spark))
     languages = [r["lang"] for r in docs.select("lang").distinct().orderBy("lang").collect()]
     for n, lang in enumerate(languages):
         grown.inserted(docs.where(F.col("lang").eqNullSafe(F.lit(lang))))
         if n == len(languages) // 2:
             grown.compacted().cleaned()
-    return _found(spark, sf, grown.blocks())
+    return _ranked(index.search_all(_asked(spark, sf), grown.blocks(), retrieval.VOTERS))
 
 
 @query(f"""WITH src AS (SELECT item_id AS id, text FROM benchmark), {TOKENS_SQL}, t AS (SELECT DISTINCT id, token FROM toks),

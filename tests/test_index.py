@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +150,47 @@ def test_an_unfinished_insert_is_not_seen(spark, tmp_path):
     assert index.Segments(spark, path).segments() == ["s00000001"]
     grown.inserted(frame(spark, [(3, "three")]))
     assert grown.n_documents() == 2 and len(grown.segments()) == 2
+
+
+@pytest.fixture
+def found_by_all(spark):
+    """What a search by all postings finds, and how it did."""
+
+    def of(rows, queries, k, parts=3):
+        ix = scratch.stored(index.blocks(frame(spark, rows).repartition(parts)))
+        asked = scratch.stored(index.asked_tokens(frame(spark, queries), "doc_id", "text"))
+        return sorted(map(tuple, index.search_all(asked, ix, k).collect()))
+
+    return of
+
+
+@pytest.mark.parametrize("sent", [0, index.SENT_TOKENS])
+def test_search_by_all_postings(found_by_all, monkeypatch, sent):
+    """With queries sent to the workers, in several parts, and joined."""
+    monkeypatch.setattr(index, "RUN_DOCUMENTS", 16)
+    monkeypatch.setattr(index, "SENT_TOKENS", sent)
+    monkeypatch.setattr(index, "AT_ONCE", (3, 5))
+    rows = [*corpus(4, 400), (5000, None), (5001, "")]
+    queries = [(k, t[: 5 + 9 * k]) for k, (_, t) in enumerate(rows[:400:40])] + [(99, "zzz"), (98, None), (100, f"{rows[40][1]} {rows[40][1]}")]
+    assert found_by_all(rows, queries, 4) == plain_search(plain_postings(rows), [q for q in queries if q[1]], 4)
+
+
+@pytest.mark.parametrize("sent", [0, index.SENT_TOKENS])
+def test_search_by_all_postings_finds_what_scores_nothing(found_by_all, monkeypatch, sent):
+    """A token of every document has the score 0; ties go to smaller ids, in whatever run they are."""
+    monkeypatch.setattr(index, "RUN_DOCUMENTS", 256)
+    monkeypatch.setattr(index, "SENT_TOKENS", sent)
+    rows = [(k, f"ab w{k % 7:03}") for k in range(3000)] + [(-5, "ab rare"), (-9, "ab"), (7000, "cd")]
+    want = plain_search(plain_postings(rows), queries := [(1, "ab"), (2, "rare ab"), (3, "cd")], 6)
+    assert {s for q, _, s, _ in want if q == 1} == {0}
+    assert found_by_all(rows, queries, 6) == want
+
+
+def test_search_by_all_postings_of_nothing(found_by_all):
+    assert found_by_all([(1, "one")], [(1, None)], 3) == found_by_all([(1, "?")], [(1, "one")], 3) == []
+
+
+def test_scores_of_arrays_are_those_of_columns(spark):
+    scores = [abs(w / 1000 + d) for w in (0, 1, 7, 0.5, 64_999, 65_535, 70_000) for d in (0.0, 4e-13, -4e-13, 6e-13, -6e-13, 1e-11, -1e-11, 5e-4)]
+    want = spark.createDataFrame([(s,) for s in scores], "s double").select(index.fixed_point(F.col("s"))).collect()
+    assert list(index.fixed_points(np.array(scores))) == [r[0] for r in want]

@@ -39,3 +39,17 @@ def test_every_order_makes_a_member(spark, shop):
 
 def test_every_order_is_held_by_the_filter(spark, shop):
     assert same_as_sql(spark, shop, "b9_bloom_members") == [("large", True), ("small", True), ("small", True)]
+
+
+def test_every_posting_counts_in_a_grown_index(spark, tmp_path):
+    """A document with both words, in more than a hundred shorter ones that have either."""
+    path, n = str(tmp_path), 120
+    docs = [(k, "north", "en") for k in range(n)] + [(n + k, "south", "de") for k in range(n)] + [(900, "south of north", "en"), (901, "other", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, "north south"), (2, "none"), (3, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}/{t}.parquet/*.parquet')")
+    rows = sorted(map(tuple, registry.QUERIES["st10_segmented_search"](spark, path).collect()))
+    assert rows == sorted(con.sql(registry.ORACLES["st10_segmented_search"]).fetchall())
+    assert [r[1] for r in rows if r[0] == 1 and r[3] == 1] == [900]
